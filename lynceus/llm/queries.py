@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import exact_dedup, warc
+from lynceus.llm import exact_dedup, token_files, warc
+
+
+def tokenizer_path() -> str:
+    """Where the box keeps the tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_files.encode_to_files(docs, tokenizer_path(), end_id=2)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +33,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op3_warc": op3_warc,
     "op9_exact_dedup": op9_exact_dedup,
 }
