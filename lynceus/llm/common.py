@@ -44,8 +44,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-cases A-Z and nothing else; texts that are all ASCII take the faster way."""
+    other = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(other)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def hot_keys(stats: DataFrame, key: str) -> DataFrame:
