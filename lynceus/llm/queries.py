@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import decontaminate, exact_dedup, simhash, token_files, warc
+from lynceus.llm import decontaminate, exact_dedup, quality, simhash, token_files, warc
+from lynceus.llm.labelled import held_out
 
 
 def tokenizer_path() -> str:
@@ -32,6 +33,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup.duplicate_groups(docs).withColumnRenamed("digest", "text_sha256")
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_warc": op3_warc,
     "op5_simhash": op5_simhash,
+    "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
