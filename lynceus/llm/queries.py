@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import decontaminate, exact_dedup, quality, simhash, token_files, warc
+from lynceus.llm import decontaminate, exact_dedup, quality, simhash, token_files, toxicity, warc
 from lynceus.llm.labelled import held_out
 
 
@@ -28,6 +28,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity_predicted").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -52,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
     "op9_exact_dedup": op9_exact_dedup,
