@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import decontaminate, exact_dedup, quality, simhash, token_files, toxicity, warc
+from lynceus.llm import decontaminate, exact_dedup, quality, secrets, simhash, token_files, toxicity, warc
 from lynceus.llm.labelled import held_out
 
 
@@ -45,6 +45,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup.duplicate_groups(docs).withColumnRenamed("digest", "text_sha256")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op7_quality": op7_quality,
+    "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
