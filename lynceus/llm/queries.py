@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import decontaminate, exact_dedup, quality, secrets, simhash, token_files, toxicity, warc
+from lynceus.llm import bpe, decontaminate, exact_dedup, quality, secrets, simhash, token_files, toxicity, warc
 from lynceus.llm.labelled import held_out
 
 
@@ -39,6 +39,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
     "op9_exact_dedup": op9_exact_dedup,

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
 #: Entries that one worker keeps of words as they stand and of their parts.
-MAX_WORDS, MAX_PARTS = 400_000, 1_000_000
-#: How the tokenizer cuts a word that has only ASCII characters, lower-cased (fixed values).
-ASCII_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
+MAX_WORDS, MAX_PARTS = 600_000, 800_000
+#: Words of ASCII and Latin-1 letters only, which have one normal form, and how the tokenizer cuts them once
+#: they are lower-cased (fixed values).
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
 class WordEncoder:
@@ -19,11 +22,12 @@ class WordEncoder:
 
     Such a tokenizer never joins what a blank parts, neither when it normalises nor when it merges, so a
     text's ids are those of its words in order. Words are cut at blanks and line ends; rarer white space stays
-    in its word and is the library's business. ASCII words are cut on as the tokenizer does, because their
+    in its word and is the library's business. Plain words are cut on as the tokenizer does, because their
     parts repeat more. The library encodes each word or part that isn't in the (bounded) tables.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -44,10 +48,10 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         if len(self.parts) > MAX_PARTS:
             self.parts = {}
-        plain = {w for w in words if w.isascii() and w.isprintable() and "<|" not in w}
+        plain = {w for w in words if PLAIN.fullmatch(w) and "<|" not in w}
         whole = list(words - plain)
-        cut = {w: ASCII_PARTS.findall(w.lower()) for w in plain}
-        new = list({p for parts in cut.values() for p in parts} - self.parts.keys())
+        cut = {w: PLAIN_PARTS.findall(w.lower()) for w in plain}
+        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
         self.parts.update(zip(new, self._library(new), strict=True))
         self.words.update(zip(whole, self._library(whole), strict=True))
         for w, parts in cut.items():
@@ -59,12 +63,12 @@ class WordEncoder:
             return self._library([text])[0]
         words = text.replace("\n", " ").split(" ")
         needed = set(words)
-        if new := needed - self.words.keys():
+        if new := {w for w in needed if w not in self.words}:
             if len(needed) > MAX_WORDS // 2:  # a text with so many different words goes to the library as it is
                 return self._library([text])[0]
             if len(self.words) + len(new) > MAX_WORDS:
                 self.words = {"": b""}
-                new = needed - self.words.keys()
+                new = needed
             self._learn(new)
         return b"".join(map(self.words.__getitem__, words))
 
