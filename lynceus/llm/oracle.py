@@ -37,7 +37,26 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP2 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, p, w[p] AS cur, CASE WHEN p > 1 THEN w[p - 1] END AS prev FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), one AS (SELECT cur, count(*) AS c FROM t GROUP BY cur),
+two AS (SELECT prev, cur, count(*) AS c FROM t WHERE prev IS NOT NULL GROUP BY prev, cur HAVING count(*) >= 2),
+n AS (SELECT count(*) AS c FROM t),
+s AS (
+  SELECT t.doc_id, CASE WHEN two.c IS NOT NULL THEN log10(two.c) - log10(ctx.c)
+    WHEN t.prev IS NULL THEN log10(one.c) - log10((SELECT c FROM n)) ELSE log10(0.4) + log10(one.c) - log10((SELECT c FROM n)) END AS v
+  FROM t JOIN one ON one.cur = t.cur LEFT JOIN two ON two.prev = t.prev AND two.cur = t.cur LEFT JOIN one ctx ON ctx.cur = t.prev
+), a AS (SELECT doc_id, sum(v) AS v FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, round(coalesce(a.v, 0), 4) AS log10_score,
+  CASE WHEN len(d.w) > 0 THEN round(a.v / len(d.w), 6) END AS mean_log10
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op2_lm_score": OP2,
     "op10_decontaminate": OP10,
     "op9_exact_dedup": OP9,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm import bpe, decontaminate, exact_dedup, quality, secrets, simhash, token_files, toxicity, warc
+from lynceus.llm import bpe, decontaminate, exact_dedup, lm_score, quality, secrets, simhash, token_files, toxicity, warc
 from lynceus.llm.labelled import held_out
 
 
@@ -23,6 +23,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(docs, tokenizer_path(), end_id=2)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    total = F.col("log10_score")
+    return scored.select("doc_id", "n_tokens", F.round(total, 4).alias("log10_score"), F.round(total / F.when(F.col("n_tokens") > 0, F.col("n_tokens")), 6).alias("mean_log10"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -66,6 +72,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_lm_score": op2_lm_score,
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
