@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries that one worker keeps of words as they stand and of their parts.
-MAX_WORDS, MAX_PARTS = 600_000, 800_000
+MAX_WORDS, MAX_PARTS = 500_000, 700_000
 #: Words of ASCII and Latin-1 letters only, which have one normal form, and how the tokenizer cuts them once
 #: they are lower-cased (fixed values).
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
@@ -62,15 +62,17 @@ class WordEncoder:
         if not self.by_word:
             return self._library([text])[0]
         words = text.replace("\n", " ").split(" ")
-        needed = set(words)
-        if new := {w for w in needed if w not in self.words}:
-            if len(needed) > MAX_WORDS // 2:  # a text with so many different words goes to the library as it is
+        out = list(map(self.words.get, words))
+        if None in out:
+            new = {w for w, ids in zip(words, out, strict=True) if ids is None}
+            if len(new) > MAX_WORDS // 2:  # a text with so many different words goes to the library as it is
                 return self._library([text])[0]
             if len(self.words) + len(new) > MAX_WORDS:
                 self.words = {"": b""}
-                new = needed
             self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+            known = self.words
+            out = [known[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
+        return b"".join(out)
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode(text), self.dtype)
