@@ -65,17 +65,21 @@ def chunks(row_id: Column, chunk: int = 20_000, part: int = 1_000) -> dict[str,
     return {"chunk": F.floor(row_id / chunk).cast("long"), "part": F.floor(row_id / part).cast("long")}
 
 
+def _micros(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp"))
+
+
 def sessions(df: DataFrame, by: str, time: str, gap_seconds: int = 120) -> DataFrame:
     """df with session: a number that grows where more than the gap lies between neighbours of one value of by."""
     order = Window.partitionBy(by).orderBy(time)
-    away = F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(order)) > gap_seconds * 1_000_000
+    away = _micros(F.col(time)) - _micros(F.lag(time).over(order)) > gap_seconds * 1_000_000
     return df.withColumn("_new", F.when(away, 1).otherwise(0)).withColumn("session", F.sum("_new").over(order).cast("long")).drop("_new")
 
 
 def median_gap(df: DataFrame, by: str, time: str) -> DataFrame:
     """The median number of seconds between neighbours, for each value of by."""
     order = Window.partitionBy(by).orderBy(time)
-    gaps = df.withColumn("_g", (F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(order))) / 1e6)
+    gaps = df.withColumn("_g", (_micros(F.col(time)) - _micros(F.lag(time).over(order))) / 1e6)
     return gaps.groupBy(by).agg(F.percentile("_g", F.lit(0.5)).alias("median_gap"))
 
 
