@@ -205,3 +205,55 @@ def temperature(df: DataFrame, score: str = "score", label: str = "label", round
 def cascade(first: Column, second: Column, low: float, high: float) -> Column:
     """The second score where the first is between the bounds, else the first."""
     return F.when(first.between(low, high), second).otherwise(first)
+
+
+def fit_residual(x: np.ndarray, y: np.ndarray, start: np.ndarray, monotone: list[int], rounds: int = 60, rate: float = 0.1, depth: int = 2, least: int = 20, ridge: float = 1.0, bins: int = 32):
+    """Boosted corrections to given raw scores, monotone in chosen features; returns a ModelDocument without names.
+
+    For a table that fits the driver, such as one row for each labelled domain with facts. monotone has 1, -1
+    or 0 for each feature. A split of a monotone feature must order its sides, and bounds what lies below each
+    to its side of their middle. Missing values take the side that gains more.
+    """
+    from lynceus.operators.scoring import ModelDocument, Tree
+
+    edges = [np.unique(np.quantile(c[~np.isnan(c)], np.linspace(0, 1, bins + 1)[1:-1])) if (~np.isnan(c)).any() else np.zeros(0) for c in x.T]
+    raw, trees = start.astype("float64").copy(), []
+
+    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, low: float, high: float, level: int, t: dict) -> tuple[int, float]:
+        value = float(np.clip(-g[rows].sum() / (h[rows].sum() + ridge), low, high))
+        best = None
+        for f in range(x.shape[1]) if level else ():
+            v = x[rows, f]
+            nan = np.isnan(v)
+            for e in edges[f]:
+                for to_left in (True, False) if nan.any() else (True,):
+                    left = np.where(nan, to_left, v <= e)
+                    n = int(left.sum())
+                    if min(n, len(rows) - n) < least:
+                        continue
+                    sides = [(g[s].sum(), h[s].sum() + ridge) for s in (rows[left], rows[~left])]
+                    a, b = (float(np.clip(-p / q, low, high)) for p, q in sides)
+                    if (b - a) * monotone[f] < 0:
+                        continue
+                    gain = sum(-(p * w + q * w * w / 2) for (p, q), w in zip(sides, (a, b), strict=True))
+                    if best is None or gain > best[0] + 1e-12:
+                        best = (gain, f, float(e), left, to_left, a, b)
+        if best is None:
+            t["lv"].append(rate * value)
+            return ~(len(t["lv"]) - 1), value
+        _, f, e, left, to_left, a, b = best
+        i, middle = len(t["f"]), (a + b) / 2
+        for k, v in (("f", f), ("t", e), ("l", 0), ("r", 0), ("d", to_left), ("m", 2), ("v", rate * value)):
+            t[k].append(v)
+        m = monotone[f]
+        t["l"][i] = grow(rows[left], g, h, middle if m < 0 else low, middle if m > 0 else high, level - 1, t)[0]
+        t["r"][i] = grow(rows[~left], g, h, middle if m > 0 else low, middle if m < 0 else high, level - 1, t)[0]
+        return i, value
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(raw, -50, 50)))
+        t: dict[str, list] = {k: [] for k in ("f", "t", "l", "r", "d", "m", "v", "lv")}
+        grow(np.arange(len(x)), p - y, p * (1 - p), -np.inf, np.inf, depth, t)
+        trees.append(Tree.of(t))
+        raw += trees[-1].walk(x)
+    return ModelDocument([f"f{i}" for i in range(x.shape[1])], trees)

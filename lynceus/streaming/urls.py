@@ -38,8 +38,11 @@ def first_of_each(stream: DataFrame, keys: list[str], time: str = "ts", within:
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
-def latest_values(stream: DataFrame, key: str = "k", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
-    """(k, seen): how often a key has been met since it was last forgotten; state is kept by key and expires."""
+def latest_values(stream: DataFrame, key: str = "k", ttl_ms: int | None = 7 * 86_400_000) -> DataFrame:
+    """(k, seen): how often a key has been met since it was last forgotten; state is kept by key and expires.
+
+    With a time to live, run it with a processing-time trigger: a query with timeouts never runs out of batches.
+    """
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,8 +50,9 @@ def latest_values(stream: DataFrame, key: str = "k", ttl_ms: int = 7 * 86_400_00
             return
         n = (state.get[0] if state.exists else 0) + sum(map(len, frames))
         state.update((n,))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"k": [k[0]], "seen": [n]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"k {kind}, seen long", "n long", "update", "ProcessingTimeTimeout")
+    return stream.groupBy(key).applyInPandasWithState(update, f"k {kind}, seen long", "n long", "update", "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout")
