@@ -9,21 +9,21 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries that one worker keeps of words as they stand and of their parts.
-MAX_WORDS, MAX_PARTS = 500_000, 700_000
-#: Words of ASCII and Latin-1 letters only, which have one normal form, and how the tokenizer cuts them once
-#: they are lower-cased (fixed values).
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: Parts that one worker keeps with their ids.
+MAX_PARTS = 900_000
+#: Texts of ASCII and Latin-1 letters only have one normal form; the tokenizer cuts them, lower-cased, into these
+#: parts (fixed values).
+PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
+PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
 class WordEncoder:
     """Exactly what the library's encode(text, add_special_tokens=False) gives, for tokenizers that drop white space.
 
     Such a tokenizer never joins what a blank parts, neither when it normalises nor when it merges, so a
-    text's ids are those of its words in order. Words are cut at blanks and line ends; rarer white space stays
-    in its word and is the library's business. Plain words are cut on as the tokenizer does, because their
-    parts repeat more. The library encodes each word or part that isn't in the (bounded) tables.
+    text's ids are those of its words in order. Plain texts are cut on into the tokenizer's own parts, which
+    repeat more than words do; a word that isn't plain is left whole. The library encodes each part once, as
+    long as a worker's bounded table holds it.
     """
 
     def __init__(self, path: str):
@@ -39,39 +39,41 @@ class WordEncoder:
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = bool(pre[0].get("invert")) and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") is not None
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.parts) > MAX_PARTS:
-            self.parts = {}
-        plain = {w for w in words if PLAIN.fullmatch(w) and "<|" not in w}
-        whole = list(words - plain)
-        cut = {w: PLAIN_PARTS.findall(w.lower()) for w in plain}
-        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
-        self.parts.update(zip(new, self._library(new), strict=True))
-        self.words.update(zip(whole, self._library(whole), strict=True))
-        for w, parts in cut.items():
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return PARTS.findall(text.lower())
+        parts: list[str] = []
+        for word in text.replace("\n", " ").split(" "):
+            if PLAIN.fullmatch(word) and "<|" not in word:
+                parts += PARTS.findall(word.lower())
+            else:
+                parts.append(word)
+        return parts
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian integers of the encoder's dtype."""
         if not self.by_word:
             return self._library([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        out = list(map(self.words.get, words))
-        if None in out:
-            new = {w for w, ids in zip(words, out, strict=True) if ids is None}
-            if len(new) > MAX_WORDS // 2:  # a text with so many different words goes to the library as it is
-                return self._library([text])[0]
-            if len(self.words) + len(new) > MAX_WORDS:
-                self.words = {"": b""}
-            self._learn(new)
-            known = self.words
-            out = [known[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
+        parts = self._cut(text)
+        out = list(map(self.parts.get, parts))
+        try:
+            return b"".join(out)
+        except TypeError:  # some are new
+            places = [i for i, ids in enumerate(out) if ids is None]
+        new = list({parts[i] for i in places})
+        known = dict(zip(new, self._library(new), strict=True))
+        if len(self.parts) + len(new) > MAX_PARTS:
+            self.parts = {}
+        if len(new) < MAX_PARTS // 2:  # a text of very many different words isn't remembered
+            self.parts.update(known)
+        for i in places:
+            out[i] = known[parts[i]]
         return b"".join(out)
 
     def ids(self, text: str) -> np.ndarray:
