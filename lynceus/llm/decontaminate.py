@@ -122,6 +122,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop:
     with a proximity match. Null and empty texts have no words; an empty benchmark contaminates nothing.
     Rows that repeat get equal results each.
     """
+    found = _summary(docs, benchmark, length, slop)
+    base = _keyed(docs).select("doc_id", *KEY, n_words(F.col("text")).alias("n_words"))
+    out = base.join(small(found, MAX_WINDOWS), KEY, "left")
+    n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("_items", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int) -> DataFrame:
+    """(_id, _h, n_hit, _items, n_near) of the documents in which anything was found."""
     windows, owners = benchmark_windows(benchmark, length)
     terms = table(windows.select(F.explode(F.split("window", " ")).alias("term")).distinct(), "bench-terms")
     counts = table(term_counts(docs, terms), "bench-counts")
@@ -136,14 +145,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop:
     hits = ends.withColumn("_new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reached))).groupBy(*KEY).agg(F.sum("_new").alias("n_hit"))
     items = matches.select("wid", *KEY).distinct().join(owners, "wid").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("_items"))
     near = proximity_matches(starts, slop).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_near"))
-    base = _keyed(docs).select("doc_id", *KEY, n_words(F.col("text")).alias("n_words"))
-    found = table(hits.join(items, KEY, "full").join(near, KEY, "full"), "match-summary")
-    out = base.join(small(found, MAX_WINDOWS), KEY, "left")
-    n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("_items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return table(hits.join(items, KEY, "full").join(near, KEY, "full"), "match-summary")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    gone = table(contamination(docs, benchmark, length).where("contaminated").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_gone")).distinct(), "contaminated")
-    return docs.join(small(gone, MAX_DOCS), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("_gone"), "left_anti")
+    gone = _summary(docs, benchmark, length, 0).where("n_hit > 0").select(F.col("_id").alias("gone"), F.col("_h").alias("gone_h"))
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
+    return whole.join(small(gone, MAX_DOCS), (F.col("id") == F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti").select("row.*")

@@ -74,11 +74,12 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     Of repeated rows with one doc_id and text, one stays.
     """
     groups = table(duplicate_groups(docs).select("doc_id", "kept", "digest"), "dedup-groups")
-    repeated = groups.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
-    if repeated.isEmpty():
-        gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    stay = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    rows = docs.withColumn("_digest_of", sha256(normalised(F.col("text"))))
-    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_of") == F.col("_digest")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_digest_of"]).drop("_digest_of")
+    odd = groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))  # columns of docs may have any name
+    if odd.isEmpty():  # ids tell rows apart
+        gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+        return whole.join(gone.hint("shuffle_hash"), F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    stay = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    rows = whole.withColumn("digest", sha256(normalised(F.col("row.text"))))
+    rows = rows.join(stay, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    return rows.dropDuplicates(["id", "digest"]).select("row.*")

@@ -132,5 +132,5 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier doesn't reject."""
     model = train(docs, labels, per_class)
-    scored = score(docs, model, threshold)
-    return scored.where("quality_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("row"), "text")  # columns of docs may have any name
+    return score(whole, model, threshold).where("quality_predicted = 1").select("row.*")

@@ -9,12 +9,11 @@ value and every value within the threshold. All fingerprints under one key are c
 links leave the task as connect them, and keys with many fingerprints are cut on by further bits first.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +78,7 @@ def plan(sample: np.ndarray, total: int, distance: int, bits: int = 64) -> list[
     ones -= ones.mean(0)
     norm = np.sqrt((ones**2).sum(0)) + 1e-9
     corr = np.abs(ones.T @ ones) / np.outer(norm, norm)
+    total = max(total, len(fps))
     scale, best = total / len(fps), (np.inf, [])
     for m in range(1, distance + 2):
         parts, left = [], list(range(bits))
@@ -286,6 +286,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
     keys = table(fingerprints(docs, width), "fingerprints")
     classes = table(keys.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("id", F.coalesce("id", F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("fp"), 2))), "classes")
     found = links(classes.select("id", "fp"), distance)
+    several = keys.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("doc_id IS NOT NULL AND lo <> hi").select("doc_id")
+    if not several.isEmpty():  # one id with different texts
+        own = keys.join(several, "doc_id", "left_semi").distinct().join(classes.select("fp", "id"), "fp").groupBy("doc_id").agg(F.collect_set("id").alias("ids"), F.min("id").alias("a"))
+        found = found.unionByName(own.select("a", F.explode("ids").alias("b")).where("a <> b")).distinct()
     roots = components(found)
     named = classes.join(roots, "id", "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
     named = named.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
@@ -293,7 +297,22 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, of which no row with a smaller doc_id is a near duplicate."""
-    groups = near_duplicates(docs, distance, width)
-    gone = table(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of docs, with all their columns, of which no row with a smaller doc_id is a near duplicate.
+
+    A row with a null doc_id stays if no row with an id is near it.
+    """
+    groups = table(near_duplicates(docs, distance, width), "near-groups")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))  # columns of docs may have any name
+    kept = whole.join(gone.hint("shuffle_hash"), F.col("id") == F.col("_gone"), "left_anti")
+    known = groups.where("doc_id IS NULL AND component_id IS NOT NULL").select(F.col("fp").alias("_gone")).distinct()
+    if known.isEmpty():
+        return kept.select("row.*")
+
+    @F.pandas_udf("long")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series([simhash(t, width) for t in texts], dtype="int64")
+
+    nameless = whole.where("id IS NULL").withColumn("_fp", fingerprint(F.col("row.text")))
+    nameless = nameless.join(known, F.col("_fp") == F.col("_gone"), "left_anti").select("row.*")
+    return kept.where("id IS NOT NULL").select("row.*").unionByName(nameless)
