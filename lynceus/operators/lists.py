@@ -93,7 +93,7 @@ def read_lists(spark: SparkSession, allow: list[str] = (), block: list[str] = ()
     for kind, paths in (("block", block), ("allow", allow)):
         for path in paths:
             try:
-                text = spark.read.option("wholetext", True).text(path)
+                text = spark.read.text(path, wholetext=True)
             except Exception as e:
                 raise ListError(f"{kind} list not found: {path}") from e
             frames.append(text.select(F.lit(kind).alias("kind"), F.lit(path).alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text")))

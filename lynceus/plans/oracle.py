@@ -96,7 +96,7 @@ SELECT host, CASE WHEN size >= len(ls) THEN '' ELSE array_to_string(ls[1 : len(l
     "source_ranges": "SELECT CAST(o_orderkey % 2 AS INTEGER) AS label, o_orderstatus AS source, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS first_date, strftime(max(o_orderdate), '%Y-%m-%d') AS last_date FROM orders GROUP BY 1, 2",
     "spearman": "WITH r AS (" + "SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem) "
     + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(r.{a}, r.{b}), 5) AS rho FROM r" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount"))),
-    "project_prevalence": f"""WITH {S}, m AS (SELECT dataset AS name, CAST(count(*) FILTER (label = 1 AND score >= 0.5) AS DOUBLE) / count(*) FILTER (label = 1) AS tpr, CAST(count(*) FILTER (label = 0 AND score >= 0.5) AS DOUBLE) / count(*) FILTER (label = 0) AS fpr FROM s GROUP BY 1), v(prevalence) AS (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE)),
+    "project_prevalence": f"""WITH {S}, m AS (SELECT dataset AS name, coalesce(CAST(count(*) FILTER (label = 1 AND score >= 0.5) AS DOUBLE) / nullif(count(*) FILTER (label = 1), 0), 0) AS tpr, coalesce(CAST(count(*) FILTER (label = 0 AND score >= 0.5) AS DOUBLE) / nullif(count(*) FILTER (label = 0), 0), 0) AS fpr FROM s GROUP BY 1), v(prevalence) AS (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE)),
   c AS (SELECT name, prevalence, prevalence * 1000000 * tpr AS tp, (1 - prevalence) * 1000000 * fpr AS fp FROM m, v) SELECT name, prevalence, round(tp, 3) AS tp, round(fp, 3) AS fp, round(tp + fp, 3) AS flagged, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision FROM c""",
     "domain_ranks": f"WITH {P} SELECT host AS domain, min(page_id % 97 + 1) AS rank FROM q WHERE page_id % 97 + 1 <= 60 GROUP BY host",
     "first_seen": "SELECT user_id AS url, epoch_us(min(ts)) AS first_seen FROM events GROUP BY user_id",

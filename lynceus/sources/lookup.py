@@ -74,6 +74,6 @@ def registration_provider(ask: Callable[[str, str], tuple[str, dict | None, floa
 def read_bootstrap(spark, path: str) -> DataFrame:
     """(tld, base_url) of the registries' published bootstrap file: the first https server of each service."""
     j = F.from_json("value", "services array<array<array<string>>>")
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(j["services"]).alias("s"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(j["services"]).alias("s"))
     url = F.coalesce(F.get(F.filter(F.col("s")[1], lambda u: F.startswith(u, F.lit("https://"))), F.lit(0)), F.col("s")[1][0])
     return rows.select(F.explode(F.col("s")[0]).alias("tld"), url.alias("base_url")).select(F.lower("tld").alias("tld"), "base_url")
