@@ -111,4 +111,8 @@ SELECT host, CASE WHEN size >= len(ls) THEN '' ELSE array_to_string(ls[1 : len(l
     "rdap_features": """SELECT reg, CAST(rdap_ok AS DOUBLE) AS rdap_ok, CAST(rdap_not_found AS DOUBLE) AS rdap_not_found, CAST(domain_age_days_log AS DOUBLE) AS domain_age_days_log, days_to_expiry_log, reg_period_years, days_since_changed_log, CAST(status_hold AS DOUBLE) AS status_hold, CAST(status_n AS DOUBLE) AS status_n FROM (VALUES ('a', 1.0, 0.0, round(log10(1 + 1827), 6), round(log10(1 + 365), 6), round(2192 / 365.25, 6), round(log10(1 + 213), 6), 1.0, 1.0), ('b', 0.0, 1.0, NULL, NULL, NULL, NULL, NULL, NULL), ('c', 1.0, 0.0, 0.0, NULL, NULL, NULL, 0.0, 0.0), ('d', 0.0, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
   v(reg, rdap_ok, rdap_not_found, domain_age_days_log, days_to_expiry_log, reg_period_years, days_since_changed_log, status_hold, status_n)""",
     "registration_json": "SELECT '2020-01-01T00:00:00Z' AS created, 'Example Registrar' AS registrar, '9999' AS registrar_iana, 'active' AS status, 'ns1.example.com' AS ns",
+    "lookup_missing": f"WITH {P}, h AS (SELECT DISTINCT host, CAST(('0x' || substr(md5('f|' || host), 1, 8)) AS BIGINT) % 100 AS h FROM q) SELECT host FROM h WHERE h < 20",
+    "dns_features": f"""WITH {P}, h AS (SELECT DISTINCT host, CAST(('0x' || substr(md5('f|' || host), 1, 8)) AS BIGINT) % 100 AS h FROM q)
+  SELECT host, 1.0::DOUBLE AS dns_ok, CAST(h >= 20 AS DOUBLE) AS dns_resolves, CAST(h < 20 AS DOUBLE) AS dns_nxdomain, CAST(h >= 20 AS DOUBLE) AS dns_n_a, CAST(h > 90 AS DOUBLE) AS dns_has_aaaa, 0.0::DOUBLE AS dns_has_cname, round(log10(301), 6) AS dns_ttl_a_log,
+  CASE WHEN h >= 20 THEN 1.0::DOUBLE END AS dns_private_ip, CAST(h > 5 AS DOUBLE) AS dns_n_ns, CAST(h % 2 = 0 AS DOUBLE) AS dns_has_mx FROM h""",
 }

@@ -308,7 +308,7 @@ def two_pass_gate(spark, sf):
 def dns_features(spark, sf):
     dns, _ = _facts(spark, sf)
     f = enrich.dns_features(F.struct(*dns.columns))
-    return dns.select("host", *[F.round(v, 6).alias(k) for k, v in f.items()])
+    return dns.select("host", *[F.when(~F.isnan(v), F.round(v, 6)).alias(k) for k, v in f.items()])
 
 
 @query

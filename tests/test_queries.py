@@ -34,7 +34,7 @@ def test_oracle(spark, name):
     same(QUERIES[name](spark, SF), ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["url_features_all", "url_report", "two_pass_gate", "dns_features", "gbt_train", "stream_file_score"])
+@pytest.mark.parametrize("name", ["url_features_all", "url_report", "two_pass_gate", "gbt_train", "stream_file_score"])
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
