@@ -6,6 +6,7 @@ Each is called with (spark, sf_dir). `lynceus.plans.oracle` has the same results
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -485,15 +486,25 @@ def json_lists(spark, sf):
     return feeds.captures(rows)
 
 
+def _sniffed(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages as a semicolon file without a header: written by Spark to the shared folder, sniffed and read again."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    path = f"{root.rstrip('/')}/sniffed-{uuid.uuid4().hex}"
+    _pages(spark, sf).write.csv(path, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    t, layout = delimited.read_delimited(spark, path)
+    return t.select(F.col(layout.header[0]).cast("long").alias("page_id"), F.col(layout.url_column).alias("url"))
+
+
 @query
 def input_sniffing(spark, sf):
-    """A semicolon file without a header, written, sniffed and read again."""
-    folder = tempfile.mkdtemp()
-    rows = _pages(spark, sf).orderBy("page_id").limit(100).collect()  # a file of a hundred lines is the input here
-    with open(f"{folder}/in.csv", "w", encoding="utf-8") as f:
-        f.writelines(f"{r.page_id};{r.url}\n" for r in rows)
-    t, layout = delimited.read_delimited(spark, f"file://{folder}/in.csv")
-    return t.select(F.col(layout.header[0]).cast("long").alias("page_id"), F.col(layout.url_column).alias("url"))
+    """The whole file is written, sniffed and read; the first hundred of its rows are what the SQL asks for."""
+    return _sniffed(spark, sf).orderBy("page_id").limit(100)
+
+
+@query
+def input_sniffing_all(spark, sf):
+    """As input_sniffing, with every row."""
+    return _sniffed(spark, sf)
 
 
 @query
