@@ -3,7 +3,8 @@
 A window is a run of consecutive words of a benchmark item. The corpus is counted for the benchmark's terms;
 each window that can occur at all then has its two rarest terms looked up in the positional index, their
 posting lists are shifted by the terms' offsets in the window, and where both lists agree the whole window is
-compared with the document. The lists alone give proximity matches: both terms at about their distance.
+compared with the document. The lists alone give proximity matches: both terms at about their distance, or
+most of the window's rarest terms that occur at all (NEAR_TERMS), so that a changed word doesn't hide a copy.
 
 Every step is a scan or a join that grows with the corpus. What is broadcast is counted first; beyond the
 bound the same join is shuffled.
@@ -22,6 +23,8 @@ CASED_SEPARATOR = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Rows up to which a side is broadcast: terms and windows have about 100 bytes, document keys 16.
 MAX_TERMS, MAX_WINDOWS, MAX_DOCS = 100_000, 100_000, 500_000
 KEY = ["_id", "_h"]
+#: Terms of a window that are looked up for exact matches and for proximity, and how many of the latter stand in place in a near copy.
+EXACT_TERMS, NEAR_TERMS, NEAR_LEAST = 2, 4, 3
 
 
 def words(text: Column) -> Column:
@@ -61,17 +64,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("cf")).join(terms, "term")
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
-    """(wid, len, needed, role, term, off): up to k different terms of each window, the rarest first.
+def rarest_terms(windows: DataFrame, counts: DataFrame, k: int = EXACT_TERMS) -> DataFrame:
+    """(wid, len, needed, role, term, off): up to k different terms of each window that are in counts, the rarest first.
 
-    A window with a term that isn't in counts can't occur and gets no rows. needed is the number of roles.
+    needed is the number of roles that an exact match takes; it is null for a window with a term that isn't in
+    counts, which can't occur. Such a window, and roles from EXACT_TERMS on, are only there for proximity: if
+    the window has more than k words and at least NEAR_LEAST of its terms are looked up.
     """
     spread = windows.select("wid", "len", F.posexplode(F.split("window", " ")).alias("off", "term"))
     known = spread.join(small(counts, MAX_TERMS), "term")
     terms = known.groupBy("wid", "len", "term", "cf").agg(F.min("off").alias("off"), F.count(F.lit(1)).alias("times"))
     ranked = terms.groupBy("wid", "len").agg(F.sum("times").alias("_n"), F.array_sort(F.collect_list(F.struct("cf", "term", "off"))).alias("_t"))
-    ranked = ranked.where("_n = len").withColumn("_t", F.slice("_t", 1, k))
-    return ranked.select("wid", "len", F.size("_t").alias("needed"), F.posexplode("_t").alias("role", "_x")).select("wid", "len", "needed", "role", F.col("_x.term").alias("term"), F.col("_x.off").alias("off"))
+    ranked = ranked.withColumn("_t", F.slice("_t", 1, k)).withColumn("needed", F.when(F.col("_n") == F.col("len"), F.least(F.size("_t"), F.lit(EXACT_TERMS))))
+    near = (F.col("len") > k) & (F.size("_t") >= NEAR_LEAST)
+    roles = ranked.select("wid", "len", "needed", near.alias("_near"), F.posexplode("_t").alias("role", "_x")).where("_near or role < needed")
+    return roles.select("wid", "len", "needed", "role", F.col("_x.term").alias("term"), F.col("_x.off").alias("off"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -103,14 +110,18 @@ def exact_matches(docs: DataFrame, windows: DataFrame, starts: DataFrame) -> Dat
 
 
 def proximity_matches(starts: DataFrame, slop: int = 3) -> DataFrame:
-    """(wid, _id, _h): documents in which a window's two rarest terms stand at their distance, give or take slop.
+    """(wid, _id, _h): documents in which a window's terms stand at their distances, give or take slop.
 
-    Exact occurrences count too. Windows with only one different term have no proximity matches.
+    Either its two rarest terms, if all its terms are in the corpus, or NEAR_LEAST of its NEAR_TERMS rarest that
+    are in the corpus, if it has more words than that. Exact occurrences count too. Windows with only one
+    different term have no proximity matches.
     """
     order = Window.partitionBy("wid", *KEY).orderBy("start", "role").rowsBetween(Window.unboundedPreceding, 0)
-    before = [F.last(F.when(F.col("role") == r, F.col("start")), True).over(order) for r in (0, 1)]
-    gap = F.col("start") - F.when(F.col("role") == 0, before[1]).otherwise(before[0])
-    return starts.where("needed > 1 and role < 2").withColumn("_gap", gap).where(F.col("_gap") <= slop).select("wid", *KEY).distinct()
+    placed = [F.coalesce(F.col("start") - F.last(F.when(F.col("role") == r, F.col("start")), True).over(order) <= slop, F.lit(False)) for r in range(NEAR_TERMS)]
+    found = starts.where("needed is null or needed > 1").select("wid", "needed", *KEY, F.array(*placed).alias("_placed"))
+    pair = F.col("needed").isNotNull() & F.col("_placed")[0] & F.col("_placed")[1]
+    most = F.size(F.filter("_placed", lambda x: x)) >= NEAR_LEAST
+    return found.where(pair | most).select("wid", *KEY).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 3) -> DataFrame:
@@ -119,24 +130,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop:
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored. n_hit counts the words
     inside any occurrence of any window, each once; n_items the items that have an occurring window, and
     items_sha256 is the SHA-256 of their ids, sorted as strings and joined by commas. n_near counts windows
-    with a proximity match. Null and empty texts have no words; an empty benchmark contaminates nothing.
+    with a proximity match: see proximity_matches; a copy with more words changed than that allows has none. Null and empty texts have no words; an empty benchmark contaminates nothing.
     Rows that repeat get equal results each.
     """
-    found = _summary(docs, benchmark, length, slop)
+    found = _summary(docs, benchmark, length, slop, NEAR_TERMS)
     base = _keyed(docs).select("doc_id", *KEY, n_words(F.col("text")).alias("n_words"))
     out = base.join(small(found, MAX_WINDOWS), KEY, "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("_items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int) -> DataFrame:
+def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int, k: int = EXACT_TERMS) -> DataFrame:
     """(_id, _h, n_hit, _items, n_near) of the documents in which anything was found."""
     windows, owners = benchmark_windows(benchmark, length)
     terms = table(windows.select(F.explode(F.split("window", " ")).alias("term")).distinct(), "bench-terms")
     counts = table(term_counts(docs, terms), "bench-counts")
-    rare = table(rarest_terms(windows, counts), "bench-rare")
+    rare = table(rarest_terms(windows, counts, k), "bench-rare")
     index = postings(docs, rare.select("term").distinct())
-    starts = table(window_starts(index, rare), "match-starts")
+    starts = table(window_starts(index, rare.where("role < needed")), "match-starts")
     matches = table(exact_matches(docs, windows, starts), "matches")
 
     by_start = Window.partitionBy(*KEY).orderBy("start")
@@ -144,7 +155,9 @@ def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int) -> D
     reached = F.coalesce(F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = ends.withColumn("_new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reached))).groupBy(*KEY).agg(F.sum("_new").alias("n_hit"))
     items = matches.select("wid", *KEY).distinct().join(owners, "wid").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("_items"))
-    near = proximity_matches(starts, slop).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_near"))
+    # A window's starts for proximity are many: the postings are dealt by document instead, and the starts never leave their task.
+    by_doc = starts if k == EXACT_TERMS else window_starts(index.repartition(*KEY), rare)
+    near = proximity_matches(by_doc, slop).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_near"))
     return table(hits.join(items, KEY, "full").join(near, KEY, "full"), "match-summary")
 
 
