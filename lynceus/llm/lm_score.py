@@ -1,167 +1,110 @@
-"""Stupid-backoff scores of documents under n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents under n-gram counts of the whole corpus, in DataFrame operations only.
 
-The plan is relational: count tables partitioned by the n-grams' hash, joined to the documents' n-grams, summed
-per document. Its rows are columnar blocks, not single n-grams, which would move several times the corpus:
+A word's score falls back until its n-gram is known: V(g) = log10 c(g) / c(beginning of g) where g is in the count
+table, and log10 alpha + V(g without its first word) elsewhere. Summed over a document, V telescopes: each n-gram
+of the document, of any order, adds delta(g) = V(g) - V(g without its first word), which depends on g alone and is
+log10 alpha for each n-gram that isn't in the table. So the whole job is
 
-1. Documents are dealt to blocks by a hash. A block's different n-grams, as sorted 64-bit hashes with their
-   counts in the block, go to buckets, each of which holds a range of hashes. An n-gram, however frequent, is one
-   entry of each block, so nothing is skewed.
-2. A bucket adds up its blocks' counts and answers every block with the totals, in the block's own order.
-3. A block's documents meet the totals of their n-grams, and each word's score is looked up and summed.
+1. a count table: exploded n-grams, combined within tasks and then by hash;
+2. deltas of the n-grams in it, by joins of the table with itself;
+3. the documents' exploded n-grams joined to the deltas by hash, and a sum per document.
 
-Counts are by 64-bit hash; two different n-grams share one with a chance of about n^2 / 2^65.
+Every row is an n-gram, so rows grow with the corpus. The most frequent n-grams, of which there is a proven
+maximum, are joined by broadcast; the others occur too seldom to be hot.
 """
 
+from __future__ import annotations
+
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text that a block has, backoff factor, and the count from which an n-gram of two or more words is in the table.
-BLOCK_BYTES, ALPHA, MIN_COUNT = 12 << 20, 0.4, 2
-#: Words whose hash a worker keeps.
-MAX_WORDS = 1_000_000
-UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-
-
-class _Hashes(dict):
-    """The 64-bit hash of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 1)
-        return h
+from lynceus.llm.common import ascii_lower, table
 
+#: Words that an n-gram has at most, and the backoff factor.
+ORDER, ALPHA = 3, 0.4
+#: N-grams that are joined by broadcast at most: each is one of so many parts of all occurrences at least. A row has 16 bytes.
+MAX_FREQUENT, MIN_FREQUENT = 200_000, 100
+KEY = ["doc_id", "_h"]
 
-HASHES = _Hashes()
 
-
-def words(text: str | None) -> list[bytes]:
+def words(text: Column) -> Column:
     """Runs of anything but ASCII white space, A-Z in lower case."""
-    return (text or "").encode().translate(UPPER).split()
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+", -1), "")
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * C2
-    x = (x ^ (x >> np.uint64(27))) * C3
-    return x ^ (x >> np.uint64(31))
+def _hashed(docs: DataFrame, order: int) -> DataFrame:
+    """doc_id, _h (a hash of the text) and g1 to g<order>, the hashes of the n-grams that end at each word from the n-th on.
 
+    An n-gram's hash is that of its beginning's hash and its last word's.
+    """
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), words(F.col("text")).alias("_w"))
+    out = out.select(*KEY, F.transform("_w", lambda w: F.xxhash64(w)).alias("g1"))
+    for n in range(2, order + 1):
+        longer = F.zip_with(F.col(f"g{n - 1}"), F.slice("g1", n, F.greatest(F.size("g1"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+        out = out.withColumn(f"g{n}", F.filter(longer, lambda g: g.isNotNull()))
+    return out
 
-def ngrams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Words per text and, for each order from 1, the places where its n-grams end and their hashes, over all texts in a row."""
-    each = [words(t) for t in texts]
-    sizes = np.array([len(w) for w in each], "int64")
-    first = np.fromiter((HASHES[w] for ws in each for w in ws), "uint64", sizes.sum())
-    depth = np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # words before it in its text
-    out, at, h = [], np.arange(len(first)), _mixed(first)
-    for k in range(1, order + 1):
-        out.append((at, h))
-        at = np.flatnonzero(depth >= k)
-        before = np.zeros(len(first), "uint64")
-        before[out[-1][0]] = out[-1][1]
-        h = _mixed(before[at - 1] * C1 + first[at] + np.uint64(k)) if len(at) else np.zeros(0, "uint64")
-    return sizes, out
 
+def ngrams(docs: DataFrame, order: int) -> DataFrame:
+    """One row per n-gram of 1 to order words: doc_id, _h, gram, begin (its beginning) and rest (without its first word); null for words."""
+    parts = [F.transform("g1", lambda g: F.struct(g.alias("gram"), F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("rest")))]
+    for n in range(2, order + 1):
+        lower = F.col(f"g{n - 1}")
+        parts.append(F.zip_with(F.col(f"g{n}"), F.arrays_zip(lower.alias("a"), F.slice(lower, 2, F.greatest(F.size(lower), F.lit(1))).alias("b")), lambda g, x: F.struct(g.alias("gram"), x["a"].alias("begin"), x["b"].alias("rest"))))
+    return _hashed(docs, order).select(*KEY, F.inline(F.concat(*parts))).where("gram is not null")
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """The bytes of the arrays, those of equal weight side by side, compressed."""
-    import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a.view("u1").reshape(-1, a.itemsize).T).tobytes() for a in arrays))
+def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """The count table: gram, begin, rest and n of every different n-gram of 1 to order words in docs."""
+    return ngrams(docs, order).groupBy("gram").agg(F.min("begin").alias("begin"), F.min("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
 
 
-def _unpacked(data: bytes, n: int, *dtypes: str) -> list[np.ndarray]:
-    import zstandard
+def deltas(counted: DataFrame, tokens: int, alpha: float = ALPHA, min_count: int = 1, left_out: int = 1) -> DataFrame:
+    """(gram, n, delta) of the n-grams that are known: what each adds to a document's score beyond an unknown one.
 
-    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1"), [], 0
-    for d in dtypes:
-        size = np.dtype(d).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(d).ravel())
-        at += n * size
-    return out
+    left_out is taken off every count, the number of words too. Whatever is known, its beginning and its rest
+    are: they occur as often at least.
+    """
+    known = counted.where((F.col("n") - left_out) >= F.when(F.col("begin").isNull(), 1).otherwise(min_count))
+    known = known.withColumn("c", F.log10((F.col("n") - left_out).cast("double")))
+    begins = known.select(F.col("gram").alias("begin"), F.col("c").alias("_cb"))
+    v = F.col("c") - F.when(F.col("begin").isNull(), math.log10(max(1, tokens - left_out))).otherwise(F.col("_cb"))
+    direct = table(known.join(begins, "begin", "left").select("gram", "rest", "n", v.alias("v")), "lm-direct")
+    rests = direct.select(F.col("gram").alias("rest"), F.col("v").alias("_vr"))
+    lower = F.when(F.col("rest").isNull(), -math.log10(max(1, tokens - left_out))).otherwise(F.col("_vr"))
+    return direct.join(rests, "rest", "left").select("gram", "n", (F.col("v") - lower - math.log10(alpha)).alias("delta"))
 
 
-PARTS = "bucket int, block int, n_order int, n int, tokens long, data binary"
-
-
-def _send(order: int, buckets: int):
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], "uint64")
-
-    def send(key, docs: pd.DataFrame) -> pd.DataFrame:
-        sizes, grams = ngrams(docs["text"].tolist(), order)
-        rows = []
-        for k, (_, h) in enumerate(grams, 1):
-            different, counts = np.unique(h, return_counts=True)
-            ends = [0, *np.searchsorted(different, edges), len(different)]
-            for b in range(buckets):
-                part = different[ends[b] : ends[b + 1]]
-                data = _packed(np.diff(part, prepend=np.uint64(0)), counts[ends[b] : ends[b + 1]].astype("<u4"))
-                rows.append((b, key[0], k, len(part), int(sizes.sum()), data))
-        return pd.DataFrame(rows, columns=["bucket", "block", "n_order", "n", "tokens", "data"])
-
-    return send
-
-
-def _add_up(key, parts: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for k, own in parts.groupby("n_order"):
-        got = [_unpacked(r.data, r.n, "<u8", "<u4") for r in own.itertuples()]
-        hashes = [np.cumsum(d, dtype="uint64") for d, _ in got]
-        every, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.zeros(len(every), "<i8")
-        np.add.at(total, inverse, np.concatenate([c for _, c in got]).astype("<i8"))
-        ends = np.cumsum([0, *map(len, hashes)])
-        tokens = int(own["tokens"].sum())
-        for i, r in enumerate(own.itertuples()):
-            out.append((key[0], r.block, k, r.n, tokens, _packed(total[inverse[ends[i] : ends[i + 1]]])))
-    return pd.DataFrame(out, columns=["bucket", "block", "n_order", "n", "tokens", "data"])
-
-
-def _score(order: int, alpha: float, min_count: int):
-    def score(key, docs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame({"doc_id": [], "n_tokens": [], "log10_score": []})
-        sizes, grams = ngrams(docs["text"].tolist(), order)
-        n = int(sizes.sum())
-        tokens = int(totals["tokens"].iloc[0]) if len(totals) else 0
-        value, below = np.zeros(n), np.full(n, float(tokens))
-        for k, (at, h) in enumerate(grams, 1):
-            if not len(at):
-                break
-            rows = totals[totals["n_order"] == k].sort_values("bucket")
-            different, inverse = np.unique(h, return_inverse=True)
-            count = np.concatenate([_unpacked(r.data, r.n, "<i8")[0] for r in rows.itertuples()])[inverse].astype("float64")
-            assert len(different) == rows["n"].sum()
-            seen = count >= (min_count if k > 1 else 1)
-            context = below[at - 1] if k > 1 else below[at]
-            value[at] = np.where(seen, np.log10(count) - np.log10(context), math.log10(alpha) + value[at])
-            below = np.zeros(n)
-            below[at] = count
-        ends = np.cumsum(sizes)
-        sums = np.array([value[a:b].sum() for a, b in zip(ends - sizes, ends, strict=True)])
-        return pd.DataFrame({"doc_id": docs["doc_id"], "n_tokens": sizes, "log10_score": sums})
-
-    return score
-
-
-def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = ALPHA, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = 1, leave_one_out: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens and log10_score, the sum of its words' log10 scores.
 
     A word's score after the words before it, up to order - 1 of them in its text, is c(n-gram) / c(its
-    beginning) if the n-gram occurs min_count times in the corpus at least, and else alpha times the score
-    after one word less; for the word alone c(word) / number of words. docs needs doc_id and text; other
-    columns are ignored. Null and empty texts have no words and score 0. Rows that repeat are counted and
-    scored each; null ids stay null; an empty table gives an empty result.
+    beginning) if the n-gram's count is min_count at least, and else alpha times the score after one word less;
+    for the word alone c(word) / number of words, and alpha / number of words if it has no count. Counts are
+    over all of docs. With leave_one_out (the deleted estimate) the occurrence that is scored is taken off every count:
+    otherwise no n-gram of a scored corpus is ever unknown, and a text that nothing else resembles scores like
+    one that the corpus repeats. N-grams are told apart by 64-bit hashes; two share one with a
+    chance of about n^2 / 2^65.
+
+    docs needs doc_id and text; other columns are ignored. Null and empty texts have no words and score 0. Rows
+    that repeat are counted and scored each; null ids stay null; an empty table gives an empty result.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    parts = dealt.groupBy("block").applyInPandas(_send(order, blocks), PARTS)
-    totals = parts.groupBy("bucket").applyInPandas(_add_up, PARTS)
-    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(_score(order, alpha, min_count), "doc_id long, n_tokens long, log10_score double")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.size(words(F.col("text"))).alias("n_tokens"))
+    base = table(base.groupBy(*KEY, "n_tokens").agg(F.count(F.lit(1)).alias("_copies")), "lm-documents")
+    per = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(order)), F.lit(0))
+    tokens, grams = base.agg(F.sum(F.col("n_tokens") * F.col("_copies")), F.sum(per * F.col("_copies"))).first()
+    known = table(deltas(table(counts(docs, order), "lm-counts"), tokens or 0, alpha, min_count, int(leave_one_out)), "lm-deltas")
+    frequent = F.col("n") >= max(MIN_FREQUENT, math.ceil((grams or 0) / MAX_FREQUENT))
+    few = F.broadcast(known.where(frequent).select("gram", "delta"))
+    rows = ngrams(docs, order).select(*KEY, "gram")
+    often = rows.join(few, "gram").groupBy(*KEY).agg(F.sum("delta").alias("v"))
+    seldom = rows.join(few, "gram", "left_anti").join(known.where(~frequent).select("gram", "delta"), "gram").groupBy(*KEY).agg(F.sum("delta").alias("v"))
+    sums = often.unionByName(seldom).groupBy(*KEY).agg(F.sum("v").alias("v"))
+    out = base.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_t"), "n_tokens", "_copies", per.alias("_n"))
+    out = out.join(sums, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h")), "left")
+    floor = F.col("_n") * math.log10(alpha) - F.col("n_tokens") * math.log10(max(1, (tokens or 0) - int(leave_one_out)))
+    score = F.coalesce(F.col("v"), F.lit(0.0)) / F.col("_copies") + floor
+    out = out.select(F.col("_id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), score.alias("log10_score"), "_copies")
+    return out.select("doc_id", "n_tokens", "log10_score", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("col")

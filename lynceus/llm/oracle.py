@@ -41,14 +41,18 @@ OP2 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), t AS (
-  SELECT doc_id, p, w[p] AS cur, CASE WHEN p > 1 THEN w[p - 1] END AS prev FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
-), one AS (SELECT cur, count(*) AS c FROM t GROUP BY cur),
-two AS (SELECT prev, cur, count(*) AS c FROM t WHERE prev IS NOT NULL GROUP BY prev, cur HAVING count(*) >= 2),
-n AS (SELECT count(*) AS c FROM t),
+  SELECT doc_id, w[p] AS w0, CASE WHEN p > 1 THEN w[p - 1] END AS w1, CASE WHEN p > 2 THEN w[p - 2] END AS w2 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)
+), one AS (SELECT w0, count(*) - 1 AS c FROM t GROUP BY w0),
+two AS (SELECT w1, w0, count(*) - 1 AS c FROM t WHERE w1 IS NOT NULL GROUP BY w1, w0),
+three AS (SELECT w2, w1, w0, count(*) - 1 AS c FROM t WHERE w2 IS NOT NULL GROUP BY w2, w1, w0),
+n AS (SELECT greatest(count(*) - 1, 1) AS c FROM t),
 s AS (
-  SELECT t.doc_id, CASE WHEN two.c IS NOT NULL THEN log10(two.c) - log10(ctx.c)
-    WHEN t.prev IS NULL THEN log10(one.c) - log10((SELECT c FROM n)) ELSE log10(0.4) + log10(one.c) - log10((SELECT c FROM n)) END AS v
-  FROM t JOIN one ON one.cur = t.cur LEFT JOIN two ON two.prev = t.prev AND two.cur = t.cur LEFT JOIN one ctx ON ctx.cur = t.prev
+  SELECT t.doc_id, CASE
+    WHEN three.c > 0 THEN log10(three.c) - log10(begin3.c)
+    WHEN two.c > 0 THEN CASE WHEN t.w2 IS NULL THEN 0 ELSE log10(0.4) END + log10(two.c) - log10(begin2.c)
+    ELSE CASE WHEN t.w1 IS NULL THEN 0 WHEN t.w2 IS NULL THEN log10(0.4) ELSE 2 * log10(0.4) END + CASE WHEN one.c > 0 THEN log10(one.c) ELSE log10(0.4) END - log10((SELECT c FROM n)) END AS v
+  FROM t JOIN one ON one.w0 = t.w0 LEFT JOIN one begin2 ON begin2.w0 = t.w1 LEFT JOIN two ON two.w1 = t.w1 AND two.w0 = t.w0
+  LEFT JOIN two begin3 ON begin3.w1 = t.w2 AND begin3.w0 = t.w1 LEFT JOIN three ON three.w2 = t.w2 AND three.w1 = t.w1 AND three.w0 = t.w0
 ), a AS (SELECT doc_id, sum(v) AS v FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, round(coalesce(a.v, 0), 4) AS log10_score,
   CASE WHEN len(d.w) > 0 THEN round(a.v / len(d.w), 6) END AS mean_log10

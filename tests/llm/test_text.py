@@ -101,34 +101,35 @@ def test_secret_ledger(spark, tmp_path):
     assert spark.read.parquet(ledger).groupBy("rule").count().where("rule = 'assign@2'").first()[1] == 3 and spark.read.parquet(ledger).count() == 4 * 3
 
 
-def plain_scores(rows, order=2, alpha=0.4, least=2):
+def plain_scores(rows, order=3, alpha=0.4, least=1, left_out=1):
     import math
     from collections import Counter
 
     each = [low(t).encode().split() for _, t in rows]
     counts = [Counter(tuple(w[i - k : i + 1]) for w in each for i in range(k, len(w))) for k in range(order)]
-    total = sum(counts[0].values())
+    total = max(1, sum(counts[0].values()) - left_out)
 
     def score(gram):
+        c = counts[len(gram) - 1][gram] - left_out
         if len(gram) == 1:
-            return math.log10(counts[0][gram] / total)
-        c = counts[len(gram) - 1][gram]
-        return math.log10(c / counts[len(gram) - 2][gram[:-1]]) if c >= least else math.log10(alpha) + score(gram[1:])
+            return math.log10((c if c > 0 else alpha) / total)
+        return math.log10(c / (counts[len(gram) - 2][gram[:-1]] - left_out)) if c >= least else math.log10(alpha) + score(gram[1:])
 
     return [sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) for w in each]
 
 
-@pytest.mark.parametrize("order, block", [(1, 1 << 20), (2, 5_000), (3, 20_000)])
-def test_scores(spark, order, block):
+@pytest.mark.parametrize("order, least, left_out, frequent", [(1, 1, 1, 100), (2, 2, 0, 100), (3, 1, 1, 3), (3, 1, 0, 3), (3, 2, 1, 10_000_000)])
+def test_scores(spark, monkeypatch, order, least, left_out, frequent):
+    monkeypatch.setattr(lm_score, "MIN_FREQUENT", frequent)
     rows = docs()
-    got = lm_score.backoff_scores(frame(spark), order, block_bytes=block).collect()
-    want = plain_scores(rows, order)
+    got = lm_score.backoff_scores(frame(spark), order, min_count=least, leave_one_out=bool(left_out)).collect()
+    want = plain_scores(rows, order, least=least, left_out=left_out)
     assert sorted(repr((r.doc_id, r.n_tokens, round(r.log10_score + 0.0, 5))) for r in got) == sorted(repr((i, len(low(t).encode().split()), round(w + 0.0, 5))) for (i, t), w in zip(rows, want))
     assert lm_score.backoff_scores(frame(spark, []), order).count() == 0
 
 
-def test_words_split_alike():
+def test_words_split_alike(spark):
     rng = random.Random(2)
-    for _ in range(200):
-        t = "".join(rng.choice("aA \t\n\x0b\x0c\r\x1c\x85 é") for _ in range(30))
-        assert [w.decode() for w in lm_score.words(t)] == re.findall("[^\x20\x09-\x0d]+", low(t))
+    texts = ["".join(rng.choice("aA \t\n\x0b\x0c\r\x1c\x85 é") for _ in range(30)) for _ in range(200)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lm_score.words(F.col("t")).alias("w")).collect()
+    assert {r.i: r.w for r in got} == {i: re.findall("[^\x20\x09-\x0d]+", low(t)) for i, t in enumerate(texts)}
