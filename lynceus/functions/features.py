@@ -15,8 +15,9 @@ from lynceus.functions.text import count_of, entropy, max_run, n_digits, n_lette
 from lynceus.functions.url import canonical
 
 
-def _array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _listed(words: list[str]) -> str:
+    """Words as SQL literals; a long list costs one call this way, and one for each word otherwise."""
+    return ", ".join(f"'{w}'" for w in words)
 
 
 LONG_BRANDS = [b for b in V.BRANDS if len(b) >= 5]
@@ -29,28 +30,27 @@ def _any_of(words: list[str]) -> str:
 
 
 LONG_BRAND = _any_of(LONG_BRANDS)
-#: The long brands whose length differs by at most one from the place in this list.
-NEAR_LENGTH = [[b for b in LONG_BRANDS if abs(len(b) - n) <= 1] for n in range(max(map(len, LONG_BRANDS)) + 2)]
+#: The long brands whose length differs by at most one from the place in this list, as SQL.
+NEAR_LENGTH = [f"array({_listed([b for b in LONG_BRANDS if abs(len(b) - n) <= 1])})" for n in range(max(map(len, LONG_BRANDS)) + 2)]
 
 
-def names_brand(words: Column, text: Column, other_than: Column) -> Column:
-    """Whether a brand other than the given word is among words, or a longer one anywhere in text."""
-    whole = F.exists(words, lambda w: w.isin(V.BRANDS) & (w != other_than))
-    others = F.exists(_array(LONG_BRANDS), lambda b: F.contains(text, b) & (b != other_than))
-    return whole | (text.rlike(LONG_BRAND) & (~other_than.isin(LONG_BRANDS) | others))
+def names_brand(words: str, text: str, other_than: str) -> Column:
+    """Whether a brand other than the given word is among words, or a longer one anywhere in text; all are names of columns, or SQL."""
+    whole = f"exists({words}, w -> w IN ({_listed(V.BRANDS)}) AND w <> {other_than})"
+    others = f"exists(array({_listed(LONG_BRANDS)}), b -> contains({text}, b) AND b <> {other_than})"
+    return F.expr(f"{whole} OR ({text} RLIKE '{LONG_BRAND}' AND ({other_than} NOT IN ({_listed(LONG_BRANDS)}) OR {others}))")
 
 
-def is_typo(word: Column) -> Column:
-    """Whether a word of 5 to 40 characters is one edit away from a long brand, and none itself."""
-    near = F.element_at(F.array(*[_array(words) if words else F.array().cast("array<string>") for words in NEAR_LENGTH]), F.length(word) + 1)
-    close = F.exists(near, lambda b: F.levenshtein(b, word, 1) == 1)
-    return F.length(word).between(5, len(NEAR_LENGTH) - 1) & ~word.isin(LONG_BRANDS) & close
+def is_typo(word: str) -> Column:
+    """Whether a word of 5 to 40 characters (the name of a column) is one edit away from a long brand, and none itself."""
+    near = f"element_at(array({', '.join(f'cast({x} AS array<string>)' for x in NEAR_LENGTH)}), length({word}) + 1)"
+    return F.expr(f"length({word}) BETWEEN 5 AND {len(NEAR_LENGTH) - 1} AND {word} NOT IN ({_listed(LONG_BRANDS)}) AND exists({near}, b -> levenshtein(b, {word}, 1) = 1)")
 
 
 def folded(word: Column) -> Column:
     """A word with look-alike characters, digits and pairs replaced by what they imitate."""
     plain = F.when(F.contains(word, F.lit("xn--")), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toUnicode"), word), word)).otherwise(word)
-    plain = F.translate(F.translate(plain, *V.CONFUSABLE), *V.LEET)
+    plain = F.translate(F.translate(plain, *V.CONFUSABLE), "".join(V.LEET), "".join(V.LEET.values()))
     return F.replace(F.replace(plain, F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
 
 
@@ -74,7 +74,7 @@ def _parts() -> list[dict[str, Column]]:
             "_labels": F.split("_host", "\\.", -1), "_segs": F.array_remove(F.split("_path", "/", -1), ""),
             "_params": F.transform(F.array_remove(F.split("_query", "&", -1), ""), lambda kv: F.lower(F.substring_index(kv, "=", 1))),
             "_host_tokens": tokens(F.concat_ws(" ", "_sub", "_sld")), "_sub_tokens": tokens(c("_sub")), "_sld_tokens": tokens(c("_sld")),
-            "_sld_is_brand": c("_sld").isin(V.BRANDS), "_fold": folded(c("_sld")), "_sld_letters": F.regexp_replace("_sld", "[^\\p{L}]", ""),
+            "_sld_is_brand": F.expr(f"_sld IN ({_listed(V.BRANDS)})"), "_fold": folded(c("_sld")), "_sld_letters": F.regexp_replace("_sld", "[^\\p{L}]", ""),
         },
         {
             "_last": F.when(F.size("_segs") > 0, F.lower(F.element_at("_segs", -1))).otherwise(""), "_rest_tokens": tokens(c("_rest")),
@@ -88,9 +88,10 @@ def _features() -> dict[str, Column]:
     u, host, sub, sld, path, query, suffix = (c(f"_{k}") for k in ("u", "host", "sub", "sld", "path", "query", "suffix"))
     labels = F.size("_labels")
     inside = lambda w: F.contains(c("_rest"), F.lit(w))
-    member = lambda hosts, *cols: F.greatest(*[one_zero(x.isin(hosts)) for x in cols])
+    among = lambda words, name: F.expr(f"{name} IN ({_listed(words)})")
+    member = lambda hosts, *names: F.greatest(*[one_zero(among(hosts, x)) for x in names])
     longest = lambda words: F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0))
-    suspicious = lambda words: F.size(F.filter(words, lambda w: w.isin(V.SUSPICIOUS_WORDS)))
+    suspicious = lambda name: F.expr(f"size(filter({name}, w -> w IN ({_listed(V.SUSPICIOUS_WORDS)})))")
     host_words = sum((F.when(F.contains(host, F.lit(w)) & ~F.array_contains("_host_tokens", w), 1).otherwise(0) for w in V.HOST_WORDS), F.lit(0))
     out = {
         "url_len": F.length(u), "scheme_http": one_zero(p("scheme") == "http"), "has_userinfo": one_zero(p("userinfo") != ""), "n_at": count_of(u, "@"),
@@ -99,7 +100,7 @@ def _features() -> dict[str, Column]:
         "digit_ratio": c("_nd") / c("_L"), "letter_ratio": c("_na") / c("_L"), "upper_ratio": n_upper(u) / c("_L"), "special_ratio": (c("_L") - c("_nd") - c("_na")) / c("_L"),
         "url_entropy": entropy(u), "n_pct_encoded": F.size(F.split(u, "%[0-9a-fA-F]{2}", -1)) - 1, "non_ascii": n_non_ascii(u),
         "double_slash_in_path": one_zero(F.contains(path, F.lit("//"))), "embedded_url": one_zero(inside("http:") | inside("https:") | inside("www.")),
-        "n_params": F.size("_params"), "redirect_param": one_zero(F.exists("_params", lambda k: k.isin(V.REDIRECT_PARAMETERS))),
+        "n_params": F.size("_params"), "redirect_param": one_zero(F.expr(f"exists(_params, k -> k IN ({_listed(V.REDIRECT_PARAMETERS)}))")),
         "host_len": F.length(host), "host_n_labels": labels, "n_sub_labels": F.when(sub == "", 0).otherwise(F.size(F.split(sub, "\\.", -1))), "sub_len": F.length(sub),
         "www_prefix": one_zero(c("_labels")[0] == "www"), "host_n_hyphens": count_of(host, "-"), "host_n_digits": c("_nhd"), "host_digit_ratio": _ratio(c("_nhd"), F.length(host)),
         "host_is_ip": one_zero(p("ip") > 0), "host_is_ipv6": one_zero(p("ip") == 6), "host_punycode": one_zero(F.contains(host, F.lit("xn--"))),
@@ -109,16 +110,16 @@ def _features() -> dict[str, Column]:
         "sld_vowel_ratio": _ratio(F.length(F.regexp_replace("_sld_letters", "[^aeiou]", "")), F.length("_sld_letters")),
         "sld_max_consonant_run": max_run(sld, "[b-df-hj-np-tv-z]"), "sld_max_digit_run": max_run(sld, "[0-9]"), "sld_digit_letter_switches": switches(sld),
         "tld_len": F.length(F.substring_index(suffix, ".", -1)), "suffix_n_labels": F.when(suffix == "", 0).otherwise(count_of(suffix, ".") + 1),
-        "private_suffix": one_zero(p("private_suffix")), "user_content_host": member(V.USER_CONTENT_HOSTS, host, c("_reg"), suffix), "shortener": member(V.SHORTENERS, host, c("_reg")),
+        "private_suffix": one_zero(p("private_suffix")), "user_content_host": member(V.USER_CONTENT_HOSTS, "_host", "_reg", "_suffix"), "shortener": member(V.SHORTENERS, "_host", "_reg"),
         "path_len": F.length(path), "path_depth": F.size("_segs"), "path_max_seg_len": longest(c("_segs")), "path_digit_ratio": _ratio(n_digits(path), F.length(path)),
         "path_entropy": entropy(path), "query_len": F.length(query),
-        "ext_server": one_zero(c("_ext").isin(V.SERVER_EXTENSIONS)), "ext_page": one_zero(c("_ext").isin(V.PAGE_EXTENSIONS)), "ext_risky": one_zero(c("_ext").isin(V.RISKY_EXTENSIONS)),
+        "ext_server": one_zero(among(V.SERVER_EXTENSIONS, "_ext")), "ext_page": one_zero(among(V.PAGE_EXTENSIONS, "_ext")), "ext_risky": one_zero(among(V.RISKY_EXTENSIONS, "_ext")),
         "is_homepage": one_zero((F.size("_segs") == 0) & (query == "")),
-        "sus_words_host": suspicious(c("_host_tokens")) + host_words, "sus_words_path": suspicious(c("_rest_tokens")),
+        "sus_words_host": suspicious("_host_tokens") + host_words, "sus_words_path": suspicious("_rest_tokens"),
         "wp_path": one_zero(inside("wp-content") | inside("wp-includes") | inside("wp-admin")),
-        "brand_is_sld": one_zero(c("_sld_is_brand")), "brand_in_sld_not_equal": one_zero(~c("_sld_is_brand") & names_brand(c("_sld_tokens"), sld, F.lit(""))),
-        "brand_in_sub": one_zero(names_brand(c("_sub_tokens"), sub, sld)), "brand_in_path": one_zero(names_brand(c("_rest_tokens"), c("_rest"), sld)),
-        "brand_typo": one_zero(~c("_sld_is_brand") & (is_typo(sld) | ((c("_fold") != sld) & c("_fold").isin(V.BRANDS)))),
+        "brand_is_sld": one_zero(c("_sld_is_brand")), "brand_in_sld_not_equal": one_zero(~c("_sld_is_brand") & names_brand("_sld_tokens", "_sld", "''")),
+        "brand_in_sub": one_zero(names_brand("_sub_tokens", "_sub", "_sld")), "brand_in_path": one_zero(names_brand("_rest_tokens", "_rest", "_sld")),
+        "brand_typo": one_zero(~c("_sld_is_brand") & (is_typo("_sld") | ((c("_fold") != sld) & among(V.BRANDS, "_fold")))),
         "n_host_tokens": F.size("_host_tokens"), "suffix_gov_edu": one_zero(suffix.rlike(V.GOV_EDU)),
     }
     return {k: v.cast("double") for k, v in out.items()}

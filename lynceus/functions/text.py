@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.values import OTHER_DIGITS
@@ -14,6 +16,16 @@ ASCII_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGIT = f"[\\p{{Nd}}{OTHER_DIGITS}]"
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns, added or replaced, through a generator that makes one row of each.
+
+    Joins by them are planned in no time: the optimiser looks for the origin of a join's keys through every
+    projection below, which takes seconds where they are made of many others, and stops at a generator.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def strip(s: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(s, f"(?U)^{SPACE}+|{SPACE}+$", "")
@@ -97,3 +109,22 @@ def one_zero(c: Column) -> Column:
 def bucket(group: Column, salt: str) -> Column:
     """A bucket from 0 to 99, by the first 32 bits of an MD5 of salt, a bar and the group."""
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), group)), 1, 8), 16, 10).cast("long") % 100).cast("int")
+
+
+#: Powers of ten as sums of powers of two, in an order in which each partial sum is at least half and at most twice what is left.
+BINARY = {1: (8.0, 2.0), 3: (1024.0, -16.0, -8.0)}
+
+
+def fixed(v: Column, digits: int) -> Column:
+    """A number with one or three digits after the point; a half goes by the binary value, and to the even digit if it is one exactly.
+
+    How far a scaled number is from a half is found without rounding: its parts are powers of two times the number,
+    and differences of doubles within a factor of two of each other are exact.
+    """
+    size, first, *others = F.abs(v), *BINARY[digits]
+    low = F.floor(size * float(10**digits))
+    over = size * first - (low + F.lit(0.5))
+    for part in others:
+        over = over + size * part
+    n = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(v < 0, "-").otherwise(""), (n.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-digits))).cast("string"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions.suffix import SuffixRules, split_hosts
-from lynceus.functions.text import is_ascii, strip, unquote
+from lynceus.functions.text import is_ascii, settled, strip, unquote
 
 HEX = "[0-9a-fA-F]{1,4}"
 SPLIT = "^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?(?:#([\\s\\S]*))?"
@@ -81,15 +81,16 @@ def parse(df: DataFrame, column: str = "url", rules: SuffixRules | None = None,
     step = step.withColumn("_unicode", unquote(F.col("_host"))).withColumn("_host", to_ascii(F.col("_unicode")))
     step = step.withColumn("_ip", F.when(F.col("_host") == "", 0).otherwise(ip_version(F.col("_host"))))
     bad_port = F.col("_port").isNotNull() & ~(F.col("_port").rlike("^0*[1-9][0-9]{0,4}$") & (F.try_to_number(F.substring(F.regexp_replace("_port", "^0+(?=.)", ""), 1, 5), F.lit("99999")) < 65536))
+    step = settled(step, {"_host": F.col("_host"), "_ip": F.col("_ip"), "_bad": bad_port})
     step = split_hosts(step, F.when((F.col("_ip") > 0) | (F.col("_host") == ""), F.lit(None)).otherwise(F.col("_host")), rules)
     whole = F.col("_sub").isNull()
     values = {
         "url": F.col("_url"), "scheme": F.col("_scheme"), "netloc": F.col("_netloc"), "userinfo": F.col("_user"), "host": F.col("_host"), "host_unicode": F.col("_unicode"),
-        "port": F.col("_port"), "port_error": F.coalesce(bad_port, F.col("_port").isNotNull()), "path": F.col("_path"), "query": F.col("_query"), "fragment": F.col("_fragment"),
+        "port": F.col("_port"), "port_error": F.coalesce("_bad", F.col("_port").isNotNull()), "path": F.col("_path"), "query": F.col("_query"), "fragment": F.col("_fragment"),
         "sub": F.when(whole, "").otherwise(F.col("_sub")), "reg": F.when(whole, F.col("_host")).otherwise(F.col("_reg")), "suffix": F.when(whole, "").otherwise(F.col("_suffix")),
         "private_suffix": F.coalesce("_private", F.lit(False)), "ip": F.col("_ip"),
     }
-    return step.select(*[F.col(f"`{c}`") for c in kept if c != out], F.struct(*[values[k].alias(k) for k in FIELDS]).alias(out))
+    return settled(step.select(*[F.col(f"`{c}`") for c in kept if c != out], F.struct(*[values[k].alias(k) for k in FIELDS]).alias(out)), {out: F.col(out)})
 
 
 def canonical(p: Column) -> Column:

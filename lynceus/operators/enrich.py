@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.functions import values as V
-from lynceus.functions.text import has_space, one_zero, strip
-from lynceus.operators.scoring import MODES, ModelDocument, judged, tree_scores, vector
+from lynceus.functions.text import has_space, one_zero, settled, strip
+from lynceus.operators.scoring import FAILED, MODES, ModelDocument, judged, tree_scores, vector
 
 NAN = float("nan")
 ANSWERED = ("ok", "nodata", "nxdomain")
@@ -145,7 +145,7 @@ def enrich(scored: DataFrame, model: ModelDocument, second: ModelDocument, dns:
     domain = (s != "") & ~has_space(s) & (p["host"] != "") & ((p["ip"] > 0) | F.contains(p["host"], F.lit(".")))
     first = ["raw", "x", "contributions", "probability", "adjusted", "fraud_verdict", "confidence", "reasons"]
     step = scored.withColumns({"_gate": gate, "_can": gate & domain & (p["ip"] == 0) & ~is_platform(p), "_first": F.struct(*first)})
-    step = step.withColumns({"_host": F.when(F.col("_can"), p["host"]), "_reg": F.when(F.col("_can") & ~p["private_suffix"], p["reg"])})
+    step = settled(step, {"_host": F.when(F.col("_can"), p["host"]), "_reg": F.when(F.col("_can") & ~p["private_suffix"], p["reg"])})
     facts = dns.select(F.col("host").alias("_dk"), F.struct("*").alias("_d"))
     records = rdap.select(F.col("reg").alias("_rk"), F.struct("*").alias("_r"))
     step = step.join(facts, F.col("_host") == F.col("_dk"), "left").join(records, F.col("_reg") == F.col("_rk"), "left").drop("_dk", "_rk")
@@ -154,7 +154,7 @@ def enrich(scored: DataFrame, model: ModelDocument, second: ModelDocument, dns:
     step = step.withColumn("_use", F.coalesce(F.col("_can") & F.col("error").isNull() & (F.col("_e.dns_resolves") == 1.0), F.lit(False)))
     step = step.withColumn("_x2", F.when(F.col("_use"), vector(second, "_e", DNS_FEATURES + RDAP_FEATURES)))
     step = step.withColumn("_s", tree_scores(scored.sparkSession, second, F.col("_x2")))
-    step = step.withColumns({"raw": F.col("raw") + F.col("_s.raw"), "x": F.concat("x", "_x2"), "contributions": F.concat("contributions", "_s.contributions")})
+    step = step.withColumns({"error": F.coalesce("error", F.concat(F.lit(FAILED), F.col("_s.failure"))), "raw": F.col("raw") + F.col("_s.raw"), "x": F.concat("x", "_x2"), "contributions": F.concat("contributions", "_s.contributions")})
     step = judged(step, second, model.features + second.features, base_rate)
     step = step.withColumns({c: F.when(F.col("_use"), F.col(c)).otherwise(F.col(f"_first.{c}")) for c in first})
 

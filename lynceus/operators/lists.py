@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lynceus.functions.text import strip
+from lynceus.functions.text import settled, strip
 from lynceus.functions.url import _legacy_part, normal_target, parse, prefix_candidates
 
 #: Hosts up to which the table of a list is broadcast (about 100 bytes each).
@@ -95,7 +95,7 @@ def read_lists(spark: SparkSession, allow: list[str] = (), block: list[str] = ()
             try:
                 text = spark.read.text(path, wholetext=True)
             except Exception as e:
-                raise ListError(f"{kind} list not found: {path}") from e
+                raise ListError(f"the {kind} list {path} can't be read") from e
             frames.append(text.select(F.lit(kind).alias("kind"), F.lit(path).alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text")))
     if not frames:
         return None
@@ -120,9 +120,9 @@ def read_lists(spark: SparkSession, allow: list[str] = (), block: list[str] = ()
         for path in paths:
             r = seen.get((kind, path))
             if r is None or not r.good:
-                raise ListError(f"{kind} list {path} has no valid entries (one domain or URL per line)")
+                raise ListError(f"nothing in the {kind} list {path} is a domain, an address or a URL: no valid entries")
             if r.bad:
-                notes.append(f"{kind} list {path}: {r.bad} line(s) skipped as not a domain, IP or URL (first: line {r['first']})")
+                notes.append(f"{r.bad} of the lines of the {kind} list {path} are no entries and were left out (first: line {r['first']})")
             counts[kind] = counts.get(kind, 0) + r.good
     return UserLists(parsed.where("good").select("kind", "host", "prefix", "wild"), notes, counts)
 
@@ -150,7 +150,8 @@ def match_lists(df: DataFrame, entries: DataFrame, p: str = "p") -> DataFrame:
     n, depth = table.agg(F.count(F.lit(1)), F.max(F.size(F.split("host", "\\.")))).first()
     side = F.broadcast(table) if n <= MAX_BROADCAST else table
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("list_kind", "list_entry")]
-    step = df.withColumn("_h", list_host(F.col(p))).withColumns({"_c": prefix_candidates(normal_target(F.col(f"{p}.path"), F.col(f"{p}.query"))), "_l": F.split("_h", "\\.")})
+    step = settled(df, {"_h": list_host(F.col(p)), "_t": normal_target(F.col(f"{p}.path"), F.col(f"{p}.query"))})
+    step = settled(step, {"_c": prefix_candidates(F.col("_t")), "_l": F.split("_h", "\\.")})
     levels = []
     for k in [0, *range(depth or 0, 0, -1)]:  # 0 is the whole host, which may be an IP
         at = side.select(*[F.col(c).alias(f"_{k}_{c}") for c in table.columns])

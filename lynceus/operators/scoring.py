@@ -1,7 +1,7 @@
 """Scoring with a tree-ensemble document: vector, raw score and attribution, calibration, verdict, reasons.
 
-Only the walk through the trees and the wording of the few reasons shown are Python, in Arrow batches; the model
-goes to the workers by broadcast once. Everything else is a column expression.
+Only the walk through the trees is Python, in Arrow batches; the model goes to the workers by broadcast once.
+Everything else is a column expression.
 """
 
 from __future__ import annotations
@@ -14,19 +14,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lynceus.functions import values as V
 from lynceus.functions.features import FEATURES, extract
 from lynceus.functions.reasons import worded
 from lynceus.functions.suffix import SuffixRules
-from lynceus.functions.text import has_space, strip
+from lynceus.functions.text import fixed, has_space, settled, strip
 from lynceus.functions.url import parse
 
 ZERO = 1e-35
 #: A document's suffix table has a few thousand rows; a larger one is joined by a shuffle.
 MAX_SUFFIXES = 200_000
 ERRORS = ("empty URL", "could not parse a hostname from this value", "not a URL (contains spaces or has no domain name)")
+FAILED = "scoring failed: "
 MODES = {"offline": "offline (URL text only)", "enriched": "enriched (URL + DNS + RDAP)", "unavailable": "offline (enrichment unavailable for this URL)", "clear": "offline (URL text only; clear without lookups)"}
 
 
@@ -113,9 +113,10 @@ def suffix_logit(df: DataFrame, rates: dict[str, float] | DataFrame, prior: floa
     if not isinstance(rates, DataFrame) and len(rates) <= MAX_SUFFIXES:
         table = F.broadcast(table)
     key = F.coalesce(F.col(suffix), F.lit(""))
-    for name, k in (("_full", key), ("_last", F.substring_index(key, ".", -1))):
+    df = settled(df, {"_full_of": key, "_last_of": F.substring_index(key, ".", -1)})
+    for name in ("_full", "_last"):
         at = table.select(F.col("suffix").alias(f"{name}_key"), F.col("rate").alias(name))
-        df = df.withColumn(f"{name}_of", k).join(at, F.col(f"{name}_of") == F.col(f"{name}_key"), "left").drop(f"{name}_of", f"{name}_key")
+        df = df.join(at, F.col(f"{name}_of") == F.col(f"{name}_key"), "left").drop(f"{name}_of", f"{name}_key")
     rate = F.least(F.greatest(F.coalesce("_full", "_last", F.lit(prior)), F.lit(1e-4)), F.lit(1 - 1e-4))
     return df.withColumn(out, F.ln(rate / (1 - rate))).drop("_full", "_last")
 
@@ -128,21 +129,37 @@ def vector(model: ModelDocument, f: str = "f", known: list[str] = FEATURES, more
 
 
 def tree_scores(spark: SparkSession, model: ModelDocument, x: Column) -> Column:
-    """struct<raw double, contributions array<double>> of a vector column; null for a null vector."""
+    """struct<raw double, contributions array<double>, failure string> of a vector column; null for a null vector.
+
+    A row whose scoring raises has a failure, the kind of exception, and nothing else; it doesn't stop the others.
+    """
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("raw double, contributions array<double>")
+    @F.pandas_udf("raw double, contributions array<double>, failure string")
     def score(vectors: pd.Series) -> pd.DataFrame:
-        m, there = shared.value, vectors.notna().to_numpy()
-        rows = np.stack(vectors[there].to_list()).astype("float64") if there.any() else np.zeros((0, len(m.features)))
-        parts = np.zeros_like(rows)
-        raw, each = np.full(len(vectors), np.nan), iter(parts)
-        raw[there] = m.raw(rows, parts)
-        return pd.DataFrame({"raw": raw, "contributions": [next(each) if t else None for t in there]})
+        raw, parts, failure = _scored(shared.value, [v for v in vectors if v is not None])
+        there = vectors.notna().to_numpy()
+        spread = lambda values, none: [next(values) if t else none for t in there]
+        return pd.DataFrame({"raw": spread(iter(raw), np.nan), "contributions": spread(iter(parts), None), "failure": spread(iter(failure), None)})
 
     return F.when(x.isNotNull(), score(x))
 
 
+def _scored(model: ModelDocument, vectors: list) -> tuple[list, list, list]:
+    """(raw scores, contributions, failures) of vectors: all at once, or one by one if that raises."""
+    if not vectors:
+        return [], [], []
+    try:
+        rows = np.stack(vectors).astype("float64")
+        parts = np.zeros_like(rows)
+        return list(model.raw(rows, parts)), list(parts), [None] * len(vectors)
+    except Exception as e:
+        if len(vectors) == 1:
+            return [np.nan], [None], [type(e).__name__]
+        one = [_scored(model, [v]) for v in vectors]
+        return tuple([r[k][0] for r in one] for k in range(3))
+
+
 def calibrated(model: ModelDocument, raw: Column) -> Column:
     """The probability of a raw score: Platt, isotonic (linear between its points) or logistic."""
     c = model.calibration
@@ -194,7 +211,7 @@ def score_urls(df: DataFrame, model: ModelDocument, column: str = "url", base_ra
     """df with p, f, tld, error, x, raw, contributions, probability (unadjusted), adjusted, fraud_verdict, confidence, reasons, registrable_domain.
 
     Rows that can't be scored have the verdict ERROR and nulls. They are told apart before any Python runs,
-    and their vectors are null, so the trees never see them.
+    and their vectors are null, so the trees never see them. A row whose scoring raises is an ERROR too.
     """
     out = extract(parse(df, column, rules))
     out = out.withColumn("error", error_of(F.col(f"`{column}`"), F.col("p")))
@@ -202,7 +219,8 @@ def score_urls(df: DataFrame, model: ModelDocument, column: str = "url", base_ra
     if "tld_logit" in model.features:
         out, more = suffix_logit(out, model.suffix_rates, model.suffix_prior), {"tld_logit": F.col("tld_logit")}
     out = out.withColumn("x", F.when(F.col("error").isNull(), vector(model, more=more)))
-    out = out.withColumn("_s", tree_scores(df.sparkSession, model, F.col("x"))).withColumns({"raw": F.col("_s.raw"), "contributions": F.col("_s.contributions")})
+    out = out.withColumn("_s", tree_scores(df.sparkSession, model, F.col("x")))
+    out = out.withColumns({"raw": F.col("_s.raw"), "contributions": F.col("_s.contributions"), "error": F.coalesce("error", F.concat(F.lit(FAILED), F.col("_s.failure")))})
     return judged(out.drop("_s", "tld_logit"), model, model.features, base_rate)
 
 
@@ -217,10 +235,9 @@ def judged(df: DataFrame, model: ModelDocument, names: list[str], base_rate: flo
     return out.withColumn("reasons", worded(names, top, F.col("tld")))
 
 
-@F.pandas_udf(StringType())
-def fixed3(values: pd.Series) -> pd.Series:
+def fixed3(value: Column) -> Column:
     """Three decimals, halves as the binary value has them; empty for a missing value."""
-    return values.map(lambda v: "" if pd.isna(v) else f"{v:.3f}")
+    return F.when(F.isnan(value), "").otherwise(F.coalesce(fixed(value, 3), F.lit("")))
 
 
 OUTPUT = ["fraud_verdict", "fraud_probability", "verdict_confidence", "top_reasons", "registrable_domain", "analysis_mode", "lookup_status", "error"]

@@ -109,7 +109,7 @@ def query_params(spark, sf):
 @query
 def brand_typo(spark, sf):
     w = spark.createDataFrame([(x,) for x in WORDS], "word string")
-    return w.select("word", is_typo(F.col("word")).alias("typo"), folded(F.col("word")).alias("folded"))
+    return w.select("word", is_typo("word").alias("typo"), folded(F.col("word")).alias("folded"))
 
 
 @query

@@ -35,17 +35,19 @@ def analyse(
         by_list = F.concat(F.lit("your "), F.col("list_kind"), F.lit(" list"))
         out = out.withColumns({"analysis_mode": F.coalesce(by_list, F.lit(MODES["offline"])), "lookup_status": F.lit("")})
     out = out.withColumns({"model_verdict": F.col("fraud_verdict"), "model_probability": F.col("adjusted")})
+    # As texts in a projection of their own: several cells of the results show them.
+    out = out.withColumns({"probability_text": fixed3(F.col("model_probability")), "confidence_text": fixed3(F.col("confidence")), "offline_text": fixed3(F.col("offline_probability"))})
     return out.withColumn("fraud_verdict", F.when(F.col("list_kind") == "block", "FRAUD").when(F.col("list_kind") == "allow", "LEGITIMATE").otherwise(F.col("fraud_verdict")))
 
 
 def result_cells(out: DataFrame) -> dict[str, Column]:
     """The eight result columns as text, as they go to CSV."""
     listed = F.col("list_kind").isNotNull()
-    probability = fixed3(F.col("model_probability"))
+    probability = F.col("probability_text")
     alone = F.concat(F.col("model_verdict"), F.when(probability != "", F.concat(F.lit(" ("), probability, F.lit(")"))).otherwise(""))
     by_list = F.concat(F.lit("on your "), F.col("list_kind"), F.lit(" list (entry '"), F.col("list_entry"), F.lit("'); the model alone said "), alone)
     cells = {
-        "fraud_verdict": F.col("fraud_verdict"), "fraud_probability": F.when(listed, "").otherwise(probability), "verdict_confidence": F.when(listed, "").otherwise(fixed3(F.col("confidence"))),
+        "fraud_verdict": F.col("fraud_verdict"), "fraud_probability": F.when(listed, "").otherwise(probability), "verdict_confidence": F.when(listed, "").otherwise(F.col("confidence_text")),
         "top_reasons": F.when(listed, by_list).otherwise(F.array_join(F.coalesce("reasons", F.array().cast("array<string>")), "; ")), "registrable_domain": F.col("registrable_domain"),
         "analysis_mode": F.col("analysis_mode"), "lookup_status": F.col("lookup_status"), "error": F.col("error"),
     }
@@ -55,19 +57,19 @@ def result_cells(out: DataFrame) -> dict[str, Column]:
 def json_records(out: DataFrame, url: str, keys: dict[str, str] | None = None) -> Column:
     """A JSON text per row: the results with numbers and nulls, the stages they came from, and the input's cells by key."""
     listed = F.col("list_kind").isNotNull()
-    number = lambda c: F.when(c.isNotNull(), fixed3(c).cast("double"))
+    number = lambda text: F.nullif(F.col(text), F.lit("")).cast("double")
     filled = lambda c: F.nullif(c, F.lit(""))
     cells = result_cells(out)
     offline_v = F.when(listed, F.col("model_verdict")).otherwise(F.col("offline_verdict"))
-    offline_p = F.when(listed, F.col("model_probability")).otherwise(F.col("offline_probability"))
-    stages = {"offline_check": F.to_json(F.struct(offline_v.alias("verdict"), number(offline_p).alias("probability")), {"ignoreNullFields": "false"})}
+    offline_p = F.when(listed, number("probability_text")).otherwise(number("offline_text"))
+    stages = {"offline_check": F.to_json(F.struct(offline_v.alias("verdict"), offline_p.alias("probability")), {"ignoreNullFields": "false"})}
     stages["your_list"] = F.when(listed, F.to_json(F.struct(F.col("list_kind").alias("list"), F.col("fraud_verdict").alias("decision"))))
     if "evidence" in out.columns:
         stages["lookups"] = F.to_json("evidence", {"ignoreNullFields": "false"})
     staged = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in stages.items()]), F.lit("}"))
     reasons = F.when(listed, F.array(cells["top_reasons"])).otherwise(F.coalesce("reasons", F.array().cast("array<string>")))
     main = F.struct(
-        F.col(f"`{url}`").alias("url"), F.col("fraud_verdict"), F.when(~listed, number(F.col("model_probability"))).alias("fraud_probability"), F.when(~listed, number(F.col("confidence"))).alias("verdict_confidence"),
+        F.col(f"`{url}`").alias("url"), F.col("fraud_verdict"), F.when(~listed, number("probability_text")).alias("fraud_probability"), F.when(~listed, number("confidence_text")).alias("verdict_confidence"),
         reasons.alias("top_reasons"), filled(F.col("registrable_domain")).alias("registrable_domain"), F.col("analysis_mode"), filled(F.col("lookup_status")).alias("lookup_status"), filled(F.col("error")).alias("error"),
     )
     text = F.to_json(main, {"ignoreNullFields": "false", "writeNonAsciiCharacterAsCodePoint": "true"})

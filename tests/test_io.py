@@ -1,11 +1,12 @@
 import csv
+import io
 import json
 
 import pytest
 
 from lynceus.cli import RunError, main, run
 from lynceus.sources import cache, feeds
-from lynceus.sources.delimited import InputError, detect_delimiter, pick_column, read_delimited, unique_names
+from lynceus.sources.delimited import Cells, InputError, head_delimiter, read_delimited, unique_names
 from lynceus.sources.lookup import with_retries
 
 
@@ -40,11 +41,38 @@ def test_shapes(spark, tmp_path):
         read_delimited(spark, f"file://{tmp_path}/none")
 
 
-def test_columns():
-    assert pick_column(["domain", "url"], []) == 1 and pick_column(["S.No", "Site Link"], []) == 1 and pick_column(["a", "b"], [["x", "http://q.test"]]) == 1
-    assert unique_names(["a", "", "a", "a"]) == ["a", "column_2", "a_2", "a_3"] and detect_delimiter(["a,b\n", "c\n"]) == "\n"
+def test_columns(spark):
+    pick = lambda header, rows, wanted=None: Cells.of(spark, [header, *rows]).url_index(wanted, True)
+    assert pick(["domain", "url"], []) == 1 and pick(["S.No", "Site Link"], []) == 1 and pick(["a", "b"], [["x", "http://q.test"]]) == 1
+    assert unique_names(["a", "", "a", "a"]) == ["a", "column_2", "a_2", "a_3"] and head_delimiter(spark, "a,b\nc\n") == "\n"
+    assert head_delimiter(spark, '"a,b";c\n"d";"e,f"') == ";"
     with pytest.raises(InputError):
-        pick_column(["a"], [], "b")
+        pick(["a"], [], "b")
+
+
+def test_cells_over_lines_and_splits(spark, tmp_path):
+    """Quoted cells with line breaks, doubled quotes and stray quotes, cut into many splits, against the csv module."""
+    rows = [["id", "url", "note"]] + [[str(i), f"http://a{i}.test/", ["plain", 'two\nlines "quoted"', "\n\n", '"', 'a,b\n"",c', ""][i % 6]] for i in range(400)]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(rows)
+    data = text.getvalue().replace("plain\n", 'a 5" disk\n', 20)
+    want = [tuple(r) for r in list(csv.reader(io.StringIO(data, newline="")))[1:]]
+    uri = write(tmp_path / "many", data)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got, layout = rows_of(spark, uri)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and len(layout.splits) > 10 and layout.multi_line
+
+
+def test_folder(spark, tmp_path):
+    for name, first in (("x", 0), ("y", 100), ("z", 200)):
+        write(tmp_path / name, "id,url\n" + "".join(f"{first + k},http://a{k}.test\n" for k in range(50 + first)))
+    got, layout = rows_of(spark, f"file://{tmp_path}")
+    assert [int(r[0]) for r in got] == [*range(50), *range(100, 250), *range(200, 450)] and layout.header == ["id", "url"]
 
 
 def test_csv_run(spark, tmp_path):

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lynceus.functions.reasons import reason
+from lynceus.functions.reasons import worded
+from lynceus.functions.text import fixed
 from lynceus.operators import enrich
 from lynceus.operators.lists import ListError, match_lists, read_lists
-from lynceus.operators.scoring import ModelDocument, calibrated, guarded, prior_shifted, score_urls, verdict
+from lynceus.operators.scoring import ModelDocument, Tree, calibrated, guarded, prior_shifted, score_urls, verdict
 from lynceus.operators.toy import offline_model, second_model
 from lynceus.plans.urls import analyse, result_cells
 
@@ -69,11 +70,33 @@ def test_errors_and_order(spark):
     assert all(got[i][1].startswith("not a URL") for i in (3, 4, 6))
 
 
-def test_reasons():
+def test_reasons(spark):
+    def reason(name, value, contribution, suffix=""):
+        row = spark.createDataFrame([([(0, float(value), float(contribution))], suffix)], "t array<struct<index:int,value:double,contribution:double>>, s string")
+        return "".join(row.select(worded([name], F.col("t"), F.col("s"))).first()[0])
+
     assert reason("path_len", 1, 0.2) == "no path (raises risk)" and reason("n_params", 2, -1) == "2 query parameters (lowers risk)"
     assert reason("tld_logit", 0.0, 1, "test") == "domain ending '.test' (50% of training URLs with it were phishing) (raises risk)"
     assert reason("url_len", float("nan"), 1) == "" and reason("domain_age_days_log", math.log10(401), 1) == "domain registered about 13 months ago (raises risk)"
     assert reason("sld_vowel_ratio", 0.1, 1) == "domain name is 10% vowels (unpronounceable) (raises risk)" and reason("odd_one", 2.5, 1) == "odd one = 2.5 (raises risk)"
+    assert reason("url_entropy", 4.25, 1) == "URL randomness 4.2 bits/char (raises risk)" and reason("digit_ratio", 0.125, 1) == "12% of characters are digits (raises risk)"
+
+
+def test_fixed(spark):
+    values = [k / 2000 for k in range(2001)] + [k / 16 for k in range(160)] + np.random.default_rng(3).random(2000).tolist() + [-0.0625, -2.5]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed(F.col("v"), 3).alias("a"), fixed(F.col("v"), 1).alias("b")).collect()
+    assert all((r.a, r.b) == (f"{r.v:.3f}", f"{r.v:.1f}") for r in got)
+
+
+def test_failed_rows(spark):
+    """A row whose scoring raises is an ERROR and doesn't stop the others."""
+    broken = {"f": [0, 99], "t": [30.5, 0.0], "l": [-1, -2], "r": [1, -3], "d": [True, True], "m": [0, 0], "v": [0.0, 0.0], "lv": [0.1, 0.2, 0.3]}
+    odd = offline_model()
+    odd.trees.append(Tree.of(broken))  # long URLs reach a split on a feature that there isn't
+    got = {r.url: r for r in score_urls(spark.createDataFrame([("http://a.test/",), ("http://a-long-one.test/" + "x" * 30,), ("",)], "url string"), odd).collect()}
+    bad = got["http://a-long-one.test/" + "x" * 30]
+    assert bad.fraud_verdict == "ERROR" and bad.error == "scoring failed: IndexError" and bad.probability is None and bad.reasons is None
+    assert got["http://a.test/"].fraud_verdict != "ERROR" and got[""].error == "empty URL"
 
 
 def test_guard(spark):
