@@ -16,9 +16,11 @@ MIN_HOT_ROWS = 100
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lynceus-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -34,7 +36,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `table` wrote and nothing reads any more."""
+    for t in tables:
+        jpath = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        jpath.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -82,3 +93,13 @@ def lookup(rows: DataFrame, stats: DataFrame, key: str, spread: Column) -> DataF
     out = out.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")
     keep = [F.col(f"`{c}`") for c in rows.columns]
     return out.select(*keep, *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in values])
+
+
+def matched(rows: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows with stats by key (n isn't added), in which no key's rows meet in one task.
+
+    stats is as for `lookup`. Rows with hot keys never leave their tasks; the others are joined by a shuffle.
+    """
+    hot = F.broadcast(hot_keys(stats, key).drop("n"))
+    seldom = stats.join(hot.select(key), key, "left_anti").drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(seldom, key))

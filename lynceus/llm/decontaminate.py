@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import ascii_lower, small, table
+from lynceus.llm.common import ascii_lower, matched, path_exists, small, table
 
 #: What separates words: ASCII without letters and digits. The same before they are lower-cased.
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -23,6 +23,8 @@ CASED_SEPARATOR = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Rows up to which a side is broadcast: terms and windows have about 100 bytes, document keys 16.
 MAX_TERMS, MAX_WINDOWS, MAX_DOCS = 100_000, 100_000, 500_000
 KEY = ["_id", "_h"]
+#: Parts into which a term's postings are dealt for a shuffled join.
+SALTS = 32
 #: Terms of a window that are looked up for exact matches and for proximity, and how many of the latter stand in place in a near copy.
 EXACT_TERMS, NEAR_TERMS, NEAR_LEAST = 2, 4, 3
 
@@ -81,15 +83,38 @@ def rarest_terms(windows: DataFrame, counts: DataFrame, k: int = EXACT_TERMS) ->
     return roles.select("wid", "len", "needed", "role", F.col("_x.term").alias("term"), F.col("_x.off").alias("off"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of docs for terms: (term, _id, _h, pos), stored in the shared folder."""
+def postings(docs: DataFrame, counts: DataFrame, index: str | None = None) -> DataFrame:
+    """The positional index of docs for the terms of counts (term, cf): (term, _id, _h, pos), stored in the shared folder.
+
+    index is the folder of an index of these documents that is kept, a new one by default: only the terms that it
+    lacks are read from the documents and added to it, so a second benchmark finds most of its postings there.
+    """
+    spark = docs.sparkSession
+    known = lambda: spark.read.schema("term string, cf long").parquet(f"{index}/terms")
+    fresh = counts if index is None or not path_exists(spark, f"{index}/terms") else counts.join(known().select("term"), "term", "left_anti")
     tokens = _keyed(docs).select(*KEY, F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return table(tokens.join(small(terms, MAX_TERMS), "term"), "postings")
+    if fresh.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        found = tokens.join(F.broadcast(fresh.select("term")), "term")
+    else:
+        found = matched(tokens, fresh.select("term", F.col("cf").alias("n")), "term")
+    found = found.select("term", *KEY, "pos")
+    if index is None:
+        return table(found, "postings")
+    found.write.mode("append").parquet(f"{index}/postings")
+    fresh.select("term", "cf").write.mode("append").parquet(f"{index}/terms")
+    return spark.read.schema(found.schema).parquet(f"{index}/postings").join(small(counts.select("term"), MAX_TERMS), "term", "left_semi")
 
 
 def window_starts(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """(wid, len, needed, role, _id, _h, start): the posting lists of each window's terms, shifted by their offsets."""
-    lists = index.join(small(rare, MAX_WINDOWS), "term")
+    """(wid, len, needed, role, _id, _h, start): the posting lists of each window's terms, shifted by their offsets.
+
+    Where there are too many windows for a broadcast, a term's postings are dealt over salts, each of which has its windows.
+    """
+    if rare.limit(MAX_WINDOWS + 1).count() <= MAX_WINDOWS:
+        lists = index.join(F.broadcast(rare), "term")
+    else:
+        salted = rare.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        lists = index.withColumn("_salt", F.pmod(F.xxhash64(*KEY, "pos"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"]).drop("_salt")
     return lists.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0").select("wid", "len", "needed", "role", *KEY, "start")
 
 
@@ -124,29 +149,30 @@ def proximity_matches(starts: DataFrame, slop: int = 3) -> DataFrame:
     return found.where(pair | most).select("wid", *KEY).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 3) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop: int = 3, index: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
     docs needs doc_id and text, benchmark item_id and text; other columns are ignored. n_hit counts the words
     inside any occurrence of any window, each once; n_items the items that have an occurring window, and
     items_sha256 is the SHA-256 of their ids, sorted as strings and joined by commas. n_near counts windows
-    with a proximity match: see proximity_matches; a copy with more words changed than that allows has none. Null and empty texts have no words; an empty benchmark contaminates nothing.
-    Rows that repeat get equal results each.
+    with a proximity match: see proximity_matches; a copy with more words changed than that allows has none. Null and
+    empty texts have no words; an empty benchmark contaminates nothing. Rows that repeat get equal results each.
+    index is the folder of a kept index of docs: see postings.
     """
-    found = _summary(docs, benchmark, length, slop, NEAR_TERMS)
+    found = _summary(docs, benchmark, length, slop, NEAR_TERMS, index)
     base = _keyed(docs).select("doc_id", *KEY, n_words(F.col("text")).alias("n_words"))
     out = base.join(small(found, MAX_WINDOWS), KEY, "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)), F.coalesce("_items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
-def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int, k: int = EXACT_TERMS) -> DataFrame:
+def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int, k: int = EXACT_TERMS, kept: str | None = None) -> DataFrame:
     """(_id, _h, n_hit, _items, n_near) of the documents in which anything was found."""
     windows, owners = benchmark_windows(benchmark, length)
     terms = table(windows.select(F.explode(F.split("window", " ")).alias("term")).distinct(), "bench-terms")
     counts = table(term_counts(docs, terms), "bench-counts")
     rare = table(rarest_terms(windows, counts, k), "bench-rare")
-    index = postings(docs, rare.select("term").distinct())
+    index = postings(docs, counts.join(rare.select("term").distinct(), "term", "left_semi"), kept)
     starts = table(window_starts(index, rare.where("role < needed")), "match-starts")
     matches = table(exact_matches(docs, windows, starts), "matches")
 
@@ -162,7 +188,10 @@ def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int, k: i
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs.
+
+    Rows that repeat stay or go together; null and empty texts stay, as does everything if the benchmark is empty.
+    """
     gone = _summary(docs, benchmark, length, 0).where("n_hit > 0").select(F.col("_id").alias("gone"), F.col("_h").alias("gone_h"))
     whole = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"))
     return whole.join(small(gone, MAX_DOCS), (F.col("id") == F.col("gone")) & (F.col("h") == F.col("gone_h")), "left_anti").select("row.*")

@@ -1,10 +1,10 @@
 """Exact deduplication that no group of copies can skew.
 
-Copies are combined in three stages, each of which compares whole normalised texts because the text is part
-of the grouping key: first within each task (the partial aggregate), then within (digest, salt) groups, then
-the winners of a digest's salts. Only digests with a large share of all rows get more than one salt; there
-is a proven maximum of those. A digest alone never decides: where two texts share one, their rows are
-told apart by the text.
+Copies are combined in three stages: first within each task (the partial aggregate), then within (digest, salt)
+groups, then the winners of a digest's salts. Where rows are merged, the whole normalised text is part of the
+key. Only digests with a large share of all rows get more than one salt, and there is a proven maximum of those;
+the others have met all their copies after the second stage, so nothing is left to compare in the third. A digest alone
+never decides: where two texts share one, their rows are told apart by the text.
 """
 
 from __future__ import annotations

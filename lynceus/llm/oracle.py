@@ -31,10 +31,29 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id
 ), it AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+), win AS (
+  SELECT row_number() OVER () AS wid, win, n FROM (SELECT DISTINCT win, n FROM bw)
+), tok AS (
+  SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d
+), wt AS (
+  SELECT wid, n, term, min(k) AS k, count(*) AS times FROM (SELECT wid, n, unnest(string_split(win, ' ')) AS term, unnest(range(0, n)) AS k FROM win) GROUP BY ALL
+), cf AS (
+  SELECT term, count(*) AS cf FROM tok WHERE term IN (SELECT term FROM wt) GROUP BY term
+), ranked AS (
+  SELECT wid, n, term, k, row_number() OVER (PARTITION BY wid ORDER BY cf, term, k) - 1 AS r, sum(times) OVER (PARTITION BY wid) AS there, least(4, count(*) OVER (PARTITION BY wid)) AS found FROM wt JOIN cf USING (term)
+), roles AS (
+  SELECT wid, term, k, r, CASE WHEN there = n THEN least(found, 2) END AS needed FROM ranked WHERE r < 4 AND ((n > 4 AND found >= 3) OR (there = n AND r < least(found, 2)))
+), st AS (
+  SELECT wid, doc_id, r, needed, pos - k AS start FROM tok JOIN roles USING (term) WHERE pos >= k AND (needed IS NULL OR needed > 1)
+), near AS (
+  SELECT doc_id, count(DISTINCT wid) AS n_near FROM (
+    SELECT wid, doc_id FROM (SELECT DISTINCT wid, doc_id, start FROM st) a JOIN st b USING (wid, doc_id) WHERE b.start BETWEEN a.start - 3 AND a.start
+    GROUP BY wid, doc_id, a.start HAVING count(DISTINCT r) >= 3 OR (bool_or(needed IS NOT NULL AND r = 0) AND bool_or(needed IS NOT NULL AND r = 1))
+  ) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP2 = r"""
@@ -59,7 +78,45 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, round(coalesce(a.v, 0), 4
 FROM d LEFT JOIN a USING (doc_id)
 """
 
+#: Kinds of secrets with their patterns, in the order in which they are listed; groups of the first are the keyword with what follows it, and the value.
+KINDS = {
+    "assign": r"""(?:(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)[A-Za-z0-9+/_.=-]+""",
+    "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "private_key": "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "web_token": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+",
+    "github": "gh[opsur]_[A-Za-z0-9]{36,}", "slack": "xox[abprs]-[A-Za-z0-9-]{10,}", "google": "AIza[A-Za-z0-9_-]{35}", "stripe": "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
+}
+LEAST = {"assign": r"""length(regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6""", "access": "length(m) >= 20", "hex": "length(m) >= 24"}
+
+
+def _matches(order: int, kind: str, pattern: str) -> str:
+    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, e - length(m) AS a, e AS b FROM (
+  SELECT doc_id, k, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (
+    SELECT doc_id, unnest(found) AS m, unnest(gaps[1 : len(found)]) AS gap, unnest(range(len(found))) AS k FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps FROM d)
+  )) WHERE {LEAST.get(kind, 'true')}"""
+
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (
+{" UNION ALL ".join(_matches(i, k, p) for i, (k, p) in enumerate(KINDS.items()))}
+), g AS (
+  SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, o) FILTER (o < 3) AS base, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, o) AS spans
+  FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+#: The page with the smallest page_id of those with equal payloads is the response. Base32 takes five hexadecimal digits to four letters.
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT page_id, h, sha1(h) AS d, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(d, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest
+FROM f
+"""
+
 ORACLE_SQL = {
+    "op3_warc": OP3,
+    "op8_secrets": OP8,
     "op2_lm_score": OP2,
     "op10_decontaminate": OP10,
     "op9_exact_dedup": OP9,

@@ -67,7 +67,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return decontaminate.contamination(docs, benchmark).drop("n_near")
+    return decontaminate.contamination(docs, benchmark)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

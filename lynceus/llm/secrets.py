@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lynceus.llm.common import lookup, new_folder, path_exists, table
@@ -39,27 +39,40 @@ RULES = (
     Rule("access", 1, "AKIA[A-Z0-9]+", lambda m: F.length(m) >= 20),
     Rule("hex", 1, "[0-9a-f]{24,}", lambda m: F.lit(True)),
 )
+#: Formats that services publish for their own keys and tokens (fixed values), and private keys in PEM.
+SERVICE_RULES = (
+    Rule("private_key", 1, "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", lambda m: F.lit(True)),
+    Rule("web_token", 1, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+", lambda m: F.lit(True)),
+    Rule("github", 1, "gh[opsur]_[A-Za-z0-9]{36,}", lambda m: F.lit(True)),
+    Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", lambda m: F.lit(True)),
+    Rule("google", 1, "AIza[A-Za-z0-9_-]{35}", lambda m: F.lit(True)),
+    Rule("stripe", 1, "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", lambda m: F.lit(True)),
+)
 LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """(start, end) in code points of the rule's findings in text, in order.
+def steps(text: Column, rule: Rule) -> Column:
+    """For each match of a rule: gap, the characters since the last one, n, its length, and ok, whether it counts; null without matches.
 
     SQL has no offsets of matches, but what stands between them, and their lengths, add up to them.
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    steps = F.arrays_zip(F.transform(found, lambda m: F.struct(F.length(m).alias("n"), rule.keep(m).alias("ok"))).alias("m"), F.slice(gaps, 1, F.size(found)).alias("gap"))
-    none = F.array().cast("array<struct<start:int,end:int,ok:boolean>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    each = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct(gap.alias("gap"), F.length(m).alias("n"), rule.keep(m).alias("ok")))
+    return F.when(text.rlike(rule.pattern), each)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        a, b = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["m"]["n"]
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["m"]["ok"].alias("ok")))).alias("out"))
+def _found(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rule, spans) for every blob of texts (blob, text, _known) and every rule that isn't known of it.
 
-    every = F.aggregate(steps, start, step)["out"]
-    kept = F.transform(F.filter(every, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.when(text.rlike(rule.pattern), kept).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    Places are running sums over a blob's matches: one row each, so a text with very many costs no more for each.
+    """
+    wanted = F.array(*[F.struct(F.lit(r.key).alias("rule"), (~F.array_contains("_known", r.key)).alias("new"), F.when(~F.array_contains("_known", r.key), steps(F.col("text"), r)).alias("steps")) for r in rules])
+    pairs = texts.select("blob", F.explode(wanted).alias("_w")).where("_w.new").select("blob", "_w.rule", F.posexplode_outer("_w.steps").alias("k", "s"))
+    run = Window.partitionBy("blob", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    ends = pairs.select("blob", "rule", F.col("s.ok").alias("ok"), F.col("s.n").alias("n"), F.sum(F.col("s.gap") + F.col("s.n")).over(run).cast("int").alias("end"))
+    span = F.when(F.col("ok"), F.struct((F.col("end") - F.col("n")).alias("start"), "end"))
+    return ends.groupBy("blob", "rule").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -86,11 +99,11 @@ def scan(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...]
     wanted = table(wanted.select("blob", F.coalesce("_known", F.array().cast("array<string>")).alias("_known")), "scan-wanted")
     # One text for each wanted blob: copies meet in the partial aggregate, and none is scanned twice.
     texts = versions.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    if not seen.isEmpty():
-        texts = texts.join(wanted.select("blob"), "blob", "left_semi")
-    once = texts.groupBy("blob", "text").agg(F.lit(1).alias("_one")).join(wanted, "blob")
-    found = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.when(~F.array_contains("_known", r.key), spans(F.col("text"), r)).alias("spans")) for r in rules])
-    fresh = once.select("blob", F.explode(found).alias("_f")).select("blob", "_f.rule", "_f.spans").where(F.col("spans").isNotNull())
+    if seen.isEmpty():  # then everything is wanted, and nothing is known
+        once = texts.groupBy("blob", "text").agg(F.array().cast("array<string>").alias("_known"))
+    else:
+        once = texts.join(wanted.select("blob"), "blob", "left_semi").groupBy("blob", "text").agg(F.lit(1).alias("_one")).join(wanted, "blob")
+    fresh = _found(once, rules)
     fresh.write.mode("append").parquet(ledger)
     rows = _ledger(spark, ledger).where(F.col("rule").isin([r.key for r in rules]))
     empty = F.array().cast("array<struct<start:int,end:int>>")
@@ -109,9 +122,12 @@ def _named(kind: str, order: int) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def findings(docs: DataFrame, ledger: str | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256 and spans, by the rules in RULES."""
-    found = scan(docs.select(F.col("doc_id").alias("id"), "text"), ledger)
-    kinds = tuple(r.kind for r in RULES)
-    out = found.withColumn("spans", joined(kinds))
-    return out.select(F.col("id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], F.sha2("spans", 256).alias("base_sha256"), "spans")
+def findings(docs: DataFrame, ledger: str | None = None, more: tuple[Rule, ...] = SERVICE_RULES) -> DataFrame:
+    """Per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256 and spans, by the rules in RULES and more.
+
+    The numbers and the digest are those of RULES alone, spans has the findings of all rules. docs needs doc_id and
+    text; see scan for nulls, repeated rows, empty tables and the ledger.
+    """
+    found = scan(docs.select(F.col("doc_id").alias("id"), "text"), ledger, (*RULES, *more))
+    kinds, every = tuple(r.kind for r in RULES), tuple(r.kind for r in (*RULES, *more))
+    return found.select(F.col("id").alias("doc_id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(joined(kinds), 256).alias("base_sha256"), joined(every).alias("spans"))

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import lookup, table
+from lynceus.llm.common import discard, lookup, small, table
 
 #: Fingerprints that the plan is made from.
 PLAN_SAMPLE = 20_000
-#: Fingerprints under one key from which on the key is cut further, how often, and words hashed at a time.
-BUCKET, CUTS, CHUNK = 4_000, 3, 1 << 16
+#: Fingerprints under one key from which on the key is cut further, how often at most, and words hashed at a time.
+BUCKET, CUTS, CHUNK = 4_000, 12, 1 << 16
+#: Heavy keys that are broadcast, of about 60 bytes each; more of them are joined by a shuffle.
+MAX_HEAVY = 200_000
 #: Classes without any doc_id are numbered from here on, so that ids that exist come first.
 NAMELESS = 1 << 62
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -223,7 +225,7 @@ def _cut_further(probes: DataFrame, plan_: list[tuple[list[int], int]], distance
     heavy = table(probes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET), "simhash-heavy")
     if heavy.isEmpty():
         return probes, False
-    heavy = heavy.select(F.col("bucket").alias("_b"))
+    heavy = small(heavy.select(F.col("bucket").alias("_b")), MAX_HEAVY)
     dense = probes.join(heavy, F.col("bucket") == F.col("_b"), "left_semi")
     groups = []
     for g in range(distance + 1):
@@ -253,26 +255,40 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for every id of edges (a, b): root is the smallest id that chains of edges reach.
+    """(id, root) for every id of edges (a, b): root is the smallest id that chains of edges reach."""
+    return _components(edges)[0]
 
-    Each round takes the smallest root among neighbours, then the root's own root; as both are joins over
-    tables in the shared folder, nothing gathers on the driver, and the rounds grow as the logarithm of the
-    longest chain. No id has more edges than there are fingerprints near it, so edges have no hot key; roots
-    may have, and are looked up in a way that spreads them.
+
+def _components(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The components and the number of rounds they took.
+
+    Every id has a parent, at first the smallest id next to it. In a round an id sees the smallest grandparent of
+    its neighbours; it takes that as its parent if it is smaller, so does its parent (which moves whole trees at
+    once), and every id climbs to its grandparent. Parents only fall, and stay within a component. Trees merge
+    and halve their height in each round, so rounds grow as the logarithm of the longest chain. All of it is joins
+    of tables in the shared folder, those of a round deleted after it. No id has more edges than there are
+    fingerprints near it, so edges have no hot key; parents may have, and are looked up in a way that spreads them.
     """
     both = table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    roots = table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root"), "roots")
+    parents = table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root"), "parents")
+    rounds = 0
     while True:
-        near = both.join(roots, both.b == roots.id).groupBy("a").agg(F.min("root").alias("near"))
-        step = table(roots.join(near, roots.id == near.a).select("id", F.col("root").alias("old"), F.least("root", "near").alias("root")), "roots")
-        sizes = step.groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("n"))
-        own = step.select(F.col("id").alias("_r"), F.col("root").alias("up"))
-        known = table(sizes.join(own, "_r", "left"), "root-roots")
-        after = lookup(step.withColumnRenamed("root", "_r"), known, "_r", F.xxhash64("id"))
-        roots = table(after.select("id", "old", F.least("_r", F.coalesce("up", "_r")).alias("root")), "roots")
-        if roots.where("old <> root").isEmpty():
-            return roots.select("id", "root")
-        roots = roots.select("id", "root")
+        rounds += 1
+        sizes = parents.groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("n"))
+        known = table(sizes.join(parents.select(F.col("id").alias("_r"), F.col("root").alias("up")), "_r", "left"), "grandparents")
+        up = lookup(parents.withColumnRenamed("root", "_r"), known, "_r", F.xxhash64("id"))
+        up = table(up.select("id", F.col("_r").alias("root"), F.coalesce("up", "_r").alias("up")), "heights")
+        near = both.join(up.select(F.col("id").alias("b"), "up"), "b").groupBy("a").agg(F.min("up").alias("near"))
+        seen = table(up.join(near, up.id == near.a).select("id", "root", "up", "near"), "neighbours")
+        hooks = seen.groupBy(F.col("root").alias("_h")).agg(F.min("near").alias("hook"))
+        lowest = F.least("root", "up", "near", F.coalesce("hook", "root"))
+        after = table(seen.join(hooks, F.col("id") == F.col("_h"), "left").select("id", lowest.alias("root"), (lowest < F.col("root")).alias("fell")), "parents")
+        done = after.where("fell").isEmpty()
+        discard(parents, known, up, seen)
+        parents = after
+        if done:
+            discard(both)
+            return parents.select("id", "root"), rounds
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:

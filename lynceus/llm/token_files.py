@@ -29,7 +29,7 @@ MANIFEST = "tmp string, index_tmp string, shard int, ids long, docs long, dtype
 
 
 def sequence_schema(dtype: str, sequence: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
 
 
 class TokenWriter:
@@ -60,7 +60,7 @@ class TokenWriter:
             self._index()
 
     def _batch(self, flat: np.ndarray, n: int) -> None:
-        mask = np.arange(len(flat)) < n
+        mask = (np.arange(len(flat)) < n).astype("uint8")
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (np.ascontiguousarray(flat), mask)]
         self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -89,12 +89,14 @@ class TokenFile:
             self.batches = list(stream)
         self.sequence = self.batches[0].schema.field("input_ids").type.list_size if self.batches else 0
         self.flat = [b.column("input_ids").flatten().to_numpy() for b in self.batches]
+        self.masks = [b.column("mask").flatten().to_numpy() for b in self.batches]
         self.size = len(self.flat[0]) if self.flat else 1
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence k and its mask."""
+        """Sequence k and its mask (1 for ids, 0 for padding), both views of the file."""
         b, i = divmod(k, self.size // self.sequence)
-        return self.flat[b][i * self.sequence : (i + 1) * self.sequence], self.batches[b].column("mask")[i].values.to_numpy(zero_copy_only=False)
+        own = slice(i * self.sequence, (i + 1) * self.sequence)
+        return self.flat[b][own], self.masks[b][own]
 
     def pieces(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from start on, as views: more than one where they cross batches."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -140,3 +141,13 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     kept = simhash.drop_near_duplicates(frame(spark, [(5, "a b c d"), (3, "A b  c d"), (9, "q r s t u")]))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9] and kept.columns == frame(spark, []).columns
+
+
+def test_rounds_grow_as_a_logarithm(spark):
+    """A chain of 4,096 ids in a shuffled order, with a star beside it, takes few rounds."""
+    order = list(range(1, 4097))
+    random.Random(5).shuffle(order)
+    edges = list(zip(order, order[1:])) + [(5000, 5000 + k) for k in range(1, 300)]
+    found, rounds = simhash._components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.root for r in found.where("id < 5000").select("root").distinct().collect()} == {1} and found.where("id >= 5000 and root <> 5000").isEmpty()
+    assert found.count() == 4096 + 300 and rounds < 20

@@ -57,6 +57,19 @@ def test_contamination_empty(spark):
     assert decontaminate.contamination(frame(spark, []), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_kept_index(spark, tmp_path):
+    """A second benchmark reads only the terms that the first has not left in the index."""
+    index = f"file://{tmp_path}/index"
+    bench = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(1, "alpha beta gamma delta epsilon"), (2, "alpha alpha zeta"), (None, "beta gamma"), (3, None)]
+    one, two = bench("alpha beta"), bench("beta gamma", "zeta")
+    for b, terms in ((one, {"alpha", "beta"}), (two, {"alpha", "beta", "gamma", "zeta"}), (two, {"alpha", "beta", "gamma", "zeta"})):
+        plain = decontaminate.contamination(frame(spark, rows), b).collect()
+        assert sorted(map(repr, decontaminate.contamination(frame(spark, rows), b, index=index).collect())) == sorted(map(repr, plain))
+        assert sorted(r.term for r in spark.read.parquet(f"{index}/terms").collect()) == sorted(terms)
+    assert spark.read.parquet(f"{index}/postings").where("term = 'alpha'").count() == 3
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     texts = [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "delta q w e r t y u i alpha beta gamma"), (4, "alpha beta gamma"), (5, "alpha x x x x x x x beta gamma delta")]
@@ -88,6 +101,29 @@ def test_secrets(spark):
     assert secrets.findings(frame(spark, [])).count() == 0
 
 
+SERVICE = {
+    "private_key": "-----BEGIN RSA PRIVATE KEY-----", "web_token": "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "github": "ghp_" + "aB3" * 12, "slack": "xoxb-1234567890-AbC", "google": "AIza" + "aB_-x" * 7, "stripe": "sk_test_" + "Ab1" * 6,
+}
+
+
+def test_service_rules(spark):
+    """What the method adds: spans of services' formats, which leave the base ones and their digest as they are."""
+    rows = [(i, f"é {x} and {x}, token=abcdef1") for i, x in enumerate(SERVICE.values())] + [(9, "ghp_short eyJ.eyJ.x xoxz-1234567890")]
+    got = {r.doc_id: r for r in secrets.findings(frame(spark, rows)).collect()}
+    for i, (kind, x) in enumerate(SERVICE.items()):
+        base = plain_secrets(rows[i][1])
+        own = [f"{kind}:{a}:{a + len(x)}" for a in (2, 7 + len(x))]
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[i].n_assign == 1
+        assert [s for s in got[i].spans.split(",") if s.startswith(kind)] == own and set(base.split(",")) <= set(got[i].spans.split(","))
+    assert got[9].spans == ""
+
+
+def test_many_matches(spark):
+    """Time grows with the matches, not with their square: this took minutes when places were collected one by one."""
+    text = "token=abcdef1 " * 60_000
+    assert secrets.findings(frame(spark, [(1, text)])).first().n_assign == 60_000
+
+
 def test_secret_ledger(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     first = spark.createDataFrame([("a@1", "token=abcdef1"), ("b@1", "token=abcdef1"), ("c@1", "none")], "id string, text string")
