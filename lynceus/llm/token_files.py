@@ -3,7 +3,8 @@
 All ids of a shard's documents, each document ended by the end id, are laid end to end and cut into
 sequences of one length; only the last sequence of a shard is padded, and the mask says so. A file holds
 record batches of fixed-size lists, of the same number of sequences each (the last may hold fewer), so
-sequence k of a memory-mapped file is found by division alone. An index file beside it names the documents.
+sequence k of a memory-mapped file is found by division alone. Masks are fixed-size lists of bytes too, by
+dictionary: a file holds the mask of full sequences once. An index file beside it names the documents.
 Shards are exact ranges of doc_id, files get their names in one commit, and the manifest holds the number
 of ids before each shard.
 """
@@ -29,7 +30,7 @@ MANIFEST = "tmp string, index_tmp string, shard int, ids long, docs long, dtype
 
 
 def sequence_schema(dtype: str, sequence: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+    return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(np.dtype(dtype)), sequence)), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), sequence)))])
 
 
 class TokenWriter:
@@ -60,9 +61,15 @@ class TokenWriter:
             self._index()
 
     def _batch(self, flat: np.ndarray, n: int) -> None:
-        mask = (np.arange(len(flat)) < n).astype("uint8")
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (np.ascontiguousarray(flat), mask)]
-        self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
+        """Writes sequences of which the first n ids are real. All but the last have the same mask, which a file holds once."""
+        masks = np.ones((1, self.sequence), "uint8")
+        which = np.zeros(len(flat) // self.sequence, "int32")
+        if n < len(flat):
+            masks = np.concatenate([masks, (np.arange(self.sequence)[None] < n % self.sequence).astype("uint8")])
+            which[-1] = 1
+        ids = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(flat)), self.sequence)
+        mask = pa.DictionaryArray.from_arrays(which, pa.FixedSizeListArray.from_arrays(pa.array(masks.ravel()), self.sequence))
+        self.ids.write_batch(pa.RecordBatch.from_arrays([ids, mask], schema=self.schema))
 
     def _index(self) -> None:
         self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in self.docs], schema=INDEX))
@@ -89,14 +96,15 @@ class TokenFile:
             self.batches = list(stream)
         self.sequence = self.batches[0].schema.field("input_ids").type.list_size if self.batches else 0
         self.flat = [b.column("input_ids").flatten().to_numpy() for b in self.batches]
-        self.masks = [b.column("mask").flatten().to_numpy() for b in self.batches]
+        self.masks = [(b.column("mask").indices.to_numpy(), b.column("mask").dictionary.flatten().to_numpy()) for b in self.batches]
         self.size = len(self.flat[0]) if self.flat else 1
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Sequence k and its mask (1 for ids, 0 for padding), both views of the file."""
         b, i = divmod(k, self.size // self.sequence)
-        own = slice(i * self.sequence, (i + 1) * self.sequence)
-        return self.flat[b][own], self.masks[b][own]
+        which, masks = self.masks[b]
+        own = lambda x, j: x[j * self.sequence : (j + 1) * self.sequence]
+        return own(self.flat[b], i), own(masks, which[i])
 
     def pieces(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from start on, as views: more than one where they cross batches."""
