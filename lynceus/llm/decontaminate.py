@@ -20,8 +20,8 @@ from lynceus.llm.common import ascii_lower, matched, path_exists, small, table
 #: What separates words: ASCII without letters and digits. The same before they are lower-cased.
 SEPARATOR = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CASED_SEPARATOR = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Rows up to which a side is broadcast: terms and windows have about 100 bytes, document keys 16.
-MAX_TERMS, MAX_WINDOWS, MAX_DOCS = 100_000, 100_000, 500_000
+#: Rows up to which a side is broadcast: terms and windows have about 100 bytes, document keys 16, with a benchmark row 24.
+MAX_TERMS, MAX_WINDOWS, MAX_DOCS, MAX_NEAR = 100_000, 100_000, 500_000, 1_000_000
 KEY = ["_id", "_h"]
 #: Parts into which a term's postings are dealt for a shuffled join.
 SALTS = 32
@@ -44,17 +44,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, length: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The different windows (wid, window, len) and which items (wid, item) have them.
+    """The different windows (wid, window, len) and where they are: (wid, item, row, at), row being a hash of an item's row.
 
     An item with fewer words than length, but not none, is one window. A null item_id is the item "null".
     """
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(length))
     starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-    cut = items.select("item", n.alias("len"), F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s, n), " "))).alias("window")).distinct()
-    cut = table(cut, "bench-cut")
+    each = F.transform(starts, lambda s: F.array_join(F.slice("w", s, n), " "))
+    cut = table(items.select("item", F.xxhash64("item", "w").alias("row"), n.alias("len"), F.posexplode(each).alias("at", "window")).distinct(), "bench-cut")
     windows = table(cut.select("window", "len").distinct().withColumn("wid", F.monotonically_increasing_id()), "bench-windows")
-    return windows, cut.join(windows, ["window", "len"]).select("wid", "item").distinct()
+    return windows, table(cut.join(windows, ["window", "len"]).select("wid", "item", "row", "at"), "bench-places")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -134,16 +134,40 @@ def exact_matches(docs: DataFrame, windows: DataFrame, starts: DataFrame) -> Dat
     return found.join(small(windows, MAX_WINDOWS), ["wid", "window"]).select("wid", *KEY, "start", "len")
 
 
-def proximity_matches(starts: DataFrame, slop: int = 3) -> DataFrame:
+def near_rows(index: DataFrame, rare: DataFrame, places: DataFrame, slop: int = 3) -> DataFrame:
+    """(row, _id, _h): benchmark rows and documents that may have a proximity match; no others have one.
+
+    A match of any of a row's windows stands on diagonals (place in the document less place in the row) that differ by
+    slop at most, with terms from several places of the row. So diagonals go to cells, those near the end of a cell
+    to both, and bits count the places in a cell: two of terms that are among a known window's two rarest, or three.
+    """
+    top = (F.col("role") < 2) & (F.col("needed") > 1)
+    chains = rare.join(places.select("wid", "row", "at"), "wid").groupBy("row", "term", (F.col("at") + F.col("off")).alias("place")).agg(F.max(F.coalesce(top, F.lit(False))).alias("top"))
+    dealt = index.repartition(*KEY).join(small(table(chains, "bench-chains"), MAX_WINDOWS), "term")
+    diagonal, cell = F.col("pos") - F.col("place"), F.expr(f"floor((pos - place) / {slop + 1})")
+    cells = F.when(F.floor((diagonal - slop) / (slop + 1)) < cell, F.array(cell, cell - 1)).otherwise(F.array(cell))
+    bit = F.expr("shiftleft(1L, cast(place % 64 AS int))")
+    marks = dealt.select("row", *KEY, bit.alias("_all"), F.when(F.col("top"), bit).otherwise(F.lit(0).cast("long")).alias("_top"), F.explode(cells).alias("_cell"))
+    met = marks.groupBy("row", *KEY, "_cell").agg(F.bit_or("_all").alias("_all"), F.bit_or("_top").alias("_top")).where((F.bit_count("_all") >= NEAR_LEAST) | (F.bit_count("_top") >= 2))
+    return met.select("row", *KEY).distinct()
+
+
+def proximity_matches(index: DataFrame, rare: DataFrame, places: DataFrame, slop: int = 3) -> DataFrame:
     """(wid, _id, _h): documents in which a window's terms stand at their distances, give or take slop.
 
     Either its two rarest terms, if all its terms are in the corpus, or NEAR_LEAST of its NEAR_TERMS rarest that
     are in the corpus, if it has more words than that. Exact occurrences count too. Windows with only one
-    different term have no proximity matches.
+    different term have no proximity matches. Only what near_rows leaves is put in order.
     """
+    rare = rare.where("needed is null or needed > 1")
+    met = table(near_rows(index, rare, places, slop), "near-rows")
+    own = rare.join(places.select("wid", "row").distinct(), "wid")
+    terms = table(own.select("row", "term").distinct(), "near-terms")
+    kept = index.join(small(terms, MAX_WINDOWS), "term").join(small(met, MAX_NEAR), ["row", *KEY], "left_semi")
+    starts = kept.join(small(own, MAX_WINDOWS), ["row", "term"]).withColumn("start", F.col("pos") - F.col("off")).where("start >= 0")
     order = Window.partitionBy("wid", *KEY).orderBy("start", "role").rowsBetween(Window.unboundedPreceding, 0)
     placed = [F.coalesce(F.col("start") - F.last(F.when(F.col("role") == r, F.col("start")), True).over(order) <= slop, F.lit(False)) for r in range(NEAR_TERMS)]
-    found = starts.where("needed is null or needed > 1").select("wid", "needed", *KEY, F.array(*placed).alias("_placed"))
+    found = starts.select("wid", "needed", *KEY, F.array(*placed).alias("_placed"))
     pair = F.col("needed").isNotNull() & F.col("_placed")[0] & F.col("_placed")[1]
     most = F.size(F.filter("_placed", lambda x: x)) >= NEAR_LEAST
     return found.where(pair | most).select("wid", *KEY).distinct()
@@ -167,8 +191,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slop:
 
 
 def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int, k: int = EXACT_TERMS, kept: str | None = None) -> DataFrame:
-    """(_id, _h, n_hit, _items, n_near) of the documents in which anything was found."""
-    windows, owners = benchmark_windows(benchmark, length)
+    """(_id, _h, n_hit, _items) of the documents in which anything was found, with n_near if more than the exact terms are looked up."""
+    windows, places = benchmark_windows(benchmark, length)
+    owners = places.select("wid", "item").distinct()
     terms = table(windows.select(F.explode(F.split("window", " ")).alias("term")).distinct(), "bench-terms")
     counts = table(term_counts(docs, terms), "bench-counts")
     rare = table(rarest_terms(windows, counts, k), "bench-rare")
@@ -181,9 +206,9 @@ def _summary(docs: DataFrame, benchmark: DataFrame, length: int, slop: int, k: i
     reached = F.coalesce(F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hits = ends.withColumn("_new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reached))).groupBy(*KEY).agg(F.sum("_new").alias("n_hit"))
     items = matches.select("wid", *KEY).distinct().join(owners, "wid").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("_items"))
-    # A window's starts for proximity are many: the postings are dealt by document instead, and the starts never leave their task.
-    by_doc = starts if k == EXACT_TERMS else window_starts(index.repartition(*KEY), rare)
-    near = proximity_matches(by_doc, slop).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_near"))
+    if k == EXACT_TERMS:
+        return table(hits.join(items, KEY, "full"), "match-summary")
+    near = proximity_matches(index, rare, places, slop).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_near"))
     return table(hits.join(items, KEY, "full").join(near, KEY, "full"), "match-summary")
 
 

@@ -37,7 +37,7 @@ def plain_contamination(rows, items, length=10):
 @pytest.mark.parametrize("bound", [None, 3], ids=["broadcast", "shuffled"])
 def test_contamination(spark, monkeypatch, bound):
     if bound:
-        for k in ("MAX_TERMS", "MAX_WINDOWS", "MAX_DOCS"):
+        for k in ("MAX_TERMS", "MAX_WINDOWS", "MAX_DOCS", "MAX_NEAR"):
             monkeypatch.setattr(decontaminate, k, bound)
     rows = docs()
     long = next(t for i, t in rows if i == 7)
