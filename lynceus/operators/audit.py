@@ -10,10 +10,14 @@ def verdict_counts(df: DataFrame, verdict: str = "fraud_verdict") -> DataFrame:
     return df.groupBy(verdict).agg(F.count(F.lit(1)).alias("n"))
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    """Counts of each row value by the given column values, and their shares of the row."""
+def crosstab(df: DataFrame, row: str, column: str, values: list, by_column: bool = False) -> DataFrame:
+    """Counts of each row value by the given column values, and their shares of the row, or of the column."""
     counts = df.groupBy(row).agg(*[F.sum(F.when(F.col(column) == v, 1).otherwise(0)).cast("long").alias(f"n_{v}") for v in values])
     total = sum((F.col(f"n_{v}") for v in values), F.lit(0))
+    if by_column:
+        sums = counts.agg(*[F.sum(f"n_{v}").alias(f"_{v}") for v in values])
+        counts = counts.crossJoin(F.broadcast(sums))  # one row
+        return counts.select(row, *[f"n_{v}" for v in values], *[F.when(F.col(f"_{v}") > 0, F.col(f"n_{v}") / F.col(f"_{v}")).alias(f"share_{v}") for v in values])
     return counts.withColumns({f"share_{v}": F.when(total > 0, F.col(f"n_{v}") / total) for v in values})
 
 
@@ -137,3 +141,45 @@ def lookup_bounds(work: DataFrame, threads: int = 8, dns_seconds: float = 0.15,
     return work.agg(
         (F.sum(F.col("dns_queries") * dns_seconds + F.col("domains") * rdap_seconds) / threads).alias("thread_bound"), (F.max("domains") / rate).alias("registry_bound")
     ).withColumn("bound", F.greatest("thread_bound", "registry_bound"))
+
+
+def registry_workload(parsed: DataFrame, bootstrap: DataFrame, queries: int = 4) -> DataFrame:
+    """(base_url, hosts, domains, dns_queries) of the look-ups that each registry's domains need; null is no registry."""
+    rows = parsed.where("p.host <> '' AND p.ip = 0").select("p.host", F.when(~F.col("p.private_suffix"), F.col("p.reg")).alias("reg"), F.substring_index("p.host", ".", -1).alias("_tld"))
+    rows = rows.join(F.broadcast(bootstrap), F.col("_tld") == F.col("tld"), "left")
+    return rows.groupBy("base_url").agg(F.countDistinct("host").alias("hosts"), F.countDistinct("reg").alias("domains")).withColumn("dns_queries", F.col("hosts") * queries)
+
+
+def simulate_lookups(work: DataFrame, threads: int = 8, dns_seconds: float = 0.15, rdap_seconds: float = 0.6, rate: float = 2.0) -> DataFrame:
+    """(registry, done): the second at which each registry's look-ups end, in a pool of threads under a rate for each registry.
+
+    work is (registry, domains, dns_queries), a bounded table: one row for each registry. Threads take domains from the
+    registries in turn, by name; a domain's queries take their time, and its registry is asked once its rate allows.
+    An event is a domain that is taken; the next goes to the thread that is free first.
+    """
+    import heapq
+
+    todo = [(r.registry, r.domains, r.dns_queries / r.domains if r.domains else 0) for r in work.orderBy("registry").collect()]
+    free, ready, done, left = [0.0] * threads, {}, {name: 0.0 for name, _, _ in todo}, {name: n for name, n, _ in todo}
+    queue = [(name, per) for name, _, per in todo if left[name]]
+    while queue:
+        for name, per in queue:
+            at = heapq.heappop(free) + per * dns_seconds
+            at = max(at, ready.get(name, 0.0))
+            ready[name] = at + 1 / rate
+            heapq.heappush(free, at + rdap_seconds)
+            done[name], left[name] = max(done[name], at + rdap_seconds), left[name] - 1
+        queue = [(name, per) for name, per in queue if left[name]]
+    return work.sparkSession.createDataFrame(list(done.items()), "registry string, done double")
+
+
+def reverse_host_order(df: DataFrame, host: str = "host") -> DataFrame:
+    """df sorted by the reversed labels of its hosts, so that hosts of one domain are neighbours; a range sort, not one task's."""
+    from lynceus.functions.url import surt
+
+    return df.withColumn("surt", surt(F.col(host))).orderBy("surt")
+
+
+def align_scores(a: DataFrame, b: DataFrame, key: str = "url", score: str = "score") -> DataFrame:
+    """a with other, b's score of the same key; keys that b lacks go. b has a key once."""
+    return a.join(b.select(key, F.col(score).alias("other")), key)

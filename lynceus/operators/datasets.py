@@ -17,8 +17,8 @@ SPLITS = (("train", 60), ("val", 70), ("cal", 80), ("test", 100))
 
 
 def draw(key: Column | str, seed: int = 0) -> Column:
-    """A random order that depends on nothing but the key and the seed."""
-    return F.xxhash64(key, F.lit(seed))
+    """A random order that depends on nothing but the key and the seed, the same in any engine that has MD5."""
+    return F.md5(F.concat_ws("|", F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), F.lit(str(seed))))
 
 
 def dedupe(df: DataFrame, key: str = "url", label: str = "label", least: int = 4, order: str | None = None) -> DataFrame:
@@ -185,3 +185,10 @@ def sample_weights(df: DataFrame, shares: dict[str, float], dataset: str = "data
     total = sizes.agg(F.sum("_n").alias("_all"))
     sizes = sizes.crossJoin(F.broadcast(total))  # one row
     return df.join(F.broadcast(sizes), dataset).withColumn("weight", F.col("_share") / F.col("_n") * F.col("_all")).drop("_share", "_n", "_all")
+
+
+def usable(df: DataFrame, url: str = "url", least: int = 4, since: str | None = None, date: str = "date", groups: DataFrame | None = None, group: str = "group") -> DataFrame:
+    """Rows with a URL of some length, seen on a day or after it, of the given domains; a missing date is no day."""
+    out = df.where(F.length(strip(F.col(url))) >= least)
+    out = out.where(F.nullif(F.col(date), F.lit("")) >= since) if since else out
+    return out.join(groups.select(group).distinct(), group, "left_semi") if groups is not None else out

@@ -170,3 +170,15 @@ def enrich(scored: DataFrame, model: ModelDocument, second: ModelDocument, dns:
         "lookup_status": F.when(F.col("_gate"), looked).when(clear, "not looked up (verdict already clear)").otherwise(""),
         "evidence": F.when(F.col("_can"), evidence),
     }).drop("_gate", "_can", "_first", "_host", "_reg", "_d", "_r", "_e", "_use", "_x2", "_s")
+
+
+def live(parsed: DataFrame, dns: DataFrame, p: str = "p") -> DataFrame:
+    """Rows whose host resolves and that aren't on a shared platform: those for which domain facts mean something."""
+    up = dns.where(dns_features(F.struct(*[F.col(c) for c in dns.columns]))["dns_resolves"] == 1.0).select(F.col("host").alias("_live")).distinct()
+    rows = settled(parsed.where(~is_platform(F.col(p))), {"_h": F.col(f"{p}.host")})
+    return rows.join(up, F.col("_h") == F.col("_live"), "left_semi").drop("_h")
+
+
+def log_age(created: Column, seen: Column) -> Column:
+    """log10(1 + days) from a registration to the day on which a row was seen, rather than to now; null where either is unknown."""
+    return F.log10(1 + F.greatest(F.lit(0.0), whole_days(seconds(seen), seconds(created))))

@@ -113,7 +113,8 @@ def replicate_weights(df: DataFrame, key: Column, replicates: int, seed: int = 0
     same everywhere.
     """
     reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(key, F.col("rep"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    digits = F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.col("rep").cast("string"), F.lit(str(seed)))), 1, 8)
+    u = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
     cdf, term, w = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(8):
         cdf += term
@@ -180,3 +181,21 @@ def projection(rates: DataFrame, prevalences: list[float], n: int) -> DataFrame:
     table = rates.sparkSession.createDataFrame([(float(p),) for p in prevalences], "prevalence double")
     out = rates.crossJoin(F.broadcast(table)).withColumns({"tp": F.col("prevalence") * n * F.col("tpr"), "fp": (1 - F.col("prevalence")) * n * F.col("fpr")})
     return out.withColumns({"flagged": F.col("tp") + F.col("fp"), "precision": F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp")))})
+
+
+def recall_at_threshold_of(fixed_on: DataFrame, df: DataFrame, target_fpr: float, score: str = "score", label: str = "label") -> DataFrame:
+    """(threshold, recall, n): the share of df's n positives at or above a threshold that another data set's false-positive rate fixes."""
+    t = threshold_at_fpr(fixed_on, target_fpr, score, label)
+    hits = df.where(F.col(label) == 1).crossJoin(F.broadcast(t))  # one row
+    return hits.groupBy("threshold").agg(F.avg((F.col(score) >= F.col("threshold")).cast("double")).alias("recall"), F.count(F.lit(1)).alias("n"))
+
+
+def count_tensor(df: DataFrame, axes: list[str], within: list[str]) -> DataFrame:
+    """(axes, n, share): rows for each combination of values, and their share of those with equal values of within."""
+    cells = df.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
+    sums = cells.groupBy(*[F.col(c).alias(f"_{c}") for c in within]).agg(F.sum("n").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return cells.join(sums, on).select(*axes, "n", (F.col("n") / F.col("_all")).alias("share"))

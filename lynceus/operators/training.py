@@ -257,3 +257,17 @@ def fit_residual(x: np.ndarray, y: np.ndarray, start: np.ndarray, monotone: list
         trees.append(Tree.of(t))
         raw += trees[-1].walk(x)
     return ModelDocument([f"f{i}" for i in range(x.shape[1])], trees)
+
+
+def standardised(df: DataFrame, features: list[str], train: Column) -> DataFrame:
+    """df with its features less the training rows' mean, over their deviation (of the whole, not a sample; 1 where it is 0)."""
+    stats = df.where(train).agg(*[x for f in features for x in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))])
+    rows = df.crossJoin(F.broadcast(stats))  # one row
+    scaled = {f: (F.col(f) - F.col(f"_m_{f}")) / F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")).otherwise(1.0) for f in features}
+    return rows.withColumns(scaled).drop(*[f"_{k}_{f}" for f in features for k in "ms"])
+
+
+def shifted_log_odds(raw: Column, trained_rate: float, rate: float) -> Column:
+    """Log odds learned at one base rate, at another."""
+    odds = lambda p: math.log(p / (1 - p))
+    return raw + F.lit(odds(rate) - odds(trained_rate))

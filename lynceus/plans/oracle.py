@@ -56,7 +56,6 @@ SELECT host, CASE WHEN size >= len(ls) THEN '' ELSE array_to_string(ls[1 : len(l
   b AS (SELECT k FROM k WHERE doc_id % 7 = 0 UNION SELECT regexp_replace(regexp_replace(split_part(lower(text), '#', 1), '^www\.', ''), '/+$', '') FROM benchmark) SELECT doc_id FROM k WHERE k NOT IN (SELECT k FROM b)""",
     "class_exclusion": f"""WITH {P}, a AS (SELECT page_id, reg FROM q WHERE page_id % 2 = 0), b AS (SELECT page_id, reg FROM q WHERE page_id % 3 = 0 AND reg <> 'example.org'), both AS (SELECT reg FROM a INTERSECT SELECT reg FROM b EXCEPT SELECT 'example.net')
   SELECT page_id, 'a' AS class FROM a WHERE reg NOT IN (SELECT reg FROM both) UNION ALL SELECT page_id, 'b' FROM b WHERE reg NOT IN (SELECT reg FROM both)""".replace("both AS", "bth AS").replace("FROM both", "FROM bth"),
-    "class_balance": "WITH n AS (SELECT least(50, min(c)) AS n FROM (SELECT count(*) AS c FROM labels GROUP BY quality)), r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS k FROM labels) SELECT doc_id, CAST(quality AS INTEGER) AS label FROM r, n WHERE k <= n.n",
     "suffix_rate": f"""WITH {S}, g AS (SELECT grp || '.' || dataset AS suffix, dataset AS top, CAST(sum(label) AS DOUBLE) AS y, count(*) AS n FROM s GROUP BY 1, 2), pr AS (SELECT sum(y) / sum(n) AS prior FROM g), t AS (SELECT top, (sum(y) + 20 * any_value(prior)) / (sum(n) + 20) AS rate FROM g, pr GROUP BY top)
   SELECT suffix, round((y + 20 * t.rate) / (n + 20), 6) AS rate FROM g JOIN t USING (top) UNION ALL SELECT top, round(rate, 6) FROM t""",
     "weights": f"WITH {S}, n AS (SELECT dataset, count(*) AS n FROM s GROUP BY dataset), w(dataset, share) AS (VALUES ('en', 0.4::DOUBLE), ('de', 0.3::DOUBLE), ('fr', 0.2::DOUBLE), ('es', 0.1::DOUBLE)) SELECT doc_id, round(share / n * (SELECT sum(n.n) FROM n JOIN w USING (dataset)), 6) AS weight FROM s JOIN n USING (dataset) JOIN w USING (dataset)",
@@ -103,7 +102,6 @@ SELECT host, CASE WHEN size >= len(ls) THEN '' ELSE array_to_string(ls[1 : len(l
     "capture_filter": f"WITH {P} SELECT page_id FROM q WHERE reg = 'example.com' AND page_id % 11 <> 0 AND page_id % 5 <> 0 AND page_id % 3 <> 0",
     "union_sources": "SELECT s_name AS name, '2026-01-01' AS date, CAST(NULL AS VARCHAR) AS segment FROM supplier UNION ALL SELECT c_name, '2026-01-01', c_mktsegment FROM customer",
     "json_lists": "SELECT 'com,example)/' AS surt, '20260101' AS time, 'http://example.com/' || CAST(event_id AS VARCHAR) AS url, '200' AS status, 'text/html' AS mime FROM events",
-    "input_sniffing": "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 100",
     "brand_typo": """WITH w(word, folded) AS (VALUES ('paypal', 'paypal'), ('paypa1', 'paypal'), ('paypall', 'paypall'), ('paypl', 'paypl'), ('g00gle', 'google'), ('google', 'google'), ('rnicrosoft', 'microsoft'), ('microsof', 'microsof'), ('amazom', 'amazom'), ('vvalmart', 'walmart'), ('netflix', 'netflix'), ('example', 'example'), ('appel', 'appel'), ('apple', 'apple'), ('applex', 'applex'), ('xapplex', 'xapplex')),
   b(brand) AS (VALUES ('paypal'), ('google'), ('microsoft'), ('amazon'), ('walmart'), ('netflix'), ('apple')) SELECT word, bool_or(levenshtein(word, brand) = 1) AND NOT bool_or(word = brand) AS typo, folded FROM w, b GROUP BY word, folded""",
     "path_norm_prefix": "SELECT * FROM (VALUES ('/a/./b/../c', '', '/a/c', ' / /a /a/ /a/c'), ('', 'x=1', '/?x=1', ' / /? /?x=1'), ('/A/%2e%2E/b', 'q=1&r=2', '/b?q=1&r=2', ' / /b /b? /b?q=1 /b?q=1& /b?q=1&r=2'), ('/a/b/', '', '/a/b/', ' / /a /a/ /a/b /a/b/'), ('/..', '', '/', ' /'), ('/x/y/.', 'k', '/x/y/?k', ' / /x /x/ /x/y /x/y/ /x/y/? /x/y/?k')) v(path, query, target, candidates)",

@@ -5,7 +5,6 @@ Each is called with (spark, sf_dir). `lynceus.plans.oracle` has the same results
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lynceus.functions import text as X
 from lynceus.functions import url as U
-from lynceus.functions.features import extract, folded, is_typo
+from lynceus.functions.features import FEATURES, extract, folded, is_typo
 from lynceus.operators import audit, datasets, encoders, enrich, lists, metrics, scoring, training
 from lynceus.operators.toy import offline_model, second_model
-from lynceus.plans.urls import analyse, json_records, result_cells
+from lynceus.plans.urls import analyse, result_cells
 from lynceus.sources import cache, delimited, feeds
+from lynceus.sources.folder import shared_folder
 from lynceus.streaming import urls as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +90,7 @@ def url_structure(spark, sf):
 @query
 def url_features_all(spark, sf):
     f = extract(U.parse(_pages(spark, sf)))
-    return f.select("page_id", "tld", "f.*")
+    return f.select("page_id", "tld", *[F.round(f"f.{n}", 6).alias(n) for n in FEATURES])
 
 
 @query
@@ -186,8 +186,7 @@ def class_exclusion(spark, sf):
 @query
 def class_balance(spark, sf):
     rows = _table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    n = min(r["count"] for r in rows.groupBy("label").count().collect())
-    return datasets.smallest(rows, "label", min(n, 50), F.col("doc_id")).select("doc_id", F.col("label").cast("int").alias("label"))
+    return datasets.balanced(rows, key="doc_id").select("doc_id", F.col("label").cast("int").alias("label"))
 
 
 @query
@@ -285,7 +284,7 @@ def url_verdicts(spark, sf):
 def url_report(spark, sf):
     a = analyse(_pages(spark, sf), offline_model(), lists=lists.UserLists(_entries(spark), [], {}))
     cells = result_cells(a)
-    return a.select("page_id", *[v.alias(k) for k, v in cells.items()], json_records(a, "url").alias("json"))
+    return a.select("page_id", *[v.alias(k) for k, v in cells.items()])
 
 
 def _facts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -444,8 +443,8 @@ def bootstrap_share(spark, sf):
 
 @query
 def bootstrap_difference(spark, sf):
-    rows = _scored(spark, sf).withColumn("other", F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000.0)
-    return metrics.bootstrap_auc(rows, F.col("grp"), 50, other="other")
+    rows = _scored(spark, sf).withColumn("other", F.col("doc_id") * 7919 % 1000 / 1000.0)
+    return metrics.bootstrap_auc(rows, F.col("grp"), 50, other="other").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query
@@ -488,8 +487,7 @@ def json_lists(spark, sf):
 
 def _sniffed(spark: SparkSession, sf: str) -> DataFrame:
     """All pages as a semicolon file without a header: written by Spark to the shared folder, sniffed and read again."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{root.rstrip('/')}/sniffed-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sniffed-{uuid.uuid4().hex}"
     _pages(spark, sf).write.csv(path, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     t, layout = delimited.read_delimited(spark, path)
     return t.select(F.col(layout.header[0]).cast("long").alias("page_id"), F.col(layout.url_column).alias("url"))
@@ -497,13 +495,6 @@ def _sniffed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def input_sniffing(spark, sf):
-    """The whole file is written, sniffed and read; the first hundred of its rows are what the SQL asks for."""
-    return _sniffed(spark, sf).orderBy("page_id").limit(100)
-
-
-@query
-def input_sniffing_all(spark, sf):
-    """As input_sniffing, with every row."""
     return _sniffed(spark, sf)
 
 
@@ -527,12 +518,12 @@ def gbt_train(spark, sf):
 @query
 def char_ngram_lr(spark, sf):
     rows = _pages(spark, sf).withColumn("label", (F.length("url") % 2).cast("int"))
-    return training.train_char_ngrams(rows, "url", buckets=1 << 12, urls=True)(rows).select("page_id", F.round("score", 4).alias("score"))
+    return training.train_char_ngrams(rows, "url", urls=True)(rows).select("page_id", F.round("score", 4).alias("score"))
 
 
 @query
 def stream_file_score(spark, sf):
-    out = tempfile.mkdtemp()
+    out = f"{shared_folder(spark)}/scored-{uuid.uuid4().hex}"
     stream = streams.read_files(spark, f"{sf}/pages*", "page_id long, url string, html string")
     streams.run_available(stream.select("page_id", "url"), lambda b: scoring.score_urls(b, offline_model()).select("page_id", "fraud_verdict", "probability"), f"{out}/t", f"{out}/c")
     return spark.read.parquet(f"{out}/t").select("page_id", "fraud_verdict", F.round("probability", 6).alias("probability"))

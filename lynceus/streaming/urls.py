@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,10 @@ def run_available(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        seen = Observation()
+        step(batch).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{out}/batch={number}")
         if progress:
-            progress(number, batch.sparkSession.read.parquet(f"{out}/batch={number}").count())
+            progress(number, seen.get["rows"])
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -56,3 +57,18 @@ def latest_values(stream: DataFrame, key: str = "k", ttl_ms: int | None = 7 * 86
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(update, f"k {kind}, seen long", "n long", "update", "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout")
+
+
+def upsert_available(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Runs a stream of updates over everything there is now; each batch's rows go to a folder of its own, with its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last row of each key by batch."""
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")

@@ -6,8 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lynceus.plans.oracle import ORACLE_SQL
-from lynceus.plans.queries import QUERIES
+from lynceus.plans.inventory import QUERIES
+from lynceus.plans.inventory_sql import ORACLE_SQL as INVENTORY_SQL
+from lynceus.plans.oracle import ORACLE_SQL as FIRST_SQL
+
+ORACLE_SQL = {**FIRST_SQL, **INVENTORY_SQL}
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -34,7 +37,7 @@ def test_oracle(spark, name):
     same(QUERIES[name](spark, SF), ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["url_features_all", "url_report", "two_pass_gate", "gbt_train", "stream_file_score"])
+@pytest.mark.parametrize("name", ["gbt_train", "emb_lr", "char_ngram_lr", "throttled_lookups"])
 def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
