@@ -1,9 +1,13 @@
 """BPE encoding with content-defined chunks, and decoding.
 
-A text is cut where a rolling hash of the bytes before a single blank says so, so texts that share a passage
-share its chunks, wherever it stands in them. Each worker encodes a chunk it meets again only once. Where a
-tokenizer might join what a cut has parted, the words beside the cut are encoded together and apart; chunks
-whose join disagrees are merged and encoded anew, until every join agrees.
+A text is cut where a rolling hash of the last bytes says so, so texts that share a passage share its chunks,
+wherever it stands in them. Each worker encodes a chunk it meets again only once. Cuts fall where they may, most of
+them inside words, so the ids of chunks can't just be put together: what stands around a join is encoded anew.
+
+For tokenizers that drop white space, ids depend on nothing beyond a word, so a chunk is encoded from its first blank
+to its last, and the pieces of a word that cuts have parted, over as many chunks as it takes, are encoded together. For
+others, chunks begin at blanks; the words beside each cut are encoded together and apart, and chunks whose join
+disagrees are merged and encoded anew, until every join agrees.
 """
 
 from __future__ import annotations
@@ -17,24 +21,44 @@ from pyspark.sql import DataFrame
 
 from lynceus.llm.words import word_encoder
 
-#: Bytes that the rolling hash sees, blanks per chunk on average, chunks that a worker keeps, text in one output batch.
-WINDOW, SPACING, MAX_CHUNKS, BATCH_BYTES = 16, 32, 60_000, 4 << 20
+#: Bytes that the rolling hash sees, bytes per chunk and blanks per chunk on average, chunks that a worker keeps, text in one output batch.
+WINDOW, SIZE, SPACING, MAX_CHUNKS, BATCH_BYTES = 16, 256, 32, 60_000, 4 << 20
 GEAR = np.random.default_rng(1).integers(1, 1 << 32, 256, "uint32")
 POWERS = np.array([pow(0x9E3779B1, k, 1 << 32) for k in range(WINDOW)], "uint32")
+#: Bytes hashed at a time.
+BLOCK = 1 << 20
 
 
-def cuts(data: bytes, spacing: int = SPACING) -> list[int]:
-    """Ascending places in data at which a chunk begins, without 0: single blanks between other characters."""
+def _hashes(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of the WINDOW bytes before each place."""
+    h = np.zeros(len(at), "uint32")
+    for k in range(WINDOW):
+        h += GEAR[b[at - 1 - k]] * POWERS[k]
+    return h >> np.uint32(7)
+
+
+def cuts(data: bytes, size: int = SIZE) -> list[int]:
+    """Ascending places in data, without 0, at which a chunk begins: anywhere between characters."""
+    b, out = np.frombuffer(data, "u1"), []
+    for k in range(WINDOW, len(b), BLOCK):
+        n = min(BLOCK, len(b) - k)
+        gear, h = GEAR[b[k - WINDOW : k + n - 1]], np.zeros(n, "uint32")
+        for j in range(WINDOW):
+            h += gear[WINDOW - 1 - j : WINDOW - 1 - j + n] * POWERS[j]
+        at = np.flatnonzero((h >> np.uint32(7)) % np.uint32(size) == 0) + k
+        out += at[(b[at] & 0xC0) != 0x80].tolist()
+    return out
+
+
+def blank_cuts(data: bytes, spacing: int = SPACING) -> list[int]:
+    """As cuts, at single blanks between other characters only."""
     b = np.frombuffer(data, "u1")
     if len(b) <= WINDOW + 1:
         return []
     blank = b <= 32
     at = np.flatnonzero((b[1:-1] == 32) & ~blank[:-2] & ~blank[2:]) + 1
     at = at[at >= WINDOW]
-    h = np.zeros(len(at), "uint32")
-    for k in range(WINDOW):
-        h += GEAR[b[at - 1 - k]] * POWERS[k]
-    return at[(h >> np.uint32(7)) % np.uint32(spacing) == 0].tolist()
+    return at[_hashes(b, at) % np.uint32(spacing) == 0].tolist()
 
 
 class ChunkEncoder:
@@ -43,43 +67,62 @@ class ChunkEncoder:
     def __init__(self, path: str):
         self.words = word_encoder(path)
         self.library, self.dtype = self.words.library, self.words.dtype
-        self.chunks: dict[bytes, bytes] = {}
-        self.reused = self.encoded = 0
+        self.chunks: dict[bytes, tuple[bytes, bytes, bytes]] = {}
+        self.reused = self.encoded = self.repaired = 0
         self.names = None
         if self.library.decoder is None:  # then tokens are joined by blanks
             n = self.library.get_vocab_size()
             self.names = [(self.library.id_to_token(i) or "").encode() for i in range(n)]
 
-    def _chunk(self, data: bytes) -> bytes:
-        ids = self.chunks.get(data)
-        if ids is None:
-            ids = self.words.encode(data.decode())
+    def _chunk(self, data: bytes, whole: bool = False) -> tuple[bytes, bytes, bytes]:
+        """What stands before a chunk's first blank, the ids up to its last one, and what stands from there on; all of it is ids if whole."""
+        found = self.chunks.get(data)
+        if found is None:
+            first, last = (0, len(data)) if whole else (data.find(b" "), data.rfind(b" "))
+            found = (data[:first], self.words.encode(data[first:last].decode()), data[last:])
             self.encoded += 1
             if len(self.chunks) >= MAX_CHUNKS:
                 self.chunks.clear()
             if len(data) < 1 << 12:
-                self.chunks[data] = ids
+                self.chunks[data] = found
         else:
             self.reused += 1
-        return ids
+        return found
 
     def _agree(self, a: bytes, b: bytes) -> bool:
-        """Whether the last word of a and the first of b are encoded alike together and apart."""
-        left, right = a[a.rfind(b" ") + 1 :] if b" " in a[1:] else a, b[: b.find(b" ", 1)] if b" " in b[1:] else b
+        """Whether the last two words of a and the first two of b are encoded alike together and apart."""
+        left, right = b" ".join(a.split(b" ")[-2:]), b" ".join(b.split(b" ")[:3])
         return self.words.encode((left + right).decode()) == self.words.encode(left.decode()) + self.words.encode(right.decode())
 
     def encode(self, text: str) -> np.ndarray:
         data = text.encode()
-        at = [0, *cuts(data), len(data)]
+        at = [0, *(cuts(data) if self.words.by_word else blank_cuts(data)), len(data)]
         parts = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-        if not self.words.by_word:  # by_word: what a blank parts is never joined, so every join agrees
-            whole: list[bytes] = []
-            for p in parts:
-                while whole and not self._agree(whole[-1], p):
-                    p = whole.pop() + p
-                whole.append(p)
-            parts = whole
-        return np.frombuffer(b"".join(map(self._chunk, parts)), self.dtype)
+        return np.frombuffer(b"".join(self._words(parts) if self.words.by_word else self._agreed(parts)), self.dtype)
+
+    def _words(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of chunks and, between them, of the words that their ends make up."""
+        out, left = [], b""
+        for p in parts:
+            if b" " not in p:
+                self.repaired += bool(left) and bool(p)
+                left += p
+                continue
+            before, ids, after = self._chunk(p)
+            self.repaired += bool(left.strip(b" ")) and bool(before)
+            out += [self.words.encode((left + before).decode()), ids]
+            left = after
+        return [*out, self.words.encode(left.decode())]
+
+    def _agreed(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of chunks, merged where their joins disagree."""
+        whole: list[bytes] = []
+        for p in parts:
+            while whole and not self._agree(whole[-1], p):
+                p = whole.pop() + p
+                self.repaired += 1
+            whole.append(p)
+        return [self._chunk(p, whole=True)[1] for p in whole]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The decoded text in UTF-8."""

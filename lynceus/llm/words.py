@@ -17,6 +17,20 @@ PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
 PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
+#: What a tokenizer file must say for PARTS to be its parts (fixed values of the format).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def drops_blanks(spec: dict) -> bool:
+    """Whether a tokenizer's words can be encoded one by one: its very rules are compared, and others are left to the library."""
+    normalizers, pre, model = ((spec.get("normalizer") or {}).get("normalizers"), (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}], spec["model"])
+    plain = all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
+    rest = [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+    same = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in pre[1:]] == rest
+    return plain and normalizers == NORMALIZERS and pre[0] == SPLIT and same and model.get("end_of_word_suffix") is not None and model.get("dropout") is None
+
+
 class WordEncoder:
     """Exactly what the library's encode(text, add_special_tokens=False) gives, for tokenizers that drop white space.
 
@@ -35,9 +49,7 @@ class WordEncoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = bool(pre[0].get("invert")) and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") is not None
+        self.by_word = drops_blanks(spec)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.parts: dict[str, bytes] = {}
 

@@ -130,6 +130,36 @@ def test_encoders(name):
         assert chunks.decode(ids).decode() == lib.decode(want, skip_special_tokens=False), t
 
 
+def test_joins_are_repaired():
+    """Cuts fall inside words, whose pieces have other ids than the word: only repaired joins give the library's."""
+    encoder, lib = bpe.ChunkEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(8)
+    odd = 0
+    for spacing in ("", " ", "\u00a0"):  # one word of many chunks, words, and words that no plain blank parts
+        text = spacing.join("".join(rng.choice("abcdefé𝄞") for _ in range(rng.randint(1, 40))) for _ in range(400))
+        data = text.encode()
+        at = [0, *bpe.cuts(data), len(data)]
+        assert len(at) > 10
+        alone = [x for a, b in zip(at, at[1:]) for x in lib.encode(data[a:b].decode(), add_special_tokens=False).ids]
+        want = lib.encode(text, add_special_tokens=False).ids
+        before = encoder.repaired
+        assert encoder.encode(text).tolist() == want and encoder.repaired > before
+        odd += alone != want
+    assert odd == 3
+
+
+def test_rules_are_compared(tmp_path):
+    """A tokenizer of the same shape with another pattern isn't cut into words."""
+    from lynceus.llm.words import drops_blanks
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    assert drops_blanks(spec)
+    for change in (lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="[a-z]+"), lambda s: s["normalizer"]["normalizers"][1].update(content="_"), lambda s: s["added_tokens"][0].update(content="two words")):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        assert not drops_blanks(other)
+
+
 def test_chunks_are_shared():
     encoder, rng = bpe.ChunkEncoder(tokenizer_path()), random.Random(3)
     passage = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(2000))
