@@ -105,6 +105,11 @@ def prior_corrected(model: QualityModel, drawn: list[tuple[str, int]], labels: D
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
+    """A model from about per_class labelled documents of each class (labels: doc_id, quality), the held-out fold left out.
+
+    Rows with null ids or labels are no labels, null texts are empty, repeated rows count each, and empty tables
+    give a model that scores everything alike.
+    """
     drawn = sample(docs, labels, "quality", per_class)
     return prior_corrected(fit(drawn), drawn, labels, "quality")
 
@@ -130,7 +135,11 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier doesn't reject."""
+    """The rows of docs, with all their columns, that the classifier doesn't reject.
+
+    Null and empty texts are scored as the empty text; rows that repeat stay or go together; an empty table gives an
+    empty result.
+    """
     model = train(docs, labels, per_class)
     whole = docs.select(F.struct("*").alias("row"), "text")  # columns of docs may have any name
     return score(whole, model, threshold).where("quality_predicted = 1").select("row.*")

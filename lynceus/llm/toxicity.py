@@ -247,6 +247,11 @@ def _calibrate(model: ToxicityModel, texts: list[str], y: np.ndarray, weight: np
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
+    """A model from about per_class labelled documents of each class (labels: doc_id, toxic), the held-out fold left out.
+
+    Rows with null ids or labels are no labels, null texts are empty, repeated rows count each, and empty tables
+    give a model that scores everything alike.
+    """
     return fit(sample(docs, labels, "toxic", per_class))
 
 

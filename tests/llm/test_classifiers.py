@@ -77,3 +77,60 @@ def test_folds(spark):
     drawn = labelled.sample(df, labels, "quality", 20)
     assert drawn == labelled.sample(df.repartition(5), labels.repartition(3), "quality", 20) and 10 < len(drawn) < 80
     assert not {int(t[1:]) for t, _ in drawn} & {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def plain_toxicity(model, text):
+    """The network word by word and filter by filter."""
+    every = toxicity.words(text)
+    x = [sum(model.embedding[model.rows.get(h, 0)] for h in toxicity._hashes(w)) for w in every]
+    units = []
+    for width, f in zip(toxicity.WIDTHS, model.filters):
+        for u in range(toxicity.FILTERS):
+            places = [sum(float(x[i + j] @ f[j, :, u]) for j in range(width)) for i in range(len(x) - width + 1)]
+            units.append(max(places) if places else 0.0)
+    logit = sum(max(0.0, v + b) * d for v, b, d in zip(units, model.bias, model.dense)) + model.constant
+    counts = [sum(w in v.split() for w in every) for v in toxicity.FUNCTION_WORDS.values()]
+    language = counts.index(max(counts)) if any(counts) else len(counts)
+    return 1 / (1 + np.exp(-model.slope * (logit - model.thresholds[language])))
+
+
+def plain_quality(model, text):
+    """Every piece compressed by a compressor of its own."""
+    import zstandard
+
+    data, sizes = text.encode(), []
+    for k in range(0, max(1, len(data)), quality.PIECE):
+        size = []
+        for content in (model.good, model.bad):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size.append(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d).compress(data[k : k + quality.PIECE])))
+        sizes.append(size)
+    g, b = map(sum, zip(*sizes))
+    each = [(y - x) / (x + y) for x, y in sizes]
+    x = [(b - g) / (b + g), min(each), max(each), np.log(1 + len(data)), g / (len(data) + 1), b / (len(data) + 1)]
+    z = sum((v - c) / s * w for v, c, s, w in zip(x, model.centre, model.scale, model.weights)) + model.weights[-1]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_by_brute_force(spark):
+    rows = [(i, t) for i, (t, _, _) in enumerate(made(250))] + [(1000, None), (1001, ""), (1002, "x"), (1003, "der die und vilexan " * 300), (None, "é" * 4000)]
+    labels = spark.createDataFrame([(i, q, x) for i, (_, q, x) in enumerate(made(250))], "doc_id long, quality int, toxic int")
+    df = frame(spark, rows)
+    t, q = toxicity.train(df, labels), quality.train(df, labels)
+    for scored, name, plain, model, limit in ((toxicity.score(df, t), "toxicity", plain_toxicity, t, 0.5), (quality.score(df, q), "quality", plain_quality, q, quality.THRESHOLD)):
+        got = sorted((repr((r.doc_id, r.text)), r[f"{name}_score"], r[f"{name}_predicted"]) for r in scored.collect())
+        want = sorted((repr(r), plain(model, r[1] or "")) for r in rows)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=2e-4)
+        assert all(g[2] == (g[1] >= limit) for g in got)
+
+
+@pytest.mark.parametrize("name, label, least", [("op4_toxicity", "toxic", 0.9), ("op7_quality", "quality", 0.75)])
+def test_held_out(spark, name, label, least):
+    """How well labels that fitting hasn't seen are told apart; the smallest tables have few of them."""
+    from lynceus.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    s, y = np.array([r.score for r in rows]), np.array([r[label] for r in rows])
+    assert np.mean((s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0])) > least
