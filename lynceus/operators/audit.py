@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lynceus.operators.ranges import neighbour_gaps, quantiles
+
 
 def verdict_counts(df: DataFrame, verdict: str = "fraud_verdict") -> DataFrame:
     return df.groupBy(verdict).agg(F.count(F.lit(1)).alias("n"))
@@ -23,13 +25,17 @@ def crosstab(df: DataFrame, row: str, column: str, values: list, by_column: bool
 
 def deciles(df: DataFrame, value: str, by: str) -> DataFrame:
     """Deciles with linear interpolation, for each value of by."""
-    return df.groupBy(by).agg(F.percentile(value, F.array(*[F.lit(k / 10) for k in range(11)])).alias("deciles"))
+    return quantiles(df, [by], value, [k / 10 for k in range(11)], "deciles")
 
 
 def medians_missing(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     """For each value of by: each column's median without missing values, and the share missing (null or NaN)."""
     real = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
-    return df.groupBy(by).agg(*[x for c in columns for x in (F.percentile(real(c), F.lit(0.5)).alias(f"median_{c}"), F.avg(real(c).isNull().cast("double")).alias(f"missing_{c}"))])
+    out = df.groupBy(by).agg(*[F.avg(real(c).isNull().cast("double")).alias(f"missing_{c}") for c in columns])
+    for c in columns:
+        median = quantiles(df.select(by, real(c).alias(c)), [by], c, [0.5], "_q").select(F.col(by).alias("_by"), F.col("_q")[0].alias(f"median_{c}"))
+        out = out.join(median, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+    return out
 
 
 def determinism(df: DataFrame, key: str, results: list[str]) -> DataFrame:
@@ -82,9 +88,8 @@ def sessions(df: DataFrame, by: str, time: str, gap_seconds: int = 120) -> DataF
 
 def median_gap(df: DataFrame, by: str, time: str) -> DataFrame:
     """The median number of seconds between neighbours, for each value of by."""
-    order = Window.partitionBy(by).orderBy(time)
-    gaps = df.withColumn("_g", (_micros(F.col(time)) - _micros(F.lag(time).over(order))) / 1e6)
-    return gaps.groupBy(by).agg(F.percentile("_g", F.lit(0.5)).alias("median_gap"))
+    gaps = neighbour_gaps(df.select(by, _micros(F.col(time)).alias("_t")), [by], "_t", "_g")
+    return quantiles(gaps, [by], "_g", [0.5], "_q").select(by, (F.col("_q")[0] / 1e6).alias("median_gap"))
 
 
 def arg_ranges(df: DataFrame, name: str, values: list[str]) -> DataFrame:

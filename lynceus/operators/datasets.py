@@ -44,12 +44,15 @@ def annotate(df: DataFrame, column: str = "url", rules: SuffixRules | None = Non
     return out.where("host <> ''").withColumn("split", split_of(F.col("group")))
 
 
-def cap(df: DataFrame, by: str, limit: Column | int, order: Column) -> DataFrame:
-    """At most limit rows of each value of by, in the given order; the limit may depend on the row.
+def cap(df: DataFrame, by: str, limit: Column | int, order: Column, most: int | None = None) -> DataFrame:
+    """At most limit rows of each value of by, in the given order; the limit may depend on the row, and is most at most.
 
     Where the limit is one number, Spark keeps that many rows of a value on each task before it shuffles, so a
-    value with most of the rows costs no more than others.
+    value with most of the rows costs no more than others. A limit that depends on the row is preceded by its greatest
+    value for that reason.
     """
+    if most is not None:
+        df = cap(df, by, most, order)
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order)))
     return ranked.where(F.col("_n") <= limit).drop("_n")
 
@@ -115,7 +118,7 @@ def stratified(df: DataFrame, label: str, n: int, key: str = "url", seed: int =
     limit = F.lit(0)
     for value, count in sizes.items():
         limit = F.when(F.col(label).eqNullSafe(F.lit(value)), int(round(n * count / total))).otherwise(limit)
-    return cap(df, label, limit, draw(key, seed))
+    return cap(df, label, limit, draw(key, seed), max((int(round(n * count / total)) for count in sizes.values()), default=0))
 
 
 def tiered(ranked: DataFrame, n: int, tiers: tuple[tuple[int, float], ...] = ((10_000, 0.2), (100_000, 0.3), (1_000_000, 0.5)), seed: int = 0) -> DataFrame:
@@ -126,7 +129,7 @@ def tiered(ranked: DataFrame, n: int, tiers: tuple[tuple[int, float], ...] = ((1
         tier = F.when(F.col("rank") <= last, i).otherwise(tier)
         limit = F.when(F.col("_tier") == i, int(round(n * share))).otherwise(limit)
     first = ranked.groupBy("domain").agg(F.min("rank").alias("rank")).withColumn("_tier", tier).where("_tier IS NOT NULL")
-    return cap(first, "_tier", limit, draw("domain", seed)).drop("_tier")
+    return cap(first, "_tier", limit, draw("domain", seed), max(int(round(n * share)) for _, share in tiers)).drop("_tier")
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "url", seed: int = 0) -> DataFrame:

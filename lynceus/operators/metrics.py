@@ -1,7 +1,7 @@
 """Evaluation metrics of scored, labelled rows, and intervals for them.
 
 Everything that needs rows in the order of their scores starts from `curve`: rows are first summed by score,
-then scores are cut into ranges that are summed up in two levels, so no task ever orders them all.
+then scores are cut into ranges of about as many different scores each, which are summed up in two levels, so no task ever orders them all.
 """
 
 from __future__ import annotations
@@ -9,18 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of scores in the two-level running sums.
-RANGES = 1024
+from lynceus.operators.ranges import ranged
 
 
 def curve(df: DataFrame, score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
     """(score, pos, neg, tp, fp): rows of either label at a score, and at it or above."""
     w = F.col(weight) if weight else F.lit(1)
     by = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0)).alias("neg"))
-    lo, hi = df.agg(F.min(score), F.max(score)).first()
-    width = float(hi - lo) if hi is not None and hi > lo else 1.0
-    by = by.withColumn("_r", F.least(F.floor((F.col("score") - float(lo or 0)) / width * RANGES), F.lit(RANGES - 1)).cast("int"))
-    sums = by.groupBy("_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))  # at most RANGES rows
+    by = ranged(by, [], "score")
+    sums = by.groupBy("_r").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))  # one row for each range
     above = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_r", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
     within = Window.partitionBy("_r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)

@@ -165,7 +165,7 @@ def cap_per_group(spark, sf):
 
 @query
 def cap_by_kind(spark, sf):
-    return datasets.cap(_by_host(spark, sf), "group", F.when(F.col("group") == "example.com", 30).otherwise(3), F.col("page_id"))
+    return datasets.cap(_by_host(spark, sf), "group", F.when(F.col("group") == "example.com", 30).otherwise(3), F.col("page_id"), 30)
 
 
 @query

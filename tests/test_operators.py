@@ -120,3 +120,24 @@ def test_streams(spark, tmp_path):
     q = streams.latest_values(streams.read_files(spark, f"file://{tmp_path}/in", "id long, k string"), ttl_ms=None).writeStream.outputMode("update").format("memory").queryName("seen").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert {r.k: r.seen for r in spark.sql("SELECT k, max(seen) AS seen FROM seen GROUP BY k").collect()} == {"k0": 6, "k1": 6}
+
+
+def test_ranges(spark):
+    """Quantiles, gaps and curves over values of which most are one, against numpy; groups without values have none."""
+    import numpy as np
+
+    from lynceus.operators import ranges
+
+    rng = np.random.default_rng(4)
+    rows = [("a", 0.0)] * 500 + [("a", float(v)) for v in rng.exponential(1, 400)] + [("b", float(v)) for v in rng.integers(0, 9, 300)] + [("c", 2.0), ("d", None), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probabilities = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r.g: r.quantiles for r in ranges.quantiles(df, ["g"], "v", probabilities).collect()}
+    values = {g: np.array(sorted(v for k, v in rows if k == g and v is not None)) for g in ("a", "b", "c", None)}
+    assert set(got) == set(values)
+    for g, v in values.items():
+        assert np.allclose(got[g], np.quantile(v, probabilities))
+    gaps = ranges.neighbour_gaps(df, ["g"], "v").collect()
+    for g, v in values.items():
+        assert np.allclose(sorted(r.gap for r in gaps if r.g == g), sorted(np.diff(v)))
+    assert ranges.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
