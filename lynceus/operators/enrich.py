@@ -18,7 +18,7 @@ from lynceus.operators.scoring import FAILED, MODES, ModelDocument, judged, tree
 NAN = float("nan")
 ANSWERED = ("ok", "nodata", "nxdomain")
 #: Statuses worth keeping, and days for which they are.
-CACHEABLE = {"dns": ANSWERED, "rdap": ("ok", "not_found", "no_rdap")}
+CACHEABLE = {"dns": ANSWERED, "rdap": ("ok", "not_found", "no_rdap_server")}
 TTL_DAYS = {"dns": 7, "rdap": 28}
 #: IPv4 networks that aren't public (fixed values), as first address and prefix length.
 PRIVATE_NETWORKS = "0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/29 192.0.0.170/31 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4".split()

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from lynceus.functions import text as X
 from lynceus.functions import url as U
 from lynceus.functions.features import extract, popularity
-from lynceus.functions.reasons import worded
+from lynceus.functions.reasons import signals_text, worded
 from lynceus.functions.suffix import SuffixRules, split_hosts
 from lynceus.operators import audit, datasets, encoders, enrich, lists, metrics, scoring, training
 from lynceus.operators.toy import offline_model, second_model
 from lynceus.plans.queries import QUERIES, _by_host, _entries, _facts, _pages, _scored, _table, query
 from lynceus.plans.urls import analyse, json_records, result_cells
-from lynceus.sources import delimited, feeds, sinks
+from lynceus.sources import delimited, feeds, lookup, sinks
 from lynceus.sources.folder import shared_folder
 from lynceus.streaming import urls as streams
 
@@ -212,6 +212,54 @@ def popular_ranks(spark, sf):
     return rows.select("page_id", *[F.round(v, 6).alias(k) for k, v in popularity(F.col("host"), F.col("rank")).items()])
 
 
+def _made_up(url: str, accept: str) -> tuple[int, str, float]:
+    """Answers of servers that don't exist, by a hash of the name asked for; some fail at first, some always."""
+    import hashlib
+    import json
+    from urllib.parse import parse_qs, urlsplit
+
+    parts = urlsplit(url)
+    asked = parse_qs(parts.query)
+    name = asked["name"][0] if asked else parts.path.rpartition("/")[2]
+    h = int(hashlib.md5(f"f|{name}".encode()).hexdigest()[:8], 16) % 100
+    if not asked:
+        if h < 10:
+            return 404, "", 0.0
+        return (503, "", 0.0) if h < 20 else (200, "no JSON" if h < 30 else json.dumps({"events": [{"eventAction": "registration", "eventDate": "2020-01-01T00:00:00Z"}], "status": ["Active"]}), 0.0)
+    if parts.netloc == "1.1.1.1" and h % 3 == 0:
+        raise ConnectionError
+    if h < 20:
+        return 200, json.dumps({"Status": 3}), 0.0
+    record = asked["type"][0]
+    if record == "AAAA" and h < 90:
+        return 200, json.dumps({"Status": 0, "Answer": []}), 0.0
+    data = {"A": "192.0.2.1", "AAAA": "2001:db8::1", "NS": "NS1.Example.", "MX": "10 mx.example."}[record]
+    return 200, json.dumps({"Status": 0, "Answer": [{"type": 5, "TTL": 9, "data": f"alias.{name}."}, {"type": lookup.RECORDS[record], "TTL": h, "data": data}]}), 0.0
+
+
+@query
+def dns_client(spark, sf):
+    """DNS facts of the pages' hosts from resolvers that answer in JSON; the answers are made up."""
+    facts = lookup.dns_facts(_by_host(spark, sf).select("host", F.col("group").alias("reg")).distinct(), _made_up)
+    lists_ = [F.array_join(c, " ").alias(c) for c in ("a", "aaaa", "ns", "mx")]
+    return facts.select("host", "a_status", "ttl_a", "cname", "ns_status", "mx_status", *lists_)
+
+
+@query
+def registration_client(spark, sf):
+    """Registration facts of the pages' hosts, as if each were a domain, from registries whose answers are made up."""
+    servers = spark.createDataFrame([("com", "https://a.example/"), ("org", "https://b.example")], "tld string, base_url string")
+    facts = lookup.registration_facts(_by_host(spark, sf).select(F.col("host").alias("reg")), servers, _made_up, per_second=10_000.0)
+    return facts.select("reg", "status", "created", F.array_join("domain_status", ",").alias("flags"))
+
+
+@query
+def signal_texts(spark, sf):
+    """Signals of each URL in words."""
+    f = extract(U.parse(_pages(spark, sf)))
+    return f.select("page_id", signals_text(F.col("f")).alias("signals"))
+
+
 # Wording, cells and sinks.
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lynceus.functions import values as V
+from lynceus.functions.reasons import SIGNALS
 
 #: Labelled documents with a score, as in lynceus.plans.oracle.
 S = "s AS (SELECT l.doc_id, d.lang AS dataset, d.source AS grp, CAST(l.quality AS INTEGER) AS label, CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
@@ -166,6 +167,13 @@ ORACLE_SQL: dict[str, str] = {
     "host_spelling": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'xn--fa-hia.de' ELSE 'xn--mnchen-3ya.de' END AS listed, CASE WHEN s_suppkey % 2 = 0 THEN 'fass.de' ELSE 'xn--mnchen-3ya.de' END AS host FROM supplier",
     "suffix_split_public": f"WITH {P} SELECT DISTINCT host, reg, tld AS suffix FROM q UNION ALL SELECT * FROM (VALUES ('user.github.io', 'github.io', 'io'), ('a.b.example.co.uk', 'example.co.uk', 'co.uk'), ('github.io', 'github.io', 'io'), ('x.foo.ck', 'x.foo.ck', 'foo.ck')) v(host, reg, suffix)",
     "popular_ranks": f"WITH {P}, r AS (SELECT host, min(page_id) AS rank FROM q GROUP BY host HAVING min(page_id) % 2 = 0) SELECT page_id, round(coalesce(CASE WHEN rank > 0 THEN log10(rank) END, 7), 6) AS popular_rank_log, CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1 END AS is_popular FROM q LEFT JOIN r USING (host)",
+    "dns_client": f"""WITH {P}, k AS (SELECT DISTINCT host, reg, CAST(('0x' || substr(md5('f|' || host), 1, 8)) AS BIGINT) % 100 AS h, CAST(('0x' || substr(md5('f|' || reg), 1, 8)) AS BIGINT) % 100 AS g FROM q)
+  SELECT host, CASE WHEN h < 20 THEN 'nxdomain' ELSE 'ok' END AS a_status, CASE WHEN h >= 20 THEN CAST(h AS INTEGER) END AS ttl_a, CASE WHEN h >= 20 THEN 'alias.' || host END AS cname, CASE WHEN g < 20 THEN 'nxdomain' ELSE 'ok' END AS ns_status, CASE WHEN g < 20 THEN 'nxdomain' ELSE 'ok' END AS mx_status,
+  CASE WHEN h >= 20 THEN '192.0.2.1' ELSE '' END AS a, CASE WHEN h >= 90 THEN '2001:db8::1' ELSE '' END AS aaaa, CASE WHEN g >= 20 THEN 'ns1.example' ELSE '' END AS ns, CASE WHEN g >= 20 THEN '10 mx.example.' ELSE '' END AS mx FROM k""",
+    "registration_client": f"""WITH {P}, k AS (SELECT DISTINCT host AS reg, tld, CAST(('0x' || substr(md5('f|' || host), 1, 8)) AS BIGINT) % 100 AS h FROM q), t AS (SELECT reg, CASE WHEN tld NOT IN ('com', 'org') THEN 'no_rdap_server' WHEN h < 10 THEN 'not_found' WHEN h < 20 THEN 'http_503' WHEN h < 30 THEN 'bad_json' ELSE 'ok' END AS status FROM k)
+  SELECT reg, status, CASE WHEN status = 'ok' THEN '2020-01-01T00:00:00Z' END AS created, CASE WHEN status = 'ok' THEN 'active' END AS flags FROM t""",
+    "signal_texts": f"""WITH f AS ({URL_FEATURES}) SELECT page_id, concat_ws('; ', {", ".join(f"CASE WHEN {' + '.join(keys)} > 0 THEN " + "replace('" + text.replace("'", "''") + "', '{}', CAST(CAST(" + keys[0] + " AS BIGINT) AS VARCHAR)) END" for keys, text in SIGNALS)},
+  'hostname has ' || CAST(host_n_labels AS BIGINT) || ' labels and ' || CAST(host_n_hyphens AS BIGINT) || ' hyphens', 'URL length ' || CAST(url_len AS BIGINT)) AS signals FROM f""",
     # Wording, cells and sinks.
     "fixed_numbers": "SELECT l_orderkey, l_linenumber, printf('%.3f', l_discount) AS d3, printf('%.1f', l_quantity / 16) AS q1, printf('%.3f', l_quantity / 16) AS q3 FROM lineitem",
     "phrases": """WITH o AS (SELECT o_orderkey, o_orderkey % 900 AS n, CASE WHEN o_orderkey % 900 % 3 = 0 THEN ' (lowers risk)' ELSE ' (raises risk)' END AS d FROM orders) SELECT o_orderkey, CASE n % 4 WHEN 0 THEN 'no query parameters' WHEN 1 THEN '1 query parameter' ELSE (n % 4) || ' query parameters' END || d AS n_params,

@@ -1,11 +1,12 @@
 import csv
 import io
 import json
+import time
 
 import pytest
 
 from lynceus.cli import RunError, main, run
-from lynceus.sources import cache, feeds
+from lynceus.sources import cache, feeds, lookup
 from lynceus.sources.delimited import Cells, InputError, head_delimiter, read_delimited, unique_names
 from lynceus.sources.lookup import with_retries
 
@@ -130,3 +131,24 @@ def test_retries():
     waits, answers = [], iter([("again", None, 99.0), ("ok", {"status": "ok"}, 0.0)])
     assert with_retries(lambda: next(answers), waits.append) == {"status": "ok"} and waits == [15.0]
     assert with_retries(lambda: ("again", None, 1.0), waits.append) == {"status": "rate_limited"}
+
+
+def test_kept_bootstrap(spark, tmp_path):
+    """A copy is renewed when it is old, kept when it isn't, and serves, however old, when nothing better is to be had."""
+    asked = []
+
+    def fetch(url, accept, tld="test"):
+        asked.append(url)
+        return 200, json.dumps({"services": [[[tld], ["http://a.example/", "https://b.example/"]]]}), 0.0
+
+    def broken(url, accept):
+        raise OSError
+
+    path = f"file://{tmp_path}/bootstrap.json"
+    assert lookup.kept_bootstrap(spark, path, broken) is None
+    assert [tuple(r) for r in lookup.kept_bootstrap(spark, path, fetch).collect()] == [("test", "https://b.example/")]
+    assert lookup.kept_bootstrap(spark, path, fetch).count() == 1 and len(asked) == 1
+    later = time.time() + 40 * 86_400
+    assert lookup.kept_bootstrap(spark, path, broken, now=later).first().tld == "test"
+    assert lookup.kept_bootstrap(spark, path, lambda u, a: (200, "torn {", 0.0), now=later).first().tld == "test"
+    assert lookup.kept_bootstrap(spark, path, lambda u, a: fetch(u, a, "NEW"), now=later).first().tld == "new"
