@@ -95,7 +95,8 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
     base = table(base.groupBy(*KEY, "n_tokens").agg(F.count(F.lit(1)).alias("_copies")), "lm-documents")
     per = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(order)), F.lit(0))
     tokens, grams = base.agg(F.sum(F.col("n_tokens") * F.col("_copies")), F.sum(per * F.col("_copies"))).first()
-    known = table(deltas(table(counts(docs, order), "lm-counts"), tokens or 0, alpha, min_count, int(leave_one_out)), "lm-deltas")
+    counted = table(counts(docs, order).where(F.col("n") > int(leave_one_out)), "lm-counts")  # no other n-gram can be known
+    known = table(deltas(counted, tokens or 0, alpha, min_count, int(leave_one_out)), "lm-deltas")
     frequent = F.col("n") >= max(MIN_FREQUENT, math.ceil((grams or 0) / MAX_FREQUENT))
     few = F.broadcast(known.where(frequent).select("gram", "delta"))
     rows = ngrams(docs, order).select(*KEY, "gram")
