@@ -1,4 +1,4 @@
-"""Stupid-backoff scores of documents under n-gram counts of the whole corpus, in DataFrame operations only.
+"""Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
 A word's score falls back until its n-gram is known: V(g) = log10 c(g) / c(beginning of g) where g is in the count
 table, and log10 alpha + V(g without its first word) elsewhere. Summed over a document, V telescopes: each n-gram
@@ -9,24 +9,38 @@ log10 alpha for each n-gram that isn't in the table. So the whole job is
 2. deltas of the n-grams in it, by joins of the table with itself;
 3. the documents' exploded n-grams joined to the deltas by hash, and a sum per document.
 
-Every row is an n-gram, so rows grow with the corpus. The most frequent n-grams, of which there is a proven
-maximum, are joined by broadcast; the others occur too seldom to be hot.
+Every row is an n-gram, so rows grow with the corpus. Each step takes one part of the hashes after the other, and
+what a part has shuffled is deleted before the next: all rows are shuffled, but only a part of them is on disk at a
+time. The price is that texts are read once for each part. The most frequent n-grams, of which there is a proven
+maximum, are added up where the texts are read; the others occur too seldom to be hot.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lynceus.llm.common import ascii_lower, table
+from lynceus.llm.common import ascii_lower, discard, new_folder, table
 
 #: Words that an n-gram has at most, and the backoff factor.
 ORDER, ALPHA = 3, 0.4
-#: N-grams that are joined by broadcast at most: each is one of so many parts of all occurrences at least. A row has 16 bytes.
+#: N-grams whose deltas every task gets at most: each is one of so many parts of all occurrences at least. A row has 16 bytes.
 MAX_FREQUENT, MIN_FREQUENT = 200_000, 100
+#: Parts of the n-grams' hashes, one on disk at a time.
+PARTS = 6
+#: Text whose n-grams are made at a time, and words whose hashes a worker keeps.
+BLOCK, MAX_WORDS = 4 << 20, 1_000_000
 KEY = ["doc_id", "_h"]
+#: Deletes what a query has shuffled when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def words(text: Column) -> Column:
@@ -34,50 +48,171 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+", -1), "")
 
 
-def _hashed(docs: DataFrame, order: int) -> DataFrame:
-    """doc_id, _h (a hash of the text) and g1 to g<order>, the hashes of the n-grams that end at each word from the n-th on.
+class WordHashes(dict):
+    """Hashes of words, each worked out once as long as there is room."""
 
-    An n-gram's hash is that of its beginning's hash and its last word's.
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+    def of(self, text: bytes) -> np.ndarray:
+        """The hashes of the words of a text, as `words` has them, BLOCK bytes of it at a time."""
+        text, out, start = text.translate(LOWER), [], 0
+        while start < len(text):
+            end = start + BLOCK
+            while end < len(text) and not text[end : end + 1].isspace():
+                end += 1
+            found = text[start:end].split()
+            out.append(np.fromiter(map(self.__getitem__, found), "u8", len(found)))
+            start = end
+        return np.concatenate(out) if out else np.zeros(0, "u8")
+
+
+def _longer(begin: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their beginnings and last words."""
+    h = begin * np.uint64(0x9E3779B97F4A7C15) + last
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def _grams(hashes: list[np.ndarray], order: int, part: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each n, of the n-grams in a part: gram, begin, rest (None for words), and the index of its text."""
+    doc = np.repeat(np.arange(len(hashes)), list(map(len, hashes)))
+    first = np.concatenate(hashes) if hashes else np.zeros(0, "u8")
+    gram, last = first, None
+    for n in range(order):
+        if n:
+            within = doc[n:] == doc[:-n] if len(doc) > n else np.zeros(0, bool)
+            last, gram = gram, _longer(gram[:-1], first[n:]) if len(doc) > n else gram[:0]
+        else:
+            within = np.ones(len(doc), bool)
+        at = np.flatnonzero(within & ((gram >> np.uint64(40)) % np.uint64(parts) == part))
+        yield gram[at], None if last is None else last[at], None if last is None else last[at + 1], doc[at]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows and their words' hashes, about BLOCK bytes of text at a time."""
+    known = WordHashes()
+    for rows in batches:
+        held, size, start = [], 0, 0
+        for k, text in enumerate(rows.column("text")):
+            data = (text.as_py() or "").encode()
+            held.append(known.of(data))
+            size += len(data)
+            if size >= BLOCK or k == rows.num_rows - 1:
+                yield rows.slice(start, k + 1 - start), held
+                held, size, start = [], 0, k + 1
+
+
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(values).view("i8"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, _h (a hash of the text) and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text"))
+
+
+def counts(docs: DataFrame, order: int = ORDER, part: int = 0, parts: int = 1) -> DataFrame:
+    """The count table: gram, begin, rest and n of every different n-gram of 1 to order words in docs, or of one part of them.
+
+    begin is the n-gram without its last word and rest the one without its first; both are null for words.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), words(F.col("text")).alias("_w"))
-    out = out.select(*KEY, F.transform("_w", lambda w: F.xxhash64(w)).alias("g1"))
-    for n in range(2, order + 1):
-        longer = F.zip_with(F.col(f"g{n - 1}"), F.slice("g1", n, F.greatest(F.size("g1"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-        out = out.withColumn(f"g{n}", F.filter(longer, lambda g: g.isNotNull()))
-    return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes in _blocks(batches):
+            for gram, begin, rest, _ in _grams(hashes, order, part, parts):
+                gram, at, n = np.unique(gram, return_index=True, return_counts=True)
+                ends = [pa.nulls(len(gram), pa.int64())] * 2 if begin is None else [_long(begin[at]), _long(rest[at])]
+                yield pa.RecordBatch.from_arrays([_long(gram), *ends, pa.array(n.astype("i8"))], ["gram", "begin", "rest", "n"])
 
-def ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """One row per n-gram of 1 to order words: doc_id, _h, gram, begin (its beginning) and rest (without its first word); null for words."""
-    parts = [F.transform("g1", lambda g: F.struct(g.alias("gram"), F.lit(None).cast("long").alias("begin"), F.lit(None).cast("long").alias("rest")))]
-    for n in range(2, order + 1):
-        lower = F.col(f"g{n - 1}")
-        parts.append(F.zip_with(F.col(f"g{n}"), F.arrays_zip(lower.alias("a"), F.slice(lower, 2, F.greatest(F.size(lower), F.lit(1))).alias("b")), lambda g, x: F.struct(g.alias("gram"), x["a"].alias("begin"), x["b"].alias("rest"))))
-    return _hashed(docs, order).select(*KEY, F.inline(F.concat(*parts))).where("gram is not null")
+    rows = _keyed(docs).select("text").mapInArrow(run, "gram long, begin long, rest long, n long")
+    return rows.groupBy("gram").agg(F.min("begin").alias("begin"), F.min("rest").alias("rest"), F.sum("n").alias("n"))
 
 
-def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """The count table: gram, begin, rest and n of every different n-gram of 1 to order words in docs."""
-    return ngrams(docs, order).groupBy("gram").agg(F.min("begin").alias("begin"), F.min("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
+def occurrences(docs: DataFrame, order: int, part: int, parts: int, grams: np.ndarray, values: np.ndarray) -> DataFrame:
+    """One row per n-gram of a part in docs: doc_id, _h and gram; those among grams, which ascend, are left out, and each text has a row without gram for them, with the sum v of their values."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, hashes in _blocks(batches):
+            ids = rows.column("doc_id"), rows.column("_h")
+            sums = np.zeros(len(hashes))
+            for gram, _, _, doc in _grams(hashes, order, part, parts):
+                if len(grams):
+                    place = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+                    there = grams[place] == gram
+                    sums += np.bincount(doc[there], values[place[there]], len(hashes))
+                    gram, doc = gram[~there], doc[~there]
+                doc = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([*(c.take(doc) for c in ids), _long(gram), pa.nulls(len(gram), pa.float64())], ["doc_id", "_h", "gram", "v"])
+            yield pa.RecordBatch.from_arrays([*ids, rows.column("_h"), pa.array(sums)], ["doc_id", "_h", "gram", "v"])
 
-def deltas(counted: DataFrame, tokens: int, alpha: float = ALPHA, min_count: int = 1, left_out: int = 1) -> DataFrame:
+    return _keyed(docs).mapInArrow(run, "doc_id long, _h long, gram long, v double")
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries within leave nothing of what they shuffled."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _in_parts(spark: SparkSession, name: str, parts: int, make: Callable[[int], DataFrame]) -> DataFrame:
+    """The rows of make(0) to make(parts - 1), written one after the other."""
+    path = new_folder(spark, name)
+    with _cleaned(spark):
+        for k in range(parts):
+            rows = make(k)
+            rows.write.mode("append").parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _part(column: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(column, F.lit(0))), F.lit(parts))
+
+
+def deltas(counted: DataFrame, tokens: int, alpha: float = ALPHA, min_count: int = 1, left_out: int = 1, parts: int = 1) -> DataFrame:
     """(gram, n, delta) of the n-grams that are known: what each adds to a document's score beyond an unknown one.
 
     left_out is taken off every count, the number of words too. Whatever is known, its beginning and its rest
-    are: they occur as often at least.
+    are: they occur as often at least. counted, a written table, is deleted.
     """
+    spark, floor = counted.sparkSession, math.log10(max(1, tokens - left_out))
     known = counted.where((F.col("n") - left_out) >= F.when(F.col("begin").isNull(), 1).otherwise(min_count))
     known = known.withColumn("c", F.log10((F.col("n") - left_out).cast("double")))
-    begins = known.select(F.col("gram").alias("begin"), F.col("c").alias("_cb"))
-    v = F.col("c") - F.when(F.col("begin").isNull(), math.log10(max(1, tokens - left_out))).otherwise(F.col("_cb"))
-    direct = table(known.join(begins, "begin", "left").select("gram", "rest", "n", v.alias("v")), "lm-direct")
-    rests = direct.select(F.col("gram").alias("rest"), F.col("v").alias("_vr"))
-    lower = F.when(F.col("rest").isNull(), -math.log10(max(1, tokens - left_out))).otherwise(F.col("_vr"))
-    return direct.join(rests, "rest", "left").select("gram", "n", (F.col("v") - lower - math.log10(alpha)).alias("delta"))
+    word = known.where("begin IS NULL").select("gram", "rest", "n", (F.col("c") - floor).alias("v"))
+
+    def direct(k: int) -> DataFrame:
+        begins = known.where(_part("gram", parts) == k).select(F.col("gram").alias("begin"), F.col("c").alias("_cb"))
+        longer = known.where(F.col("begin").isNotNull() & (_part("begin", parts) == k)).join(begins.hint("shuffle_hash"), "begin")
+        longer = longer.select("gram", "rest", "n", (F.col("c") - F.col("_cb")).alias("v"))
+        return longer if k else longer.unionByName(word)
+
+    v = _in_parts(spark, "lm-direct", parts, direct)
+    discard(counted)
+    out = v.where("rest IS NULL").select("gram", "n", (F.col("v") + floor - math.log10(alpha)).alias("delta"))
+
+    def delta(k: int) -> DataFrame:
+        rests = v.where(_part("gram", parts) == k).select(F.col("gram").alias("rest"), F.col("v").alias("_vr"))
+        longer = v.where(F.col("rest").isNotNull() & (_part("rest", parts) == k)).join(rests.hint("shuffle_hash"), "rest")
+        longer = longer.select("gram", "n", (F.col("v") - F.col("_vr") - math.log10(alpha)).alias("delta"))
+        return longer if k else longer.unionByName(out)
 
+    made = _in_parts(spark, "lm-deltas", parts, delta)
+    discard(v)
+    return made
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = 1, leave_one_out: bool = True) -> DataFrame:
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = 1, leave_one_out: bool = True, parts: int = PARTS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens and log10_score, the sum of its words' log10 scores.
 
     A word's score after the words before it, up to order - 1 of them in its text, is c(n-gram) / c(its
@@ -86,25 +221,35 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
     over all of docs. With leave_one_out (the deleted estimate) the occurrence that is scored is taken off every count:
     otherwise no n-gram of a scored corpus is ever unknown, and a text that nothing else resembles scores like
     one that the corpus repeats. N-grams are told apart by 64-bit hashes; two share one with a
-    chance of about n^2 / 2^65.
+    chance of about n^2 / 2^65. More parts take less disk and read docs more often; the result is the same.
 
     docs needs doc_id and text; other columns are ignored. Null and empty texts have no words and score 0. Rows
     that repeat are counted and scored each; null ids stay null; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.size(words(F.col("text"))).alias("n_tokens"))
     base = table(base.groupBy(*KEY, "n_tokens").agg(F.count(F.lit(1)).alias("_copies")), "lm-documents")
     per = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(order)), F.lit(0))
     tokens, grams = base.agg(F.sum(F.col("n_tokens") * F.col("_copies")), F.sum(per * F.col("_copies"))).first()
-    counted = table(counts(docs, order).where(F.col("n") > int(leave_one_out)), "lm-counts")  # no other n-gram can be known
-    known = table(deltas(counted, tokens or 0, alpha, min_count, int(leave_one_out)), "lm-deltas")
+    counted = _in_parts(spark, "lm-counts", parts, lambda k: counts(docs, order, k, parts).where(F.col("n") > int(leave_one_out)))  # no other n-gram can be known
+    known = deltas(counted, tokens or 0, alpha, min_count, int(leave_one_out), parts)
     frequent = F.col("n") >= max(MIN_FREQUENT, math.ceil((grams or 0) / MAX_FREQUENT))
-    few = F.broadcast(known.where(frequent).select("gram", "delta"))
-    rows = ngrams(docs, order).select(*KEY, "gram")
-    often = rows.join(few, "gram").groupBy(*KEY).agg(F.sum("delta").alias("v"))
-    seldom = rows.join(few, "gram", "left_anti").join(known.where(~frequent).select("gram", "delta"), "gram").groupBy(*KEY).agg(F.sum("delta").alias("v"))
-    sums = often.unionByName(seldom).groupBy(*KEY).agg(F.sum("v").alias("v"))
+    few = known.where(frequent).select("gram", "delta").toArrow()
+    seldom = known.where(~frequent).select(F.col("gram").alias("_g"), "delta")
+    often, values = few.column("gram").to_numpy().view("u8"), few.column("delta").to_numpy()
+    by_gram = np.argsort(often)
+    often, values = often[by_gram], values[by_gram]
+
+    def sums(k: int) -> DataFrame:
+        mine = (often >> np.uint64(40)) % np.uint64(parts) == k
+        rows = occurrences(docs, order, k, parts, often[mine], values[mine])
+        part = seldom.where(F.pmod(F.shiftrightunsigned("_g", 40), F.lit(parts)) == k)
+        joined = rows.join(part.hint("shuffle_hash"), (F.col("gram") == F.col("_g")) & F.col("v").isNull(), "left")
+        return joined.groupBy(*KEY).agg(F.sum(F.coalesce("v", "delta")).alias("v"))
+
+    added = _in_parts(spark, "lm-sums", parts, sums).groupBy(*KEY).agg(F.sum("v").alias("v"))
     out = base.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_t"), "n_tokens", "_copies", per.alias("_n"))
-    out = out.join(sums, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h")), "left")
+    out = out.join(added, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h")), "left")
     floor = F.col("_n") * math.log10(alpha) - F.col("n_tokens") * math.log10(max(1, (tokens or 0) - int(leave_one_out)))
     score = F.coalesce(F.col("v"), F.lit(0.0)) / F.col("_copies") + floor
     out = out.select(F.col("_id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), score.alias("log10_score"), "_copies")
