@@ -18,6 +18,7 @@ maximum, are added up where the texts are read; the others occur too seldom to b
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -40,6 +41,7 @@ BLOCK, MAX_WORDS = 4 << 20, 1_000_000
 KEY = ["doc_id", "_h"]
 #: Deletes what a query has shuffled when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BLANK = re.compile(b"[\\x20\\x09-\\x0D]")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -61,9 +63,8 @@ class WordHashes(dict):
         """The hashes of the words of a text, as `words` has them, BLOCK bytes of it at a time."""
         text, out, start = text.translate(LOWER), [], 0
         while start < len(text):
-            end = start + BLOCK
-            while end < len(text) and not text[end : end + 1].isspace():
-                end += 1
+            blank = BLANK.search(text, start + BLOCK)
+            end = blank.start() if blank else len(text)
             found = text[start:end].split()
             out.append(np.fromiter(map(self.__getitem__, found), "u8", len(found)))
             start = end

@@ -169,3 +169,26 @@ def test_words_split_alike(spark):
     texts = ["".join(rng.choice("aA \t\n\x0b\x0c\r\x1c\x85 é") for _ in range(30)) for _ in range(200)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lm_score.words(F.col("t")).alias("w")).collect()
     assert {r.i: r.w for r in got} == {i: re.findall("[^\x20\x09-\x0d]+", low(t)) for i, t in enumerate(texts)}
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    """A text that is taken in blocks has the words of the whole one."""
+    rng = random.Random(4)
+    for _ in range(100):
+        text = "".join(rng.choice("aB é\t\n\x1c") for _ in range(rng.randrange(80))).encode()
+        monkeypatch.setattr(lm_score, "BLOCK", 7)
+        known = lm_score.WordHashes()
+        want = [known[w] for w in low(text.decode()).encode().split()]
+        assert known.of(text).tolist() == want
+        monkeypatch.setattr(lm_score, "MAX_WORDS", 2)
+        assert lm_score.WordHashes().of(text).tolist() == want
+
+
+def test_parts_agree(spark):
+    """The number of parts changes nothing, and what they shuffle is deleted again."""
+    setting = spark.conf.get(lm_score.CLEANUP)
+    one, five = (sorted(map(repr, ((r.doc_id, r.n_tokens, round(r.log10_score + 0.0, 6)) for r in lm_score.backoff_scores(frame(spark), parts=k).collect()))) for k in (1, 5))
+    assert one == five and spark.conf.get(lm_score.CLEANUP) == setting
+    table = [lm_score.counts(frame(spark), 3, k, 4) for k in range(4)]
+    whole = lm_score.counts(frame(spark)).count()
+    assert whole == sum(t.count() for t in table) == table[0].unionByName(table[1]).unionByName(table[2]).unionByName(table[3]).select("gram").distinct().count()
