@@ -21,10 +21,10 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +36,16 @@ ORDER, ALPHA = 3, 0.4
 MAX_FREQUENT, MIN_FREQUENT = 200_000, 100
 #: Parts of the n-grams' hashes, one on disk at a time.
 PARTS = 6
-#: Text whose n-grams are made at a time, and words whose hashes a worker keeps.
-BLOCK, MAX_WORDS = 4 << 20, 1_000_000
+#: Text whose n-grams are made at a time, and whose words are hashed at a time.
+BLOCK, PIECE = 4 << 20, 1 << 17
 KEY = ["doc_id", "_h"]
 #: Deletes what a query has shuffled when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLANK = re.compile(b"[\\x20\\x09-\\x0D]")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+IN_WORD = np.array([not BLANK.match(bytes([b])) for b in range(256)])
+#: What word hashes are made of: a random number for each byte, and an odd ratio.
+BYTES, RATIO = np.random.default_rng(2).integers(0, 1 << 64, 256, "u8"), 0x9E6D62D06F6A9A9B
 
 
 def words(text: Column) -> Column:
@@ -50,61 +53,69 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+", -1), "")
 
 
-class WordHashes(dict):
-    """Hashes of words, each worked out once as long as there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-    def of(self, text: bytes) -> np.ndarray:
-        """The hashes of the words of a text, as `words` has them, BLOCK bytes of it at a time."""
-        text, out, start = text.translate(LOWER), [], 0
-        while start < len(text):
-            blank = BLANK.search(text, start + BLOCK)
-            end = blank.start() if blank else len(text)
-            found = text[start:end].split()
-            out.append(np.fromiter(map(self.__getitem__, found), "u8", len(found)))
-            start = end
-        return np.concatenate(out) if out else np.zeros(0, "u8")
-
-
-def _longer(begin: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams from those of their beginnings and last words."""
-    h = begin * np.uint64(0x9E3779B97F4A7C15) + last
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, as `words` has them, and the places where they begin; PIECE bytes of it at a time.
+
+    A word's hash is a sum over its bytes, each a random number times a power of RATIO by its place, then mixed; sums of
+    words come as differences of running sums.
+    """
+    text, start, hashes, places = text.translate(LOWER), 0, [np.zeros(0, "u8")], [np.zeros(0, "i8")]
+    while start < len(text):
+        blank = BLANK.search(text, start + PIECE)
+        end = blank.start() if blank else len(text)
+        b = np.frombuffer(text, "u1", end - start, start)
+        inside = np.concatenate([[False], IN_WORD[b], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, after = edges[::2], edges[1::2]
+        up, down = _powers(len(b)) if len(b) > 2 * PIECE else [x[: len(b)] for x in _usual_powers()]
+        sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(BYTES[b] * down)])
+        hashes.append(_mixed((sums[after] - sums[first]) * up[first]))
+        places.append(first + start)
+        start = end
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of RATIO and of its inverse, modulo 2^64."""
+    return [np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(n - 1, r, "u8")])) for r in (RATIO, pow(RATIO, -1, 1 << 64))]
+
+
+@lru_cache(maxsize=1)
+def _usual_powers() -> list[np.ndarray]:
+    return _powers(2 * PIECE)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
     return h ^ (h >> np.uint64(33))
 
 
-def _grams(hashes: list[np.ndarray], order: int, part: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each n, of the n-grams in a part: gram, begin, rest (None for words), and the index of its text."""
-    doc = np.repeat(np.arange(len(hashes)), list(map(len, hashes)))
-    first = np.concatenate(hashes) if hashes else np.zeros(0, "u8")
+def _grams(first: np.ndarray, doc: np.ndarray, order: int, part: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each n, of the n-grams in a part: gram, begin, rest (None for words), and the index of its text; first has the words and doc their texts.
+
+    An n-gram's hash is made of its beginning's and its last word's.
+    """
     gram, last = first, None
     for n in range(order):
         if n:
-            within = doc[n:] == doc[:-n] if len(doc) > n else np.zeros(0, bool)
-            last, gram = gram, _longer(gram[:-1], first[n:]) if len(doc) > n else gram[:0]
-        else:
-            within = np.ones(len(doc), bool)
-        at = np.flatnonzero(within & ((gram >> np.uint64(40)) % np.uint64(parts) == part))
+            last, gram = gram, _mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[n:]) if len(doc) > n else gram[:0]
+        mine = (gram >> np.uint64(40)) % np.uint64(parts) == part
+        at = np.flatnonzero(mine & (doc[n:] == doc[: len(gram)]) if n else mine)
         yield gram[at], None if last is None else last[at], None if last is None else last[at + 1], doc[at]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Rows and their words' hashes, about BLOCK bytes of text at a time."""
-    known = WordHashes()
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, their words' hashes and the index of each word's row, about BLOCK bytes of text at a time."""
     for rows in batches:
         held, size, start = [], 0, 0
         for k, text in enumerate(rows.column("text")):
-            data = (text.as_py() or "").encode()
-            held.append(known.of(data))
-            size += len(data)
+            held.append((text.as_py() or "").encode())
+            size += len(held[-1])
             if size >= BLOCK or k == rows.num_rows - 1:
-                yield rows.slice(start, k + 1 - start), held
+                hashes, places = word_hashes(b" ".join(held))
+                begins = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
+                yield rows.slice(start, k + 1 - start), hashes, np.searchsorted(begins, places, "right") - 1
                 held, size, start = [], 0, k + 1
 
 
@@ -124,8 +135,8 @@ def counts(docs: DataFrame, order: int = ORDER, part: int = 0, parts: int = 1) -
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes in _blocks(batches):
-            for gram, begin, rest, _ in _grams(hashes, order, part, parts):
+        for _, hashes, docs_of in _blocks(batches):
+            for gram, begin, rest, _ in _grams(hashes, docs_of, order, part, parts):
                 gram, at, n = np.unique(gram, return_index=True, return_counts=True)
                 ends = [pa.nulls(len(gram), pa.int64())] * 2 if begin is None else [_long(begin[at]), _long(rest[at])]
                 yield pa.RecordBatch.from_arrays([_long(gram), *ends, pa.array(n.astype("i8"))], ["gram", "begin", "rest", "n"])
@@ -138,14 +149,14 @@ def occurrences(docs: DataFrame, order: int, part: int, parts: int, grams: np.nd
     """One row per n-gram of a part in docs: doc_id, _h and gram; those among grams, which ascend, are left out, and each text has a row without gram for them, with the sum v of their values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, hashes in _blocks(batches):
+        for rows, hashes, docs_of in _blocks(batches):
             ids = rows.column("doc_id"), rows.column("_h")
-            sums = np.zeros(len(hashes))
-            for gram, _, _, doc in _grams(hashes, order, part, parts):
+            sums = np.zeros(rows.num_rows)
+            for gram, _, _, doc in _grams(hashes, docs_of, order, part, parts):
                 if len(grams):
                     place = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
                     there = grams[place] == gram
-                    sums += np.bincount(doc[there], values[place[there]], len(hashes))
+                    sums += np.bincount(doc[there], values[place[there]], rows.num_rows)
                     gram, doc = gram[~there], doc[~there]
                 doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([*(c.take(doc) for c in ids), _long(gram), pa.nulls(len(gram), pa.float64())], ["doc_id", "_h", "gram", "v"])

@@ -172,16 +172,19 @@ def test_words_split_alike(spark):
 
 
 def test_hashes_of_long_texts(monkeypatch):
-    """A text that is taken in blocks has the words of the whole one."""
-    rng = random.Random(4)
-    for _ in range(100):
-        text = "".join(rng.choice("aB é\t\n\x1c") for _ in range(rng.randrange(80))).encode()
-        monkeypatch.setattr(lm_score, "BLOCK", 7)
-        known = lm_score.WordHashes()
-        want = [known[w] for w in low(text.decode()).encode().split()]
-        assert known.of(text).tolist() == want
-        monkeypatch.setattr(lm_score, "MAX_WORDS", 2)
-        assert lm_score.WordHashes().of(text).tolist() == want
+    """Equal words, and no others, have equal hashes, wherever they stand and in however many pieces a text is taken."""
+    rng, seen = random.Random(4), {}
+    for piece in (7, 64, lm_score.PIECE):
+        monkeypatch.setattr(lm_score, "PIECE", piece)
+        lm_score._usual_powers.cache_clear()
+        for _ in range(200):
+            text = "".join(rng.choice("aBb é\t\n\x1c") for _ in range(rng.randrange(80))).encode() + rng.choice([b"", b"x" * 300])
+            hashes, places = lm_score.word_hashes(text)
+            want = low(text.decode()).encode().split()
+            assert len(hashes) == len(want) and all(seen.setdefault(w, h) == h for w, h in zip(want, hashes.tolist()))
+            assert [text[p : p + len(w)].lower() for p, w in zip(places, want)] == want
+    lm_score._usual_powers.cache_clear()
+    assert len(set(seen.values())) == len(seen) > 1000
 
 
 def test_parts_agree(spark):
