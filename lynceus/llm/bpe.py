@@ -21,8 +21,12 @@ from pyspark.sql import DataFrame
 
 from lynceus.llm.words import word_encoder
 
-#: Bytes that the rolling hash sees, bytes per chunk and blanks per chunk on average, chunks that a worker keeps, text in one output batch.
-WINDOW, SIZE, SPACING, MAX_CHUNKS, BATCH_BYTES = 16, 256, 32, 60_000, 4 << 20
+#: Bytes that the rolling hash sees, bytes per chunk and blanks per chunk on average, text in one output batch.
+WINDOW, SIZE, SPACING, BATCH_BYTES = 16, 256, 32, 4 << 20
+#: Memory for the chunks that a worker keeps with their ids, and what one takes besides its bytes and ids.
+CHUNKS_BYTES, CHUNK_BYTES = 32 << 20, 160
+#: Memory for each table of parts, less than where no chunks are kept beside them.
+PARTS_BYTES = 32 << 20
 GEAR = np.random.default_rng(1).integers(1, 1 << 32, 256, "uint32")
 POWERS = np.array([pow(0x9E3779B1, k, 1 << 32) for k in range(WINDOW)], "uint32")
 #: Bytes hashed at a time.
@@ -65,9 +69,10 @@ class ChunkEncoder:
     """encode(text) equals the library's encode(text, add_special_tokens=False).ids, decode(ids) its decode(ids, skip_special_tokens=False)."""
 
     def __init__(self, path: str):
-        self.words = word_encoder(path)
+        self.words = word_encoder(path, PARTS_BYTES)
         self.library, self.dtype = self.words.library, self.words.dtype
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes]] = {}
+        self.chunks: dict[bytes, bytes] = {}
+        self.chunks_bytes = 0
         self.reused = self.encoded = self.repaired = 0
         self.names = None
         if self.library.decoder is None:  # then tokens are joined by blanks
@@ -76,18 +81,20 @@ class ChunkEncoder:
 
     def _chunk(self, data: bytes, whole: bool = False) -> tuple[bytes, bytes, bytes]:
         """What stands before a chunk's first blank, the ids up to its last one, and what stands from there on; all of it is ids if whole."""
-        found = self.chunks.get(data)
-        if found is None:
-            first, last = (0, len(data)) if whole else (data.find(b" "), data.rfind(b" "))
-            found = (data[:first], self.words.encode(data[first:last].decode()), data[last:])
+        first, last = (0, len(data)) if whole else (data.find(b" "), data.rfind(b" "))
+        ids = self.chunks.get(data)
+        if ids is None:
+            ids = self.words.encode(data[first:last].decode())
             self.encoded += 1
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
             if len(data) < 1 << 12:
-                self.chunks[data] = found
+                size = CHUNK_BYTES + len(data) + len(ids)
+                if self.chunks_bytes + size > CHUNKS_BYTES:
+                    self.chunks, self.chunks_bytes = {}, 0
+                self.chunks[data] = ids
+                self.chunks_bytes += size
         else:
             self.reused += 1
-        return found
+        return data[:first], ids, data[last:]
 
     def _agree(self, a: bytes, b: bytes) -> bool:
         """Whether the last two words of a and the first two of b are encoded alike together and apart."""
@@ -166,5 +173,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     held, size = ([], [], []), 0
             if held[0]:
                 yield batch(*held)
+            rows = text = held = None  # before the next rows come
+            pa.default_memory_pool().release_unused()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -9,8 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Parts that one worker keeps with their ids.
-MAX_PARTS = 900_000
+#: Memory for each of the two tables of parts that one worker keeps with their ids, and what a part takes besides its characters and ids.
+PARTS_BYTES, PART_BYTES = 100 << 20, 200
 #: Texts of ASCII and Latin-1 letters only have one normal form; the tokenizer cuts them, lower-cased, into these
 #: parts (fixed values).
 PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
@@ -37,10 +37,10 @@ class WordEncoder:
     Such a tokenizer never joins what a blank parts, neither when it normalises nor when it merges, so a
     text's ids are those of its words in order. Plain texts are cut on into the tokenizer's own parts, which
     repeat more than words do; a word that isn't plain is left whole. The library encodes each part once, as
-    long as a worker's bounded table holds it.
+    long as a worker's tables hold it: a full one is kept until the next is full, and parts that are met again move on.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = PARTS_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer
 
@@ -52,6 +52,8 @@ class WordEncoder:
         self.by_word = drops_blanks(spec)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.parts: dict[str, bytes] = {}
+        self.most, self.parts_bytes = most, 0
+        self.older: dict[str, bytes] = {}  # the last full table
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,12 +80,15 @@ class WordEncoder:
             return b"".join(out)
         except TypeError:  # some are new
             places = [i for i, ids in enumerate(out) if ids is None]
-        new = list({parts[i] for i in places})
-        known = dict(zip(new, self._library(new), strict=True))
-        if len(self.parts) + len(new) > MAX_PARTS:
-            self.parts = {}
-        if len(new) < MAX_PARTS // 2:  # a text of very many different words isn't remembered
+        known = {p: self.older.get(p) for p in {parts[i] for i in places}}
+        new = [p for p, ids in known.items() if ids is None]
+        known.update(zip(new, self._library(new), strict=True))
+        size = sum(PART_BYTES + 4 * len(p) + len(ids) for p, ids in known.items())  # a character has 4 bytes at most
+        if self.parts_bytes + size > self.most:
+            self.older, self.parts, self.parts_bytes = self.parts, {}, 0
+        if size < self.most // 2:  # a text of very many different words isn't remembered
             self.parts.update(known)
+            self.parts_bytes += size
         for i in places:
             out[i] = known[parts[i]]
         return b"".join(out)
@@ -93,6 +98,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process and tokenizer."""
-    return WordEncoder(path)
+def word_encoder(path: str, most: int = PARTS_BYTES) -> WordEncoder:
+    """One encoder for each worker process, tokenizer and size of its tables."""
+    return WordEncoder(path, most)

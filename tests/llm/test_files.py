@@ -169,6 +169,23 @@ def test_chunks_are_shared():
     assert encoder.encoded - before <= 3 < encoder.reused  # only the chunks beside the difference are new
 
 
+def test_tables_have_a_size(monkeypatch):
+    """What a worker keeps is bounded by its bytes, and ids don't depend on what it keeps."""
+    import sys
+
+    encoder, lib, rng = bpe.ChunkEncoder(tokenizer_path()).words, Tokenizer.from_file(tokenizer_path()), random.Random(6)
+    for _ in range(50):
+        encoder.encode(" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(10_000)))
+    tables = [t for t in vars(encoder).values() if isinstance(t, dict)]
+    assert sum(sys.getsizeof(t) + sum(map(sys.getsizeof, [*t, *t.values()])) for t in tables) < 40 << 20
+    monkeypatch.setattr(bpe, "PARTS_BYTES", 6000, raising=False)
+    monkeypatch.setattr(bpe, "CHUNKS_BYTES", 6000, raising=False)
+    chunks, texts = bpe.ChunkEncoder(tokenizer_path()), [t or "" for _, t in docs()]
+    for t in texts + texts:
+        assert chunks.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert chunks.chunks_bytes <= 6000 and chunks.words.parts_bytes <= 6000 and chunks.reused
+
+
 def test_encode_and_decode(spark, library):
     got = bpe.encode_and_decode(frame(spark), tokenizer_path()).collect()
     want = [(i, e.ids, library.decode(e.ids, skip_special_tokens=False)) for (i, _), e in zip(docs(), library.encode_batch([t or "" for _, t in docs()], add_special_tokens=False))]
