@@ -5,7 +5,7 @@ table, and log10 alpha + V(g without its first word) elsewhere. Summed over a do
 of the document, of any order, adds delta(g) = V(g) - V(g without its first word), which depends on g alone and is
 log10 alpha for each n-gram that isn't in the table. So the whole job is
 
-1. a count table: exploded n-grams, combined within tasks and then by hash;
+1. a count table: exploded n-grams, combined within tasks and then, shuffled by hash, within partitions;
 2. deltas of the n-grams in it, by joins of the table with itself;
 3. the documents' exploded n-grams joined to the deltas by hash, and a sum per document.
 
@@ -38,6 +38,8 @@ MAX_FREQUENT, MIN_FREQUENT = 200_000, 100
 PARTS = 6
 #: Text whose n-grams are made at a time, and whose words are hashed at a time.
 BLOCK, PIECE = 4 << 20, 1 << 17
+#: Rows of n-grams that a task holds before it combines them.
+HELD = 1 << 21
 KEY = ["doc_id", "_h"]
 #: Deletes what a query has shuffled when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -128,21 +130,56 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text"))
 
 
+def _sums(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row per n-gram of held, with the sum of n."""
+    rows = pa.concat_batches(held)
+    gram = rows.column("gram").to_numpy()
+    by = np.argsort(gram)
+    ordered = gram[by]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(by)])
+    n = np.add.reduceat(rows.column("n").to_numpy()[by], starts) if len(by) else np.zeros(0, "i8")
+    return rows.select(["gram", "begin", "rest"]).take(pa.array(by[starts])).append_column("n", pa.array(n))
+
+
+def _combined(batches: Iterator[pa.RecordBatch], flush: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with equal n-grams as one; with flush, only among HELD rows."""
+    held, size, most = [], 0, HELD
+    for rows in batches:
+        held.append(rows)
+        size += rows.num_rows
+        if size >= most:
+            held = [_sums(held)]
+            size = held[0].num_rows
+            most = HELD + 2 * size
+            if flush:
+                yield held[0]
+                held, size, most = [], 0, HELD
+    if held:
+        yield _sums(held)
+
+
 def counts(docs: DataFrame, order: int = ORDER, part: int = 0, parts: int = 1) -> DataFrame:
     """The count table: gram, begin, rest and n of every different n-gram of 1 to order words in docs, or of one part of them.
 
     begin is the n-gram without its last word and rest the one without its first; both are null for words.
+    Rows are combined in Arrow batches, before the shuffle and after it: Spark's aggregate costs several times that.
     """
+    schema = pa.schema([(c, pa.int64()) for c in ("gram", "begin", "rest", "n")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, hashes, docs_of in _blocks(batches):
             for gram, begin, rest, _ in _grams(hashes, docs_of, order, part, parts):
-                gram, at, n = np.unique(gram, return_index=True, return_counts=True)
-                ends = [pa.nulls(len(gram), pa.int64())] * 2 if begin is None else [_long(begin[at]), _long(rest[at])]
-                yield pa.RecordBatch.from_arrays([_long(gram), *ends, pa.array(n.astype("i8"))], ["gram", "begin", "rest", "n"])
+                ends = [pa.nulls(len(gram), pa.int64())] * 2 if begin is None else [_long(begin), _long(rest)]
+                yield pa.RecordBatch.from_arrays([_long(gram), *ends, pa.array(np.ones(len(gram), "i8"))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _combined(grams(batches), True)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _combined(batches, False)
 
-    rows = _keyed(docs).select("text").mapInArrow(run, "gram long, begin long, rest long, n long")
-    return rows.groupBy("gram").agg(F.min("begin").alias("begin"), F.min("rest").alias("rest"), F.sum("n").alias("n"))
+    kind = "gram long, begin long, rest long, n long"
+    return _keyed(docs).select("text").mapInArrow(run, kind).repartition("gram").mapInArrow(total, kind)
 
 
 def occurrences(docs: DataFrame, order: int, part: int, parts: int, grams: np.ndarray, values: np.ndarray) -> DataFrame:
@@ -244,7 +281,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
     per = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(order)), F.lit(0))
     tokens, grams = base.agg(F.sum(F.col("n_tokens") * F.col("_copies")), F.sum(per * F.col("_copies"))).first()
     counted = _in_parts(spark, "lm-counts", parts, lambda k: counts(docs, order, k, parts).where(F.col("n") > int(leave_one_out)))  # no other n-gram can be known
-    known = deltas(counted, tokens or 0, alpha, min_count, int(leave_one_out), parts)
+    known = deltas(counted, tokens or 0, alpha, min_count, int(leave_one_out), -(-parts // 3))  # far fewer rows than n-grams occur
     frequent = F.col("n") >= max(MIN_FREQUENT, math.ceil((grams or 0) / MAX_FREQUENT))
     few = known.where(frequent).select("gram", "delta").toArrow()
     seldom = known.where(~frequent).select(F.col("gram").alias("_g"), "delta")
@@ -257,6 +294,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
         rows = occurrences(docs, order, k, parts, often[mine], values[mine])
         part = seldom.where(F.pmod(F.shiftrightunsigned("_g", 40), F.lit(parts)) == k)
         joined = rows.join(part.hint("shuffle_hash"), (F.col("gram") == F.col("_g")) & F.col("v").isNull(), "left")
+        joined = joined.where(F.coalesce("v", "delta").isNotNull())  # what isn't known adds nothing
         return joined.groupBy(*KEY).agg(F.sum(F.coalesce("v", "delta")).alias("v"))
 
     added = _in_parts(spark, "lm-sums", parts, sums).groupBy(*KEY).agg(F.sum("v").alias("v"))

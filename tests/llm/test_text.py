@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,17 @@ def test_hashes_of_long_texts(monkeypatch):
     assert len(set(seen.values())) == len(seen) > 1000
 
 
+def test_counts_are_combined(spark, monkeypatch):
+    """One row for each n-gram, however few rows a task holds, and no aggregate of Spark's, which cost most of the time."""
+    texts = [low(t).encode().split() for _, t in docs()]
+    want = sorted(Counter(tuple(w[i : i + k]) for w in texts for k in (1, 2, 3) for i in range(len(w) - k + 1)).values())
+    for held in (5, lm_score.HELD):
+        monkeypatch.setattr(lm_score, "HELD", held)
+        got = lm_score.counts(frame(spark))
+        assert sorted(r.n for r in got.collect()) == want
+        assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parts_agree(spark):
     """The number of parts changes nothing, and what they shuffle is deleted again."""
     setting = spark.conf.get(lm_score.CLEANUP)
