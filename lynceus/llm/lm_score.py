@@ -1,18 +1,27 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
 A word's score falls back until its n-gram is known: V(g) = log10 c(g) / c(beginning of g) where g is in the count
-table, and log10 alpha + V(g without its first word) elsewhere. Summed over a document, V telescopes: each n-gram
-of the document, of any order, adds delta(g) = V(g) - V(g without its first word), which depends on g alone and is
-log10 alpha for each n-gram that isn't in the table. So the whole job is
+table, and log10 alpha + V(g without its first word) elsewhere.
+
+Up to order 3, every word m of a document is a row (x, m, y) with its neighbours, dealt by m. All counts that the row
+needs meet there: m, xm, my and xmy occur as often as rows with them do. The row adds the score of y unless that falls
+back to the word alone, and, where xm isn't known, the score of m alone. So rows are shuffled once, counted, joined to
+their counts within a partition, and summed per document.
+
+A word that is frequent would be a hot key: its rows are dealt by xm, which tells whether xmy is known, and a second time
+by my, which has what y falls back to; c(m) is broadcast. Where xm or my is frequent too, its count is broadcast and the
+row goes by the other; where both are, by xmy. There is a proven maximum of frequent n-grams.
+
+Beyond order 3, V telescopes: each n-gram of the document, of any order, adds delta(g) = V(g) - V(g without its first
+word), which depends on g alone and is log10 alpha for each n-gram that isn't in the table. So the whole job is
 
 1. a count table: exploded n-grams, combined within tasks and then, shuffled by hash, within partitions;
 2. deltas of the n-grams in it, by joins of the table with itself;
 3. the documents' exploded n-grams joined to the deltas by hash, and a sum per document.
 
-Every row is an n-gram, so rows grow with the corpus. Each step takes one part of the hashes after the other, and
+Rows grow with the corpus either way. Each step takes one part of the hashes after the other, and
 what a part has shuffled is deleted before the next: all rows are shuffled, but only a part of them is on disk at a
-time. The price is that texts are read once for each part. The most frequent n-grams, of which there is a proven
-maximum, are added up where the texts are read; the others occur too seldom to be hot.
+time. The price is that texts are read once for each part.
 """
 
 from __future__ import annotations
@@ -22,6 +31,7 @@ import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +44,10 @@ from lynceus.llm.common import ascii_lower, discard, new_folder, table
 ORDER, ALPHA = 3, 0.4
 #: N-grams whose deltas every task gets at most: each is one of so many parts of all occurrences at least. A row has 16 bytes.
 MAX_FREQUENT, MIN_FREQUENT = 200_000, 100
+#: Up to order 3, an n-gram is frequent from this share of all words on, or from so many times on: no key has more rows in a task.
+SHARE, MOST = 4_000, 1 << 21
+#: Rows of words that a task has, about.
+TASK_ROWS = 1 << 20
 #: Parts of the n-grams' hashes, one on disk at a time.
 PARTS = 6
 #: Text whose n-grams are made at a time, and whose words are hashed at a time.
@@ -93,6 +107,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _longer(begin: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their beginnings and of their last words."""
+    return _mixed(begin * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
 def _grams(first: np.ndarray, doc: np.ndarray, order: int, part: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For each n, of the n-grams in a part: gram, begin, rest (None for words), and the index of its text; first has the words and doc their texts.
 
@@ -101,7 +120,7 @@ def _grams(first: np.ndarray, doc: np.ndarray, order: int, part: int, parts: int
     gram, last = first, None
     for n in range(order):
         if n:
-            last, gram = gram, _mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[n:]) if len(doc) > n else gram[:0]
+            last, gram = gram, _longer(gram[:-1], first[n:]) if len(doc) > n else gram[:0]
         mine = (gram >> np.uint64(40)) % np.uint64(parts) == part
         at = np.flatnonzero(mine & (doc[n:] == doc[: len(gram)]) if n else mine)
         yield gram[at], None if last is None else last[at], None if last is None else last[at + 1], doc[at]
@@ -116,8 +135,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             size += len(held[-1])
             if size >= BLOCK or k == rows.num_rows - 1:
                 hashes, places = word_hashes(b" ".join(held))
-                begins = np.cumsum([0, *(len(x) + 1 for x in held[:-1])])
-                yield rows.slice(start, k + 1 - start), hashes, np.searchsorted(begins, places, "right") - 1
+                firsts = np.searchsorted(places, np.cumsum([0, *(len(x) + 1 for x in held[:-1])]))
+                yield rows.slice(start, k + 1 - start), hashes, np.repeat(np.arange(len(held)), np.diff(firsts, append=len(places)))
                 held, size, start = [], 0, k + 1
 
 
@@ -261,20 +280,295 @@ def deltas(counted: DataFrame, tokens: int, alpha: float = ALPHA, min_count: int
     return made
 
 
-def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = 1, leave_one_out: bool = True, parts: int = PARTS) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens and log10_score, the sum of its words' log10 scores.
+class Frequent(NamedTuple):
+    """Ascending hashes of n-grams of one length, how often each occurs, and whether any begins with some 16 bits."""
 
-    A word's score after the words before it, up to order - 1 of them in its text, is c(n-gram) / c(its
-    beginning) if the n-gram's count is min_count at least, and else alpha times the score after one word less;
-    for the word alone c(word) / number of words, and alpha / number of words if it has no count. Counts are
-    over all of docs. With leave_one_out (the deleted estimate) the occurrence that is scored is taken off every count:
-    otherwise no n-gram of a scored corpus is ever unknown, and a text that nothing else resembles scores like
-    one that the corpus repeats. N-grams are told apart by 64-bit hashes; two share one with a
-    chance of about n^2 / 2^65. More parts take less disk and read docs more often; the result is the same.
+    grams: np.ndarray
+    n: np.ndarray
+    begun: np.ndarray
 
-    docs needs doc_id and text; other columns are ignored. Null and empty texts have no words and score 0. Rows
-    that repeat are counted and scored each; null ids stay null; an empty table gives an empty result.
+    @staticmethod
+    def of(grams: np.ndarray, n: np.ndarray) -> Frequent:
+        by, begun = np.argsort(grams), np.zeros(1 << 16, bool)
+        begun[grams >> np.uint64(48)] = True
+        return Frequent(grams[by], n[by], begun)
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where each of grams stands here, or -1."""
+        out, maybe = np.full(len(grams), -1), np.flatnonzero(self.begun[grams >> np.uint64(48)])
+        if len(maybe):
+            place = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
+            out[maybe] = np.where(self.grams[place] == grams[maybe], place, -1)
+        return out
+
+
+class Rule(NamedTuple):
+    """How counts make scores; floor is log10 of the number of words."""
+
+    order: int
+    alpha: float
+    least: int
+    left_out: int
+    floor: float
+
+    def values(self, x: np.ndarray, y: np.ndarray, xm: np.ndarray, my: np.ndarray, m: np.ndarray, xmy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For words m, whether xmy is known, what y adds unless it falls back to the word alone, and what m adds if it does.
+
+        x and y are whether there are such neighbours, the others are counts.
+        """
+
+        def log(n: np.ndarray) -> np.ndarray:
+            return np.log10(np.maximum(n - self.left_out, 1))
+
+        down = math.log10(self.alpha)
+        known = x & y & (xmy - self.left_out >= self.least) & (self.order > 2)
+        fallen = np.where(my - self.left_out >= self.least, log(my) - log(m), down) + down * (x & (self.order > 2))
+        after = np.where(y, np.where(known, log(xmy) - log(xm), fallen), 0.0)
+        alone = np.where(m - self.left_out >= 1, log(m), down) - self.floor
+        return known, after, np.where(x & (xm - self.left_out >= self.least), 0.0, alone)
+
+
+#: What a row has beside its key: all of a word's n-grams; those with x, those with y; the same where xm or my is frequent; both are; or a sum of a document.
+WHOLE, BEFORE, AFTER, BEFORE_KNOWN, AFTER_KNOWN, BOTH_KNOWN, SUMMED = range(7)
+ROW = "_d long, a long, b long, c long"
+
+
+def _neighbours(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words before and after each, 0 where there is none in its text."""
+    before, after, same = np.zeros_like(hashes), np.zeros_like(hashes), doc[1:] == doc[:-1]
+    before[1:] = np.where(same, hashes[:-1], 0)
+    after[:-1] = np.where(same, hashes[1:], 0)
+    return before, after
+
+
+def _much(grams: np.ndarray, least: float) -> Frequent:
+    grams, n = np.unique(grams, return_counts=True)
+    return Frequent.of(grams[n >= least], n[n >= least])
+
+
+def _surveyed(docs: DataFrame, share: int) -> DataFrame:
+    """doc_id, _h and n (words) of every row of docs, and order, gram and n of n-grams that are frequent among some words in a task.
+
+    An n-gram is left out among words of which it is less than one in 2 share; so all that is left out is, for any
+    n-gram, less than that of all words.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("_h", pa.int64()), ("order", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+
+    def frequent(words: np.ndarray, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        least, at, gram = len(words) / (2 * share), np.arange(len(words)), words
+        for n in (1, 2, 3):
+            much = _much(gram, least)
+            size = len(much.grams)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(size, pa.int64())] * 2, pa.array(np.full(size, n, "i4")), _long(much.grams), pa.array(much.n)], schema=schema)
+            there = much.places(gram) >= 0  # a longer one occurs less often than what it begins with
+            at, gram = at[there], gram[there]
+            more = (at + n < len(words)) & ~begins[np.minimum(at + n, len(words) - 1)]
+            at, gram = at[more], gram[more]
+            gram = _longer(gram, words[at + n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for rows, hashes, doc in _blocks(batches):
+            n = pa.array(np.bincount(doc, minlength=rows.num_rows))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("_h"), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int64()), n], schema=schema)
+            held.append((hashes, np.diff(doc, prepend=-1) != 0))
+            size += len(hashes)
+            if size >= HELD:
+                yield from frequent(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield from frequent(*map(np.concatenate, zip(*held, strict=True)))
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, _h long, order int, gram long, n long")
+
+
+def _counted(docs: DataFrame, candidates: list[np.ndarray], least: int) -> list[Frequent]:
+    """Those among candidates, n-grams of 1, 2 and 3 words, that occur least times in docs."""
+    wanted = [Frequent.of(g, np.zeros(len(g), "i8")) for g in candidates]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(x.grams), "i8") for x in wanted]
+        for _, hashes, doc in _blocks(batches):
+            at, gram = np.arange(len(hashes)), hashes
+            for n, (want, total) in enumerate(zip(wanted, sums, strict=True), 1):
+                place = want.places(gram)
+                there = place >= 0
+                total += np.bincount(place[there], minlength=len(total))
+                at, gram = at[there], gram[there]
+                more = at + n < len(hashes)
+                more[more] = doc[at[more] + n] == doc[at[more]]
+                at, gram = at[more], gram[more]
+                gram = _longer(gram, hashes[at + n])
+        for n, (want, total) in enumerate(zip(wanted, sums, strict=True), 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), n, "i4")), _long(want.grams), pa.array(total)], ["order", "gram", "n"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "order int, gram long, n long").where("n > 0")
+    return _by_order(found.groupBy("order", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+
+
+def _by_order(found: DataFrame) -> list[Frequent]:
+    rows = found.select("order", "gram", "n").toArrow()
+    order, grams, n = (rows.column(c).to_numpy() for c in ("order", "gram", "n"))
+    return [Frequent.of(grams[order == k].view("u8"), n[order == k].astype("i8")) for k in (1, 2, 3)]
+
+
+def _dealt(docs: DataFrame, rule: Rule, frequent: list[Frequent], part: int, parts: int) -> DataFrame:
+    """A row or two for each word of docs, of one part of the keys: a is the key, _d a document's key, and the kind of row in three bits."""
+    one, two, three = frequent
+
+    def mine(keys: np.ndarray) -> np.ndarray:
+        return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32) == part
+
+    def block(ids: np.ndarray, w: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The kind of rows, _d, a, b and c."""
+        x, y = _neighbours(w, doc) if rule.order > 1 else (np.zeros_like(w), np.zeros_like(w))
+        im = one.places(w)
+        at = np.flatnonzero((im < 0) & mine(w))
+        yield WHOLE, ids[doc[at]], w[at], x[at], y[at]
+        at = np.flatnonzero(im >= 0)
+        x, m, y, im, doc, d = x[at], w[at], y[at], im[at], doc[at], ids[doc[at]]
+        has_x, has_y, xm, my = x != 0, y != 0, _longer(x, m), _longer(m, y)
+        ix, iy = np.where(has_x, two.places(xm), -1), np.where(has_y, two.places(my), -1)
+        xmy, it = _longer(xm, y), np.full(len(at), -1)
+        both = np.flatnonzero((ix >= 0) & (iy >= 0))
+        it[both] = three.places(xmy[both])
+
+        def rows(kind: int, where: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            at = np.flatnonzero(where)
+            at = at[mine(a[at])]
+            return kind, d[at], a[at], b[at].astype("u8"), c[at].astype("u8")
+
+        high = im << 32
+        yield rows(BEFORE, has_x & (ix < 0) & (iy < 0), xm, im, y)
+        yield rows(AFTER, has_y & (ix < 0) & (iy < 0), ~my, x, im)  # another key than the same two words have as x and m
+        yield rows(BEFORE_KNOWN, (ix >= 0) & has_y & (iy < 0), ~my, x, ix | high)
+        yield rows(AFTER_KNOWN, (iy >= 0) & has_x & (ix < 0), xm, iy | high, y)
+        yield rows(BOTH_KNOWN, (ix >= 0) & (iy >= 0) & (it < 0), xmy, ix | high, iy)
+        here = np.flatnonzero(((it >= 0) | ((ix >= 0) & ~has_y) | ~has_x) & mine(m))
+
+        def n(of: Frequent, places: np.ndarray) -> np.ndarray:
+            return np.where(places[here] >= 0, of.n[places[here]], 0) if len(of.n) else np.zeros(len(here), "i8")
+
+        _, after, alone = rule.values(has_x[here], has_y[here] & (iy[here] >= 0), n(two, ix), n(two, iy), n(one, im), n(three, it))
+        sums = np.bincount(doc[here], after + alone, len(ids))
+        at = np.flatnonzero(sums)
+        yield SUMMED, ids[at], ids[at], sums[at].view("u8"), np.zeros(len(at), "u8")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, hashes, doc in _blocks(batches):
+            for kind, d, a, b, c in block(rows.column("_d").to_numpy().view("u8"), hashes, doc):
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([*map(_long, (d << np.uint64(3) | np.uint64(kind), a, b, c))], ["_d", "a", "b", "c"])
+
+    return docs.mapInArrow(run, ROW)
+
+
+def _times(*keys: np.ndarray) -> np.ndarray:
+    """How often each row's keys occur among all rows."""
+    key = keys[0]
+    for k in keys[1:]:
+        key = _longer(key, k)
+    by = np.argsort(key)
+    ordered = key[by]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(by)])
+    n = np.diff(starts, append=len(by))
+    out = np.empty(len(by), "i8")
+    out[by] = np.repeat(n, n)
+    return out
+
+
+def _added(rows: list[np.ndarray], rule: Rule, frequent: list[Frequent]) -> tuple[np.ndarray, np.ndarray]:
+    """_d of documents and what all rows of a partition add to each."""
+    one, two, _ = frequent
+    d, a, b, c = rows
+    kind, d, v = d & np.uint64(7), d >> np.uint64(3), np.zeros(len(d))
+    v[kind == SUMMED] = b[kind == SUMMED].view("f8")
+    at = np.flatnonzero(kind != SUMMED)
+    kind, a, b, c = kind[at], a[at], b[at], c[at]
+    low, n = np.uint64((1 << 32) - 1), _times(a)
+
+    def among(kinds: tuple[int, ...], *keys: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Times of the keys of rows of some kinds; once where the caller knows it."""
+        out, at = np.ones(len(n), "i8"), np.flatnonzero(np.isin(kind, kinds) & where)
+        out[at] = _times(*(k[at] for k in keys))
+        return out
+
+    with_b = among((WHOLE, AFTER, BEFORE_KNOWN), a, b, where=n > 1)
+    with_c = among((WHOLE, BEFORE, AFTER_KNOWN), a, c, where=n > 1)
+    with_both = among((WHOLE,), a, b, c, where=(with_b > 1) & (with_c > 1))
+    # x and y: whether there are such neighbours; counts of xm, my, m and xmy
+    x, y, xm, my, m, xmy = b != 0, c != 0, with_b, with_c, n, with_both
+
+    def put(k: int, has_x: bool | None, has_y: bool | None, counts: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> None:
+        at = np.flatnonzero(kind == k)
+        if len(at):
+            x[at], y[at] = x[at] if has_x is None else has_x, y[at] if has_y is None else has_y
+            xm[at], my[at], m[at], xmy[at] = counts(at)
+
+    # each reads n, with_b and with_c of its own rows before they are replaced
+    put(BEFORE, True, None, lambda i: (n[i], 0, one.n[b[i]], with_c[i]))
+    put(AFTER, None, True, lambda i: (0, n[i], one.n[c[i]], with_b[i]))
+    put(BEFORE_KNOWN, True, True, lambda i: (two.n[c[i] & low], n[i], one.n[c[i] >> np.uint64(32)], with_b[i]))
+    put(AFTER_KNOWN, True, True, lambda i: (n[i], two.n[b[i] & low], one.n[b[i] >> np.uint64(32)], with_c[i]))
+    put(BOTH_KNOWN, True, True, lambda i: (two.n[b[i] & low], two.n[c[i]], one.n[b[i] >> np.uint64(32)], n[i]))
+    known, after, alone = rule.values(x, y, xm, my, m, xmy)
+    after[((kind == BEFORE) & ~known) | ((kind == AFTER) & known)] = 0.0  # the other row of the word has it
+    alone[kind == AFTER] = 0.0
+    v[at] = after + alone
+    by = np.argsort(d)
+    ordered = d[by]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(by)])
+    return ordered[starts], np.add.reduceat(v[by], starts) if len(by) else v
+
+
+def _sums_of_documents(docs: DataFrame, rule: Rule, frequent: list[Frequent], part: int, parts: int, tasks: int) -> DataFrame:
+    """_d and v, the sum of what one part of the keys adds to a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for x in batches if x.num_rows]
+        if held:
+            d, v = _added([np.concatenate([x.column(c).to_numpy() for x in held]).view("u8") for c in ("_d", "a", "b", "c")], rule, frequent)
+            yield pa.RecordBatch.from_arrays([_long(d), pa.array(v)], ["_d", "v"])
+
+    dealt = _dealt(docs, rule, frequent, part, parts).repartition(tasks, "a")
+    return dealt.mapInArrow(run, "_d long, v double").groupBy("_d").agg(F.sum("v").alias("v"))
+
+
+def _document(salt: int) -> Column:
+    """A key of 61 bits of doc_id and _h."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "_h", F.lit(salt)), 3)
+
+
+def _scores(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
+    """As backoff_scores, for orders up to 3; the rule's floor isn't known yet."""
+    spark, share = docs.sparkSession, SHARE
+    with _cleaned(spark):
+        while True:
+            survey = table(_surveyed(docs, share), "lm-survey")
+            tokens = survey.where("gram IS NULL").agg(F.sum("n")).first()[0] or 0
+            if tokens <= share * MOST:
+                break
+            discard(survey)
+            share = -(-tokens // MOST)
+        base = survey.where("gram IS NULL").groupBy(*KEY).agg(F.first("n").alias("n_tokens"), F.count(F.lit(1)).alias("_copies"))
+        base = table(base, "lm-documents")
+        salt = 0
+        while base.groupBy(_document(salt).alias("_d")).count().where("count > 1").limit(1).count():
+            salt += 1  # no two documents share a key
+        some = survey.where("gram IS NOT NULL").groupBy("order", "gram").agg(F.sum("n").alias("n"))
+        candidates = [x.grams for x in _by_order(some.where(F.col("n") >= tokens / (2 * share)))]
+        discard(survey)
+        frequent = _counted(docs, candidates, max(MIN_FREQUENT, math.ceil(tokens / share)))
+    rule = rule._replace(floor=math.log10(max(1, tokens - rule.left_out)))
+    keyed = _keyed(docs).select(_document(salt).alias("_d"), "text")
+    tasks = max(1, -(-tokens * 3 // (2 * parts * TASK_ROWS)))
+    added = _in_parts(spark, "lm-sums", parts, lambda k: _sums_of_documents(keyed, rule, frequent, k, parts, tasks)).groupBy("_d").agg(F.sum("v").alias("v"))
+    out = base.withColumn("_k", _document(salt)).join(added, F.col("_k") == F.col("_d"), "left")
+    return out.select("doc_id", "n_tokens", (F.coalesce("v", F.lit(0.0)) / F.col("_copies")).alias("log10_score"), "_copies")
+
+
+def _scores_by_joins(docs: DataFrame, order: int, alpha: float, min_count: int, leave_one_out: bool, parts: int) -> DataFrame:
+    """As backoff_scores, for any order: the count table, its deltas, and the documents' n-grams joined to them."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.size(words(F.col("text"))).alias("n_tokens"))
     base = table(base.groupBy(*KEY, "n_tokens").agg(F.count(F.lit(1)).alias("_copies")), "lm-documents")
@@ -302,5 +596,25 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, mi
     out = out.join(added, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h")), "left")
     floor = F.col("_n") * math.log10(alpha) - F.col("n_tokens") * math.log10(max(1, (tokens or 0) - int(leave_one_out)))
     score = F.coalesce(F.col("v"), F.lit(0.0)) / F.col("_copies") + floor
-    out = out.select(F.col("_id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), score.alias("log10_score"), "_copies")
+    return out.select(F.col("_id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), score.alias("log10_score"), "_copies")
+
+
+def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = 1, leave_one_out: bool = True, parts: int = PARTS) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens and log10_score, the sum of its words' log10 scores.
+
+    A word's score after the words before it, up to order - 1 of them in its text, is c(n-gram) / c(its
+    beginning) if the n-gram's count is min_count at least, and else alpha times the score after one word less;
+    for the word alone c(word) / number of words, and alpha / number of words if it has no count. Counts are
+    over all of docs. With leave_one_out (the deleted estimate) the occurrence that is scored is taken off every count:
+    otherwise no n-gram of a scored corpus is ever unknown, and a text that nothing else resembles scores like
+    one that the corpus repeats. N-grams are told apart by 64-bit hashes; two share one with a
+    chance of about n^2 / 2^65. More parts take less disk and read docs more often; the result is the same.
+
+    docs needs doc_id and text; other columns are ignored. Null and empty texts have no words and score 0. Rows
+    that repeat are counted and scored each; null ids stay null; an empty table gives an empty result.
+    """
+    if order <= 3:
+        out = _scores(docs, Rule(order, alpha, min_count, int(leave_one_out), 0.0), parts)
+    else:
+        out = _scores_by_joins(docs, order, alpha, min_count, leave_one_out, parts)
     return out.select("doc_id", "n_tokens", "log10_score", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("col")

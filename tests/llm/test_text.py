@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,48 @@ def test_parts_agree(spark):
     table = [lm_score.counts(frame(spark), 3, k, 4) for k in range(4)]
     whole = lm_score.counts(frame(spark)).count()
     assert whole == sum(t.count() for t in table) == table[0].unionByName(table[1]).unionByName(table[2]).unionByName(table[3]).select("gram").distinct().count()
+
+
+def test_words_are_shuffled_once(spark, monkeypatch):
+    """Up to order 3 a word has a row, or two if it is frequent, whatever is frequent besides; the scores are the plain ones."""
+    rng = random.Random(5)
+    texts = [" ".join("of the A b C d e f g h i j k".split()[min(int(rng.expovariate(0.3)), 12)] for _ in range(rng.choice([0, 1, 2, 3, 40, 300]))) for _ in range(60)]
+    rows = list(enumerate([*texts, *texts[:5], "unique words", None]))
+    words, at = [low(t).encode().split() for _, t in rows], frame(spark, rows)
+    found = set()
+    for most in (10, 60, 200):
+        monkeypatch.setattr(lm_score, "MIN_FREQUENT", most)
+        got = {r.doc_id: (r.n_tokens, round(r.log10_score, 6)) for r in lm_score.backoff_scores(at).collect()}
+        assert got == {i: (len(w), round(s + 0.0, 6)) for (i, _), w, s in zip(rows, words, plain_scores(rows))}
+        grams = [Counter(tuple(w[i : i + k]) for w in words for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+        survey = lm_score._surveyed(at, 4000).where("gram IS NOT NULL").groupBy("order", "gram").agg(F.sum("n").alias("n"))
+        frequent = lm_score._counted(at, [x.grams for x in lm_score._by_order(survey)], most)
+        assert [sorted(x.n.tolist()) for x in frequent] == [sorted(n for n in g.values() if n >= most) for g in grams]
+        keyed, rule = at.select(F.col("doc_id").cast("long").alias("_d"), "text"), lm_score.Rule(3, 0.4, 1, 1, 0.0)
+        dealt = [r for k in range(3) for r in lm_score._dealt(keyed, rule, frequent, k, 3).collect()]
+        kinds = Counter(r._d & 7 for r in dealt)
+        much = sum(n for n in grams[0].values() if n >= most)
+        assert kinds[lm_score.WHOLE] == sum(map(len, words)) - much and kinds.total() - kinds[lm_score.WHOLE] - kinds[lm_score.SUMMED] <= 2 * much
+        assert max(Counter(r.a for r in dealt if r._d & 7 != lm_score.SUMMED).values()) < most  # no key is hot
+        found |= kinds.keys()
+    assert found == set(range(7))
+
+
+def test_frequent_words_are_all_found():
+    """What a survey leaves out among any words of a task is less than half of what makes an n-gram frequent."""
+    grams = np.repeat(np.arange(1, 9, dtype="u8"), [1, 2, 3, 4, 5, 6, 7, 8])
+    much = lm_score._much(grams, len(grams) / 8)
+    assert much.grams.tolist() == [5, 6, 7, 8] and much.n.tolist() == [5, 6, 7, 8]
+    assert much.places(np.array([8, 1, 5], "u8")).tolist() == [3, -1, 0] and lm_score._much(grams[:0], 0).places(grams[:2]).tolist() == [-1, -1]
+
+
+def test_tables_beyond_the_most_are_surveyed_again(spark, monkeypatch):
+    """More words than SHARE keys may hold raise the share; the scores don't change, and neither do those of longer orders by joins."""
+    rows = docs()
+    monkeypatch.setattr(lm_score, "MOST", 20)
+    monkeypatch.setattr(lm_score, "SHARE", 2)
+    monkeypatch.setattr(lm_score, "HELD", 50)
+    monkeypatch.setattr(lm_score, "MIN_FREQUENT", 1)
+    for order in (3, 4):
+        got = lm_score.backoff_scores(frame(spark), order).collect()
+        assert sorted(repr(round(r.log10_score + 0.0, 5)) for r in got) == sorted(repr(round(w + 0.0, 5)) for w in plain_scores(rows, order))
