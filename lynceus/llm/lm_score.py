@@ -48,6 +48,8 @@ MAX_FREQUENT, MIN_FREQUENT = 200_000, 100
 SHARE, MOST = 4_000, 1 << 21
 #: Rows of words that a task has, about.
 TASK_ROWS = 1 << 20
+#: Rows of one document that a task doesn't add up, at most.
+MOST_OF_ONE = 1 << 10
 #: Parts of the n-grams' hashes, one on disk at a time.
 PARTS = 6
 #: Text whose n-grams are made at a time, and whose words are hashed at a time.
@@ -478,7 +480,7 @@ def _times(*keys: np.ndarray) -> np.ndarray:
 
 
 def _added(rows: list[np.ndarray], rule: Rule, frequent: list[Frequent]) -> tuple[np.ndarray, np.ndarray]:
-    """_d of documents and what all rows of a partition add to each."""
+    """_d of documents and what the rows of a partition add to each; several rows of a document may have one each, if they are few."""
     one, two, _ = frequent
     d, a, b, c = rows
     kind, d, v = d & np.uint64(7), d >> np.uint64(3), np.zeros(len(d))
@@ -515,10 +517,12 @@ def _added(rows: list[np.ndarray], rule: Rule, frequent: list[Frequent]) -> tupl
     after[((kind == BEFORE) & ~known) | ((kind == AFTER) & known)] = 0.0  # the other row of the word has it
     alone[kind == AFTER] = 0.0
     v[at] = after + alone
-    by = np.argsort(d)
-    ordered = d[by]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(by)])
-    return ordered[starts], np.add.reduceat(v[by], starts) if len(by) else v
+    # sums are left to the shuffle by document, whose rows then grow with the corpus, but no document is a hot key there
+    much = np.bincount((d & np.uint64(0xFFFF)).astype("i8"), minlength=1 << 16) >= MOST_OF_ONE
+    many = much[d & np.uint64(0xFFFF)]
+    few = ~many & (v != 0)
+    documents, place = np.unique(d[many], return_inverse=True)
+    return np.concatenate([d[few], documents]), np.concatenate([v[few], np.bincount(place, v[many], len(documents))])
 
 
 def _sums_of_documents(docs: DataFrame, rule: Rule, frequent: list[Frequent], part: int, parts: int, tasks: int) -> DataFrame:
@@ -531,7 +535,7 @@ def _sums_of_documents(docs: DataFrame, rule: Rule, frequent: list[Frequent], pa
             yield pa.RecordBatch.from_arrays([_long(d), pa.array(v)], ["_d", "v"])
 
     dealt = _dealt(docs, rule, frequent, part, parts).repartition(tasks, "a")
-    return dealt.mapInArrow(run, "_d long, v double").groupBy("_d").agg(F.sum("v").alias("v"))
+    return dealt.mapInArrow(run, "_d long, v double").repartition(tasks, "_d").groupBy("_d").agg(F.sum("v").alias("v"))
 
 
 def _document(salt: int) -> Column:

@@ -253,3 +253,15 @@ def test_tables_beyond_the_most_are_surveyed_again(spark, monkeypatch):
     for order in (3, 4):
         got = lm_score.backoff_scores(frame(spark), order).collect()
         assert sorted(repr(round(r.log10_score + 0.0, 5)) for r in got) == sorted(repr(round(w + 0.0, 5)) for w in plain_scores(rows, order))
+
+
+def test_documents_are_no_hot_keys(monkeypatch):
+    """A task adds up a document that has many of its rows, and no other, so the rows shuffled by document grow with the corpus."""
+    monkeypatch.setattr(lm_score, "MOST_OF_ONE", 50)
+    rule, none = lm_score.Rule(3, 0.4, 1, 1, 2.0), lm_score.Frequent.of(np.zeros(0, "u8"), np.zeros(0, "i8"))
+    d = np.array([1] * 100 + [2] * 10, "u8")
+    rows = [d << np.uint64(3), np.arange(1, 111, dtype="u8"), np.zeros(110, "u8"), np.zeros(110, "u8")]
+    got, v = lm_score._added(rows, rule, [none] * 3)
+    assert sorted(got.tolist()) == [1] + [2] * 10
+    each = np.log10(0.4) - 2
+    assert np.allclose(v[got == 1], 100 * each) and np.allclose(v[got == 2], each)
