@@ -114,7 +114,60 @@ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, CASE W
 FROM f
 """
 
+#: Every prefix is the list of its turns' digests; h is CRC-32 worked out bit by bit.
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id, sha256(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS link, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, link) AS r FROM t),
+b AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes FROM t),
+c AS (
+  SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295, bytes), lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 4 AS h FROM b
+), o AS (
+  SELECT c.conv_id, r.r - h AS place, link, words FROM c JOIN r USING (conv_id) WHERE r.r > h
+  UNION ALL SELECT c.conv_id, r.r - 100 AS place, link, words FROM c JOIN r ON r.conv_id = c.base WHERE r.r <= h
+), l AS (SELECT c.conv_id, coalesce(list(link ORDER BY place) FILTER (link IS NOT NULL), []) AS links, list(words ORDER BY place) AS words FROM c LEFT JOIN o USING (conv_id) GROUP BY c.conv_id),
+p AS (SELECT conv_id, d, links[1 : d] AS node, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words, d = len(links) AS ends FROM (SELECT *, unnest(range(len(links) + 1)) AS d FROM l)),
+n AS (
+  SELECT d, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, node
+), k AS (SELECT d - 1 AS d, node[1 : d - 1] AS node, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k USING (d, node)),
+s AS (
+  SELECT a AS d, node[1 : a] AS node, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM v) GROUP BY ALL
+)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (d, node) LEFT JOIN v u ON u.d = v.d - 1 AND u.node = v.node[1 : v.d - 1]
+"""
+
+#: Each order walks through the documents' flags, counted by part; nothing is looked up by set.
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (
+  SELECT doc_id, part, {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS x FROM w
+), lab AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, {'A': x.A, 'B': x.B, 'C': x.C, 'D': x.D, 'E': x.E} AS x, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN lab USING (doc_id) GROUP BY ALL
+), one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (
+  SELECT a.k || b.k || c.k || d.k || e.k AS o FROM one a, one b, one c, one d, one e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), st AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+fails AS (
+  SELECT part, n, good, toxic, o, step, o[step] AS f, list_reduce([true] || list_transform(range(1, step), lambda i: NOT CASE o[i] WHEN 'A' THEN x.A WHEN 'B' THEN x.B WHEN 'C' THEN x.C WHEN 'D' THEN x.D ELSE x.E END), lambda p, q: p AND q) AS here,
+    CASE o[step] WHEN 'A' THEN x.A WHEN 'B' THEN x.B WHEN 'C' THEN x.C WHEN 'D' THEN x.D ELSE x.E END AS bad, CAST(x.A AS INTEGER) + CAST(x.B AS INTEGER) + CAST(x.C AS INTEGER) + CAST(x.D AS INTEGER) + CAST(x.E AS INTEGER) AS n_bad
+  FROM m, st
+), r AS (
+  SELECT part, o, step, f, coalesce(sum(n) FILTER (here AND NOT bad), 0) AS kept, coalesce(sum(n) FILTER (here AND bad), 0) AS removed, coalesce(sum(n) FILTER (NOT here AND bad), 0) AS redundant,
+    coalesce(sum(n) FILTER (bad AND n_bad = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (here AND bad), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND bad), 0) AS toxic_lost FROM fails GROUP BY ALL
+)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r
+"""
+
 ORACLE_SQL = {
+    "op11_prefix_trie": OP11,
+    "op12_filter_audit": OP12,
     "op3_warc": OP3,
     "op8_secrets": OP8,
     "op2_lm_score": OP2,
