@@ -32,7 +32,7 @@ class Bands:
     to, so its band is wide; plain language in UTF-8 lies between 0.3 and 0.7 from about 1,000 bytes on.
     """
 
-    limits: tuple[tuple[int, float, float], ...] = ((100, 0.25, 1.20), (200, 0.25, 0.95), (500, 0.22, 0.88), (1000, 0.20, 0.80), (4000, 0.15, 0.75))
+    limits: tuple[tuple[int, float, float], ...] = ((100, 0.25, 1.20), (200, 0.25, 0.95), (500, 0.22, 0.84), (1000, 0.20, 0.74), (4000, 0.15, 0.68))
     chunk: int = 4096
     #: Bytes in chunks out of their bands, at most, as a share of all.
     share: float = 1 / 3

@@ -194,7 +194,7 @@ def rule_rows():
     noise = lambda n: "".join(chr(rng.choice(range(33, 127))) for _ in range(n))
     prose = lambda n: " ".join("".join(rng.choice(["the", "an", "er", "ing", "on", "st", "re", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
     rows = docs() + [(600 + n, prose(n)) for n in (9, 10, 11, 40, 200, 3000, 4100, 9000)]
-    rows += [(610, " ".join(noise(7) for _ in range(400))), (611, "say it again and again. " * 300), (612, " ".join(f"{i} again" for i in range(3000))), (613, prose(1200) + " " + " ".join(noise(9) for _ in range(500)))]
+    rows += [(710, " ".join(noise(7) for _ in range(400))), (711, "say it again and again. " * 300), (712, " ".join(f"{i} again" for i in range(3000))), (713, prose(1200) + " " + " ".join(noise(9) for _ in range(500)))]
     rows += [(614, "a b c d e a b c d e"), (615, "one line\none line\n \n \n\tone line\r\none line\r\n"), (616, "x " * 5000), (617, prose(4500) + "\n" + prose(6) * 2), (618, "\x1c\x85   a" * 5)]
     return rows
 
@@ -205,7 +205,7 @@ def test_rules(spark):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert sorted((repr(r.doc_id), *[r[n] for n in names]) for r in got) == sorted((repr(i), *plain_rules(t)) for i, t in rows)
     kept = {r.doc_id: r.kept for r in got}
-    assert kept[640] and not kept[610] and not kept[611] and not kept[616] and {r.doc_id for r in got if not r.kept and not r.base_failed} >= {610}
+    assert kept[640] and not kept[710] and not kept[711] and not kept[616] and {r.doc_id for r in got if not r.kept and not r.base_failed} >= {710, 712, 713}
     whole = quality_rules.accepted(frame(spark, rows))
     assert whole.columns == frame(spark, rows).columns and whole.count() == sum(r.kept for r in got)
     assert quality_rules.judged(frame(spark, [])).count() == 0 == quality_rules.accepted(frame(spark, [])).count()
