@@ -5,14 +5,12 @@ from __future__ import annotations
 import json
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lynceus.functions.url import canonical_text
@@ -144,19 +142,21 @@ def out_of_fold(df: DataFrame, features: list[str], label: str = "label", group:
     return out
 
 
-def permutation_importance(scorer, df: DataFrame, features: list[str], label: str = "label", seed: int = 0) -> DataFrame:
+def permutation_importance(scorer, df: DataFrame, features: list[str], key: list[str], label: str = "label", seed: int = 0) -> DataFrame:
     """(feature, drop): how far the AUC falls when a feature's values are dealt among the rows anew.
 
-    Values are dealt by two orders of a hash within hash partitions, so no task orders all rows.
+    key names columns that tell rows apart. Values are dealt by two orders of its hash within parts of about 10,000 rows, so no
+    task orders all rows, and a repeated task deals alike; rows with one key share their part, and are ordered by the value.
     """
-    from pyspark.sql import Window
-
-    base, rows = roc_auc(scorer(df), "score", label).first()[0], df.withColumn("_u", F.monotonically_increasing_id()).withColumn("_b", F.pmod(F.xxhash64("_u"), F.lit(64)))
+    base, n = roc_auc(scorer(df), "score", label).first()[0], df.count()
+    parts = max(1, n // 10_000)
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    order = lambda *salt: [F.xxhash64(*key, *[F.lit(x) for x in salt]), *key]
     out = []
     for i, name in enumerate(features):
-        a = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_u")))
-        b = rows.select("_b", F.col(name).alias("_x"), F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64("_u", F.lit(seed + i)))).alias("_i"))
-        dealt = a.join(b, ["_b", "_i"]).withColumn(name, F.col("_x")).drop("_b", "_i", "_x", "_u")
+        a = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order(), name)))
+        b = rows.select("_b", F.col(name).alias("_x"), F.row_number().over(Window.partitionBy("_b").orderBy(*order(seed, i), name)).alias("_i"))
+        dealt = a.join(b, ["_b", "_i"]).withColumn(name, F.col("_x")).drop("_b", "_i", "_x")
         out.append((name, float(base - roc_auc(scorer(dealt), "score", label).first()[0])))
     return df.sparkSession.createDataFrame(out, "feature string, drop double")
 
@@ -170,15 +170,6 @@ def forward_selection(fit, df: DataFrame, features: list[str], n: int, label: st
     return chosen
 
 
-def grouped_folds(sizes: pd.DataFrame, folds: int = 5) -> dict:
-    """group -> fold with even sums: the largest group goes to the emptiest fold; sizes is (group, n), a bounded table."""
-    load, out = np.zeros(folds), {}
-    for r in sizes.sort_values(["n", "group"], ascending=[False, True]).itertuples():
-        k = int(load.argmin())
-        out[r.group], load[k] = k, load[k] + r.n
-    return out
-
-
 def temperature(df: DataFrame, score: str = "score", label: str = "label", rounds: int = 40) -> float:
     """The factor by which log odds are divided for the least log loss, by golden-section search."""
     p = F.greatest(F.least(F.col(score), F.lit(1 - 1e-7)), F.lit(1e-7))
@@ -207,58 +198,6 @@ def cascade(first: Column, second: Column, low: float, high: float) -> Column:
     return F.when(first.between(low, high), second).otherwise(first)
 
 
-def fit_residual(x: np.ndarray, y: np.ndarray, start: np.ndarray, monotone: list[int], rounds: int = 60, rate: float = 0.1, depth: int = 2, least: int = 20, ridge: float = 1.0, bins: int = 32):
-    """Boosted corrections to given raw scores, monotone in chosen features; returns a ModelDocument without names.
-
-    For a table that fits the driver, such as one row for each labelled domain with facts. monotone has 1, -1
-    or 0 for each feature. A split of a monotone feature must order its sides, and bounds what lies below each
-    to its side of their middle. Missing values take the side that gains more.
-    """
-    from lynceus.operators.scoring import ModelDocument, Tree
-
-    edges = [np.unique(np.quantile(c[~np.isnan(c)], np.linspace(0, 1, bins + 1)[1:-1])) if (~np.isnan(c)).any() else np.zeros(0) for c in x.T]
-    raw, trees = start.astype("float64").copy(), []
-
-    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, low: float, high: float, level: int, t: dict) -> tuple[int, float]:
-        value = float(np.clip(-g[rows].sum() / (h[rows].sum() + ridge), low, high))
-        best = None
-        for f in range(x.shape[1]) if level else ():
-            v = x[rows, f]
-            nan = np.isnan(v)
-            for e in edges[f]:
-                for to_left in (True, False) if nan.any() else (True,):
-                    left = np.where(nan, to_left, v <= e)
-                    n = int(left.sum())
-                    if min(n, len(rows) - n) < least:
-                        continue
-                    sides = [(g[s].sum(), h[s].sum() + ridge) for s in (rows[left], rows[~left])]
-                    a, b = (float(np.clip(-p / q, low, high)) for p, q in sides)
-                    if (b - a) * monotone[f] < 0:
-                        continue
-                    gain = sum(-(p * w + q * w * w / 2) for (p, q), w in zip(sides, (a, b), strict=True))
-                    if best is None or gain > best[0] + 1e-12:
-                        best = (gain, f, float(e), left, to_left, a, b)
-        if best is None:
-            t["lv"].append(rate * value)
-            return ~(len(t["lv"]) - 1), value
-        _, f, e, left, to_left, a, b = best
-        i, middle = len(t["f"]), (a + b) / 2
-        for k, v in (("f", f), ("t", e), ("l", 0), ("r", 0), ("d", to_left), ("m", 2), ("v", rate * value)):
-            t[k].append(v)
-        m = monotone[f]
-        t["l"][i] = grow(rows[left], g, h, middle if m < 0 else low, middle if m > 0 else high, level - 1, t)[0]
-        t["r"][i] = grow(rows[~left], g, h, middle if m > 0 else low, middle if m < 0 else high, level - 1, t)[0]
-        return i, value
-
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(raw, -50, 50)))
-        t: dict[str, list] = {k: [] for k in ("f", "t", "l", "r", "d", "m", "v", "lv")}
-        grow(np.arange(len(x)), p - y, p * (1 - p), -np.inf, np.inf, depth, t)
-        trees.append(Tree.of(t))
-        raw += trees[-1].walk(x)
-    return ModelDocument([f"f{i}" for i in range(x.shape[1])], trees)
-
-
 def standardised(df: DataFrame, features: list[str], train: Column) -> DataFrame:
     """df with its features less the training rows' mean, over their deviation (of the whole, not a sample; 1 where it is 0)."""
     stats = df.where(train).agg(*[x for f in features for x in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))])

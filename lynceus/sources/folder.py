@@ -1,10 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and tables written there between steps."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +17,17 @@ def shared_folder(spark: SparkSession) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='lynceus-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written once as Parquet in the shared folder and read back, which cuts its lineage, and its path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders in any store that Spark reads."""
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

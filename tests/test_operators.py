@@ -97,17 +97,13 @@ def test_training(spark):
     t = training.temperature(df.withColumn("score", F.col("a")))
     assert 0.05 < t < 1  # the score is underconfident
     assert training.out_of_fold(df, ["a"], folds=2, rounds=2).count() == 300
-
-
-def test_monotone_residual():
-    rng = np.random.default_rng(0)
-    x = rng.random((400, 2))
-    y = (rng.random(400) < 1 / (1 + np.exp(-(3 * x[:, 0] - 1.5)))).astype(float)
-    m = training.fit_residual(x, y, np.zeros(400), monotone=[1, 0], rounds=20)
-    grid = np.stack([np.linspace(0, 1, 50), np.full(50, 0.5)], 1)
-    assert (np.diff(m.raw(grid)) >= -1e-12).all() and m.raw(grid)[-1] > m.raw(grid)[0]
-    x[::7, 0] = np.nan
-    assert np.isfinite(training.fit_residual(x, y, np.zeros(400), [1, 0], rounds=5).raw(x)).all()
+    assert training.train_tree(df, ["a"], depth=2).depth == 1  # one cut tells the labels apart
+    keyed = df.withColumn("id", F.monotonically_increasing_id())
+    drops = {r.feature: r["drop"] for r in training.permutation_importance(lambda d: d.withColumn("score", F.col("a")), keyed, ["a", "b"], ["id"]).collect()}
+    assert drops["a"] > 0.3 and drops["b"] == 0
+    flagged = keyed.withColumn("validation", F.col("id") % 3 == 0).withColumn("b", F.coalesce(F.nanvl("b", F.lit(0.0)), F.lit(0.0)))
+    fit = lambda rows, names: (lambda m: lambda d: training.probabilities(m.transform(training.filled(d, names, 0.0))))(training.train_logistic(rows, names))
+    assert training.forward_selection(fit, flagged, ["b", "a"], 1) == ["a"]
 
 
 def test_streams(spark, tmp_path):
