@@ -25,6 +25,8 @@ class Rule:
     pattern: str
     #: Whether a match (a column) counts; a match that doesn't is dropped after it has used up its characters.
     keep: object
+    #: How many of a match's first characters (a column of the match) don't belong to the finding.
+    trim: object = None
 
     @property
     def key(self) -> str:
@@ -39,10 +41,13 @@ RULES = (
     Rule("access", 1, "AKIA[A-Z0-9]+", lambda m: F.length(m) >= 20),
     Rule("hex", 1, "[0-9a-f]{24,}", lambda m: F.lit(True)),
 )
-#: Formats that services publish for their own keys and tokens (fixed values), and private keys in PEM.
+TOKEN = "[A-Za-z0-9_-]"
+#: Formats that services publish for their own keys and tokens (fixed values), and private keys in PEM. A text of any content is read
+#: in one pass: Java's matcher calls itself for each repeat of a group, so words in capitals are one class in which two blanks in a row
+#: are looked for first; and a token starts at the first `eyJ` of a run of its characters, so a run is tried once, from where it starts.
 SERVICE_RULES = (
-    Rule("private_key", 1, "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", lambda m: F.lit(True)),
-    Rule("web_token", 1, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]+", lambda m: F.lit(True)),
+    Rule("private_key", 1, "-----BEGIN (?! )(?![A-Z ]*  )(?:[A-Z ]* )?PRIVATE KEY-----", lambda m: F.lit(True)),
+    Rule("web_token", 1, f"(?<!{TOKEN})(?={TOKEN}*?eyJ{TOKEN}{{8}}){TOKEN}++\\.eyJ{TOKEN}{{8,}}+\\.{TOKEN}++", lambda m: F.lit(True), lambda m: F.regexp_instr(m, F.lit(f"eyJ{TOKEN}{{8}}")) - 1),
     Rule("github", 1, "gh[opsur]_[A-Za-z0-9]{36,}", lambda m: F.lit(True)),
     Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", lambda m: F.lit(True)),
     Rule("google", 1, "AIza[A-Za-z0-9_-]{35}", lambda m: F.lit(True)),
@@ -58,7 +63,8 @@ def steps(text: Column, rule: Rule) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    each = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct(gap.alias("gap"), F.length(m).alias("n"), rule.keep(m).alias("ok")))
+    trim = rule.trim or (lambda m: F.lit(0))
+    each = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct((gap + trim(m)).alias("gap"), (F.length(m) - trim(m)).alias("n"), rule.keep(m).alias("ok")))
     return F.when(text.rlike(rule.pattern), each)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -120,6 +121,34 @@ def test_service_rules(spark):
     assert got[9].spans == ""
 
 
+OLD = {"private_key": re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), "web_token": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")}
+
+
+def test_rules_of_one_pass(spark):
+    """The patterns that Java can walk in one pass find what the plain ones do, on texts made of their own pieces."""
+    rng = random.Random(3)
+    keys = ["-----BEGIN ", "PRIVATE KEY-----", "PRIVATE ", " ", "RSA ", "EC", "-----", "BEGIN ", "KEY-----", "a"]
+    tokens = ["eyJ", "abcdefgh", "eyJabcdefgh", ".", ".eyJ01234567", ".sig", "x", " ", "-_", "é"]
+    rows = [(i, "".join(rng.choice(p) for _ in range(rng.randint(1, 14)))) for i in range(3000) for p in [keys if i % 2 else tokens]]
+    rows += [(9001, "-----BEGIN  PRIVATE KEY-----BEGIN PRIVATE KEY-----"), (9002, "abc.eyJ01234567.eyJ89012345.sig.eyJ01234567.s"), (9003, "xx-eyJeyJ01234567.eyJ01234567.a.b")]
+    got = {r.doc_id: r.spans for r in secrets.findings(frame(spark, rows)).collect()}
+    found = 0
+    for i, t in rows:
+        want = [f"{k}:{m.start()}:{m.end()}" for k, p in OLD.items() for m in p.finditer(t)]
+        assert sorted(x for x in got[i].split(",") if x.split(":")[0] in OLD) == sorted(want), t
+        found += len(want)
+    assert found > 100
+
+
+@pytest.mark.parametrize("piece", ["-----BEGIN " + "A " * 500_000, "-----BEGIN " + "A" * 1_000_000, "eyJ" * 330_000, "eyJabcdefgh." * 80_000, "eyJabcdefgh.eyJ" * 60_000, "-----BEGIN " * 90_000, "token" + " " * 1_000_000])
+def test_hostile_texts(spark, piece):
+    """Texts of a megabyte that made a matcher call itself for each word, or read the rest of the text at each place."""
+    began = time.time()
+    assert secrets.findings(frame(spark, [(1, piece)])).count() == 1
+    secrets.findings(frame(spark, [(1, piece)])).collect()
+    assert time.time() - began < 20
+
+
 def test_many_matches(spark):
     """Time grows with the matches, not with their square: this took minutes when places were collected one by one."""
     text = "token=abcdef1 " * 60_000
