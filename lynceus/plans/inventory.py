@@ -486,16 +486,6 @@ def lookup_evidence(spark, sf):
 # Streams.
 
 
-@query
-def stream_ttl_state(spark, sf):
-    """How often each user has been met, in state kept by key across batches."""
-    out, seen = _file(spark, "state"), f"{sf}/events*"
-    schema = _table(spark, sf, "events").schema
-    stream = streams.latest_values(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(seen).select(F.col("user_id").alias("k")), "k", ttl_ms=None)
-    streams.upsert_available(stream, f"{out}/t", f"{out}/c")
-    return streams.newest(spark.read.parquet(f"{out}/t"), "k").select("k", "seen")
-
-
 @query
 def stream_windows(spark, sf):
     """Events by hour and type; a window appears as soon as it has rows and is replaced as it grows."""

@@ -210,6 +210,5 @@ ORACLE_SQL: dict[str, str] = {
     "count_tensor": f"WITH {S}, c AS (SELECT dataset, label, CASE WHEN score >= 0.7 THEN 'FRAUD' WHEN score <= 0.3 THEN 'LEGITIMATE' ELSE 'REVIEW' END AS verdict, count(*) AS n FROM s GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY dataset, label), 6) AS share FROM c",
     "crosstab_columns": f"WITH {S}, c AS (SELECT dataset, count(*) FILTER (label = 0) AS n_0, count(*) FILTER (label = 1) AS n_1 FROM s GROUP BY dataset) SELECT *, round(n_0 / sum(n_0) OVER (), 6) AS share_0, round(n_1 / sum(n_1) OVER (), 6) AS share_1 FROM c",
     # Streams.
-    "stream_ttl_state": "SELECT user_id AS k, count(*) AS seen FROM events GROUP BY user_id",
     "stream_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,38 +33,22 @@ def windowed_counts(stream: DataFrame, time: str = "ts", by: str = "event_type",
     return stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
-def first_of_each(stream: DataFrame, keys: list[str], time: str = "ts", within: str = "1 hour") -> DataFrame:
-    """The first row of each key; keys are forgotten after the given time."""
-    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+def sessions(stream: DataFrame, key: str, time: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(key, start, end, n): runs of a key's rows with no gap as long as the given one; end is the last row's time and the gap.
 
-
-def latest_values(stream: DataFrame, key: str = "k", ttl_ms: int | None = 7 * 86_400_000) -> DataFrame:
-    """(k, seen): how often a key has been met since it was last forgotten; state is kept by key and expires.
-
-    With a time to live, run it with a processing-time trigger: a query with timeouts never runs out of batches.
+    Appended, a session comes when the watermark has passed its end, and rows later than that are dropped.
     """
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n = (state.get[0] if state.exists else 0) + sum(map(len, frames))
-        state.update((n,))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"k": [k[0]], "seen": [n]})
-
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"k {kind}, seen long", "n long", "update", "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout")
+    window = F.session_window(time, gap)
+    return stream.withWatermark(time, late).groupBy(window.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def upsert_available(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Runs a stream of updates over everything there is now; each batch's rows go to a folder of its own, with its number."""
+def upsert_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
+    """Runs a stream of updates (or, in mode complete, of whole results) over everything there is now; each batch's rows go to a folder of its own, with its number."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def newest(updates: DataFrame, *keys: str) -> DataFrame:
