@@ -130,6 +130,28 @@ def gather(keys: DataFrame, key: str, cache: DataFrame, provider: Callable[[Data
     return known if missing.isEmpty() else known.unionByName(provider(missing), allowMissingColumns=True)
 
 
+def has_domain(column: str) -> Column:
+    """Whether a scored row's cell names a host that may be looked up."""
+    p, s = F.col("p"), strip(F.coalesce(F.col(f"`{column}`"), F.lit("")))
+    return (s != "") & ~has_space(s) & (p["host"] != "") & ((p["ip"] > 0) | F.contains(p["host"], F.lit(".")))
+
+
+def gated(scored: DataFrame, mode: str, column: str = "url") -> DataFrame:
+    """scored with _gate (whether the mode looks the row up), _can (whether it can be), and _host and _reg, its keys if it can."""
+    if mode not in ("review", "all"):
+        raise ValueError(f"enrich mode must be 'review' or 'all', not {mode!r}")
+    listed = F.col("list_kind").isNotNull() if "list_kind" in scored.columns else F.lit(False)
+    gate = ~listed if mode == "all" else ~listed & (F.col("fraud_verdict") == "REVIEW")
+    p = F.col("p")
+    step = scored.withColumns({"_gate": gate, "_can": gate & has_domain(column) & (p["ip"] == 0) & ~is_platform(p)})
+    return settled(step, {"_host": F.when(F.col("_can"), p["host"]), "_reg": F.when(F.col("_can") & ~p["private_suffix"], p["reg"])})
+
+
+def wanted_keys(scored: DataFrame, mode: str, column: str = "url") -> DataFrame:
+    """(host, reg): the different hosts that the mode looks up, and their domains; reg is null for a hosting platform's."""
+    return gated(scored, mode, column).where("_host IS NOT NULL").groupBy(F.col("_host").alias("host")).agg(F.max("_reg").alias("reg"))
+
+
 def enrich(scored: DataFrame, model: ModelDocument, second: ModelDocument, dns: DataFrame, rdap: DataFrame, now: float, mode: str = "review", column: str = "url", base_rate: float | None = None) -> DataFrame:
     """scored (of score_urls, with list_kind if lists were matched), with a second opinion where facts allow it.
 
@@ -137,15 +159,10 @@ def enrich(scored: DataFrame, model: ModelDocument, second: ModelDocument, dns:
     all (every row that no list decides). A row whose domain resolves is judged by both models' raw scores
     together; others keep their verdict. Adds analysis_mode, lookup_status and evidence.
     """
-    if mode not in ("review", "all"):
-        raise ValueError(f"enrich mode must be 'review' or 'all', not {mode!r}")
-    listed = F.col("list_kind").isNotNull() if "list_kind" in scored.columns else F.lit(False)
-    gate = ~listed if mode == "all" else ~listed & (F.col("fraud_verdict") == "REVIEW")
-    p, s = F.col("p"), strip(F.coalesce(F.col(f"`{column}`"), F.lit("")))
-    domain = (s != "") & ~has_space(s) & (p["host"] != "") & ((p["ip"] > 0) | F.contains(p["host"], F.lit(".")))
     first = ["raw", "x", "contributions", "probability", "adjusted", "fraud_verdict", "confidence", "reasons"]
-    step = scored.withColumns({"_gate": gate, "_can": gate & domain & (p["ip"] == 0) & ~is_platform(p), "_first": F.struct(*first)})
-    step = settled(step, {"_host": F.when(F.col("_can"), p["host"]), "_reg": F.when(F.col("_can") & ~p["private_suffix"], p["reg"])})
+    step, p = gated(scored, mode, column).withColumn("_first", F.struct(*first)), F.col("p")
+    listed = F.col("list_kind").isNotNull() if "list_kind" in scored.columns else F.lit(False)
+    domain = has_domain(column)
     facts = dns.select(F.col("host").alias("_dk"), F.struct("*").alias("_d"))
     records = rdap.select(F.col("reg").alias("_rk"), F.struct("*").alias("_r"))
     step = step.join(facts, F.col("_host") == F.col("_dk"), "left").join(records, F.col("_reg") == F.col("_rk"), "left").drop("_dk", "_rk")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ from lynceus.operators.scoring import MODES, OUTPUT, ModelDocument, fixed3, guar
 def analyse(
     df: DataFrame, model: ModelDocument, column: str = "url", lists: UserLists | None = None, base_rate: float | None = None, rules: SuffixRules | None = None,
     second: ModelDocument | None = None, dns: DataFrame | None = None, rdap: DataFrame | None = None, now: float = 0.0, mode: str = "off",
+    look_up: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
 ) -> DataFrame:
     """Typed results: df with p, model_verdict, model_probability, fraud_verdict, confidence, reasons, list_kind, list_entry, analysis_mode and more.
 
-    A list decides over the model, but never over an ERROR. mode is off, review or all.
+    A list decides over the model, but never over an ERROR. mode is off, review or all. Facts for the second pass are in dns and rdap,
+    or look_up gives both tables for the rows of the first pass, which is kept meanwhile.
     """
     out = score_urls(df, model, column, base_rate, rules)
     if lists is not None:
@@ -28,6 +32,9 @@ def analyse(
         out = out.withColumns({"list_kind": F.lit(None).cast("string"), "list_entry": F.lit(None).cast("string")})
     out = out.withColumns({"offline_verdict": F.col("fraud_verdict"), "offline_probability": F.col("adjusted")})
     if mode != "off":
+        if look_up is not None and dns is None and rdap is None:
+            out = out.persist()
+            dns, rdap = look_up(out)
         if second is None or dns is None or rdap is None:
             raise ValueError("look-ups need the second model and both tables of facts")
         out = enrich(out, model, second, dns, rdap, now, mode, column, base_rate)

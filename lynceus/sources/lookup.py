@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from http.client import HTTPException
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,57 +25,6 @@ REGISTRATION_FACT = "reg string, status string, created string, expires string,
 RETRIES, MAX_WAIT, PER_SECOND = 3, 15.0, 2.0
 
 
-def with_retries(call: Callable[[], tuple[str, dict | None, float]], sleep: Callable[[float], None] = time.sleep) -> dict:
-    """What call gives: (state, fact, wait). state is ok, again (after wait seconds, at most MAX_WAIT) or failed."""
-    for _ in range(RETRIES):
-        state, fact, wait = call()
-        if state != "again":
-            return fact or {"status": "network_error"}
-        sleep(min(wait, MAX_WAIT))
-    return {"status": "rate_limited"}
-
-
-def _rows(facts: list[dict], ddl_names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame([[f.get(n) for n in ddl_names] for f in facts], columns=ddl_names)
-
-
-def dns_provider(resolve: Callable[[str], dict], tasks: int = 8) -> Callable[[DataFrame], DataFrame]:
-    """resolve gives a host's fact; hosts are dealt evenly to a bounded number of tasks."""
-    names = [x.split()[0] for x in DNS_FACT.split(", ")]
-
-    def provider(keys: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield _rows([{"host": h} | resolve(h) for h in b["host"]], names)
-
-        return keys.select("host").repartition(tasks).mapInPandas(run, DNS_FACT)
-
-    return provider
-
-
-def registration_provider(ask: Callable[[str, str], tuple[str, dict | None, float]], bootstrap: DataFrame, per_second: float = PER_SECOND) -> Callable[[DataFrame], DataFrame]:
-    """ask(server, domain) asks a registry. A registry's domains share a task, which keeps to its rate limit; rows stream."""
-    names = [x.split()[0] for x in REGISTRATION_FACT.split(", ")]
-
-    def provider(keys: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last: dict[str, float] = {}
-            for b in batches:
-                facts = []
-                for reg, server in zip(b["reg"], b["base_url"]):
-                    if server is None or server != server:
-                        facts.append({"reg": reg, "status": "no_rdap_server"})
-                        continue
-                    time.sleep(max(0.0, last.get(server, 0.0) + 1 / per_second - time.monotonic()))
-                    last[server] = time.monotonic()
-                    facts.append({"reg": reg} | with_retries(lambda s=server, r=reg: ask(s, r)))
-                yield _rows(facts, names)
-
-        return server_of(keys.select("reg"), bootstrap).repartition("base_url").mapInPandas(run, REGISTRATION_FACT)
-
-    return provider
-
-
 def read_bootstrap(spark, path: str) -> DataFrame:
     """(tld, base_url) of the registries' published bootstrap file: the first https server of each service."""
     j = F.from_json("value", "services array<array<array<string>>>")
@@ -94,22 +44,34 @@ Fetch = Callable[[str, str], tuple[int, str, float]]
 
 def http_get(url: str, accept: str, timeout: float = 8.0) -> tuple[int, str, float]:
     """(status, body, seconds to wait before another try) of a GET request; raises OSError where there is no answer."""
+    import http.client
     import urllib.error
     import urllib.request
 
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": accept}), timeout=timeout) as r:
             return r.status, r.read(2_000_000).decode("utf-8", "replace"), 0.0
+    except http.client.HTTPException as e:  # an answer that is cut off or isn't one
+        raise OSError(type(e).__name__) from e
     except urllib.error.HTTPError as e:
         wait = e.headers.get("Retry-After", "5") if e.headers else "5"
         return e.code, "", float(wait) if wait.isdigit() else 5.0
 
 
-def answers(requests: DataFrame, fetch: Fetch, accept: str, per_second: float | None = None) -> DataFrame:
+def is_json(body: str) -> bool:
+    """Whether a body is a JSON object."""
+    try:
+        return isinstance(json.loads(body), dict)
+    except ValueError:
+        return False
+
+
+def answers(requests: DataFrame, fetch: Fetch, accept: str, per_second: float | None = None, sound: Callable[[str], bool] | None = None, server_errors: bool = True) -> DataFrame:
     """requests (with urls, an array of equal alternatives) with code, body and failure, the kind of the last exception.
 
-    A request is tried up to RETRIES times, over its URLs in turn: after an exception, after a status that isn't an
-    answer, and after a 429 once the wait is over. With a rate, each task keeps to it; deal requests so that a server has one task.
+    A request is tried up to RETRIES times, over its URLs in turn: after an exception (also one of an answer that is cut off), after a status that isn't an
+    answer (a server's own errors only with server_errors), after a body that isn't sound, and after a 429 once the wait is over.
+    No exception of a request ends the task. With a rate, each task keeps to it; deal requests so that a server has one task.
     """
     schema = StructType([*requests.schema.fields, StructField("code", IntegerType()), StructField("body", StringType()), StructField("failure", StringType())])
 
@@ -126,10 +88,12 @@ def answers(requests: DataFrame, fetch: Fetch, accept: str, per_second: float |
                     try:
                         code, body, wait = fetch(urls[turn % len(urls)], accept)
                         failure = None
-                    except OSError as e:
-                        failure = type(e).__name__
+                    except (OSError, HTTPException) as e:
+                        code, body, failure = None, None, type(e).__name__
                         continue
-                    if code in (200, 400, 404):
+                    if code == 200 and sound is not None and not sound(body):
+                        continue
+                    if code in (200, 400, 404) or (code >= 500 and not server_errors):
                         break
                     if code == 429 and turn < RETRIES - 1:
                         time.sleep(min(wait, MAX_WAIT))
@@ -145,7 +109,7 @@ def dns_facts(keys: DataFrame, fetch: Fetch = http_get, servers: tuple[str, ...]
     asked = keys.select("host", F.explode(kinds).alias("q")).select("host", "q.*")
     urls = F.array(*[F.concat(F.lit(f"https://{s}/dns-query?name="), F.url_encode("name"), F.lit("&type="), F.col("record")) for s in servers])
     asked = asked.withColumn("urls", F.when(F.col("name").isNotNull(), urls).otherwise(F.array().cast("array<string>")))
-    got = answers(asked.repartition(tasks, "host", "record"), fetch, "application/dns-json")
+    got = answers(asked.repartition(tasks, "host", "record"), fetch, "application/dns-json", sound=is_json)
     j = F.from_json("body", "Status int, Answer array<struct<type:int,TTL:int,data:string>>")
     got = got.select("host", "record", "number", "name", "code", j.alias("j"))
     none = F.array().cast("array<struct<type:int,TTL:int,data:string>>")
@@ -161,43 +125,60 @@ def dns_facts(keys: DataFrame, fetch: Fetch = http_get, servers: tuple[str, ...]
     )
 
 
-def registration_facts(keys: DataFrame, bootstrap: DataFrame, fetch: Fetch = http_get, per_second: float = PER_SECOND) -> DataFrame:
-    """The registration facts of keys (reg). A registry's domains share a task, which keeps to its rate limit; rows stream."""
-    asked = server_of(keys.select("reg").distinct(), bootstrap)
+def registration_facts(keys: DataFrame, bootstrap: DataFrame | None, fetch: Fetch = http_get, per_second: float = PER_SECOND) -> DataFrame:
+    """The registration facts of keys (reg). A registry's domains share a task, which keeps to its rate limit; rows stream.
+
+    Domains that no registry serves need no request and no task. Without a bootstrap it isn't known who serves a domain:
+    that is rdap_bootstrap_unavailable, which no cache keeps.
+    """
+    own = keys.select("reg").distinct()
+    empty = [F.lit(None).cast(t.split()[1]).alias(t.split()[0]) for t in REGISTRATION_FACT.split(", ")[2:]]
+    if bootstrap is None:
+        return own.select("reg", F.lit("rdap_bootstrap_unavailable").alias("status"), *empty)
+    served = server_of(own, bootstrap)
+    none = served.where("base_url IS NULL").select("reg", F.lit("no_rdap_server").alias("status"), *empty)
     url = F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/domain/"), F.col("reg"))
-    asked = asked.withColumn("urls", F.when(F.col("base_url").isNotNull(), F.array(url)).otherwise(F.array().cast("array<string>")))
-    got = answers(asked.repartition("base_url"), fetch, "application/rdap+json", per_second)
+    asked = served.where("base_url IS NOT NULL").withColumn("urls", F.array(url))
+    got = answers(asked.repartition("base_url"), fetch, "application/rdap+json", per_second, server_errors=False)
     code = F.col("code")
     sound = F.get_json_object("body", "$").isNotNull()
     status = (
-        F.when(F.col("base_url").isNull(), "no_rdap_server").when(F.col("failure").isNotNull(), F.concat(F.lit("error:"), F.col("failure"))).when(code == 404, "not_found").when(code == 429, "rate_limited")
+        F.when(F.col("failure").isNotNull(), F.concat(F.lit("error:"), F.col("failure"))).when(code == 404, "not_found").when(code == 429, "rate_limited")
         .when(code != 200, F.concat(F.lit("http_"), code.cast("string"))).when(~sound, "bad_json").otherwise("ok")
     )
     read = got.select("reg", status.alias("status"), F.when(status == "ok", parse_registration(F.col("body"))).alias("f"))
-    return read.select("reg", "status", *[F.col(f"f.{c}") for c in ("created", "expires", "changed", "registrar", "registrar_iana", "domain_status", "ns")])
+    return read.select("reg", "status", *[F.col(f"f.{c}") for c in ("created", "expires", "changed", "registrar", "registrar_iana", "domain_status", "ns")]).unionByName(none)
 
 
 def kept_bootstrap(spark, path: str, fetch: Fetch = http_get, days: float = 30.0, now: float | None = None) -> DataFrame | None:
     """The registries' bootstrap as read_bootstrap, from a copy at path that is renewed once it is too old.
 
-    A new copy is written beside the old one and takes its name in one step. If none can be had, the old one serves; without
-    either there is None.
+    Copies are never written over: each has a name of its own (its time, then a number), and the newest whole one counts, so a crash loses
+    none. Older copies are deleted once a newer one stands. If none can be had, the old one serves; without either there is None.
     """
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = fs.exists(jvm.Path(path))
-    age = (time.time() if now is None else now) - fs.getFileStatus(jvm.Path(path)).getModificationTime() / 1000 if there else float("inf")
-    if age > days * 86_400:
+    now = time.time() if now is None else now
+
+    def copies() -> list[tuple[float, str]]:
+        found = fs.globStatus(jvm.Path(f"{path}.*.json"))
+        names = [f.getPath().toString() for f in found] if found is not None else []
+        return sorted((float(n.rsplit(".", 3)[1]), n) for n in names)
+
+    old = copies()
+    if not old or now - old[-1][0] > days * 86_400:
         try:
             code, body, _ = fetch(BOOTSTRAP_URL, "application/json")
             good = code == 200 and "services" in json.loads(body)
-        except (OSError, ValueError):
+        except (OSError, HTTPException, ValueError):
             good = False
         if good:
-            fresh = f"{path}.{uuid.uuid4().hex}"
-            stream = fs.create(jvm.Path(fresh))
+            fresh, part = f"{path}.{int(now)}.{uuid.uuid4().hex}.json", f"{path}.{uuid.uuid4().hex}.part"
+            stream = fs.create(jvm.Path(part))
             stream.write(body.encode())
             stream.close()
-            fs.delete(jvm.Path(path), False)
-            there = fs.rename(jvm.Path(fresh), jvm.Path(path))
-    return read_bootstrap(spark, path) if there else None
+            if fs.rename(jvm.Path(part), jvm.Path(fresh)):
+                for _, name in old:
+                    fs.delete(jvm.Path(name), False)
+    left = copies()
+    return read_bootstrap(spark, left[-1][1]) if left else None

@@ -8,7 +8,6 @@ import pytest
 from lynceus.cli import RunError, main, run
 from lynceus.sources import cache, feeds, lookup
 from lynceus.sources.delimited import Cells, InputError, head_delimiter, read_delimited, unique_names
-from lynceus.sources.lookup import with_retries
 
 
 def write(path, data):
@@ -117,7 +116,7 @@ def test_cache(spark, tmp_path):
     assert [r.k for r in cache.fresh(last, 86_400.0 + 20, 1).collect()] == ["a"]
     facts = spark.createDataFrame([("d", "ok", 4), ("e", "timeout", 5)], "k string, st string, x int")
     cache.append(facts, f"file://{tmp_path}/new", "k", "st", ("ok",), 7.0)
-    assert [r.k for r in cache.read_log(spark, f"file://{tmp_path}/new", "x int").collect()] == ["d"]
+    assert [r.k for r in cache.snapshot(spark, f"file://{tmp_path}/new", "x int").collect()] == ["d"]
 
 
 def test_feeds(spark, tmp_path):
@@ -127,12 +126,6 @@ def test_feeds(spark, tmp_path):
     assert {(r.url, r.label) for r in dump.collect()} == {("http://a.test", "0"), ("http://b.test", "1")}
 
 
-def test_retries():
-    waits, answers = [], iter([("again", None, 99.0), ("ok", {"status": "ok"}, 0.0)])
-    assert with_retries(lambda: next(answers), waits.append) == {"status": "ok"} and waits == [15.0]
-    assert with_retries(lambda: ("again", None, 1.0), waits.append) == {"status": "rate_limited"}
-
-
 def test_kept_bootstrap(spark, tmp_path):
     """A copy is renewed when it is old, kept when it isn't, and serves, however old, when nothing better is to be had."""
     asked = []
