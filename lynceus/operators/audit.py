@@ -155,29 +155,6 @@ def registry_workload(parsed: DataFrame, bootstrap: DataFrame, queries: int = 4)
     return rows.groupBy("base_url").agg(F.countDistinct("host").alias("hosts"), F.countDistinct("reg").alias("domains")).withColumn("dns_queries", F.col("hosts") * queries)
 
 
-def simulate_lookups(work: DataFrame, threads: int = 8, dns_seconds: float = 0.15, rdap_seconds: float = 0.6, rate: float = 2.0) -> DataFrame:
-    """(registry, done): the second at which each registry's look-ups end, in a pool of threads under a rate for each registry.
-
-    work is (registry, domains, dns_queries), a bounded table: one row for each registry. Threads take domains from the
-    registries in turn, by name; a domain's queries take their time, and its registry is asked once its rate allows.
-    An event is a domain that is taken; the next goes to the thread that is free first.
-    """
-    import heapq
-
-    todo = [(r.registry, r.domains, r.dns_queries / r.domains if r.domains else 0) for r in work.orderBy("registry").collect()]
-    free, ready, done, left = [0.0] * threads, {}, {name: 0.0 for name, _, _ in todo}, {name: n for name, n, _ in todo}
-    queue = [(name, per) for name, _, per in todo if left[name]]
-    while queue:
-        for name, per in queue:
-            at = heapq.heappop(free) + per * dns_seconds
-            at = max(at, ready.get(name, 0.0))
-            ready[name] = at + 1 / rate
-            heapq.heappush(free, at + rdap_seconds)
-            done[name], left[name] = max(done[name], at + rdap_seconds), left[name] - 1
-        queue = [(name, per) for name, per in queue if left[name]]
-    return work.sparkSession.createDataFrame(list(done.items()), "registry string, done double")
-
-
 def reverse_host_order(df: DataFrame, host: str = "host") -> DataFrame:
     """df sorted by the reversed labels of its hosts, so that hosts of one domain are neighbours; a range sort, not one task's."""
     from lynceus.functions.url import surt

@@ -6,6 +6,10 @@ then scores are cut into ranges of about as many different scores each, which ar
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,14 +138,20 @@ def bootstrap_rate(df: DataFrame, hit: Column, key: Column, replicates: int = 50
 def bootstrap_auc(df: DataFrame, key: Column, replicates: int = 100, score: str = "score", label: str = "label", other: str | None = None, seed: int = 0) -> DataFrame:
     """(low, high) of the AUC over resampled keys, or with other of its difference from the AUC of that score.
 
-    The rows' places in the order of scores are found once; a replicate only sums weights.
+    Scores are cut into ranges once. A replicate sums weights by range, then within it, so no task orders a replicate; rows grow with keys times replicates.
     """
+
     def aucs(s: str) -> DataFrame:
-        r = replicate_weights(df.withColumn("_k", key), F.col("_k"), replicates, seed)
-        by = r.groupBy("rep", F.col(s).alias("s")).agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col("w")).otherwise(0)).alias("n"))
-        above = Window.partitionBy("rep").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
-        by = by.withColumn("tp", F.coalesce(F.sum("p").over(above), F.lit(0)))
-        return by.groupBy("rep").agg((F.sum(F.col("n") * (F.col("tp") + F.col("p") / 2.0)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("v"))
+        sums = [F.sum(F.when(F.col(label) == y, 1).otherwise(0)).alias(c) for y, c in ((1, "p"), (0, "n"))]
+        each = df.where(F.col(s).isNotNull()).groupBy(key.alias("_k"), F.col(s).alias("s")).agg(*sums)
+        r = replicate_weights(ranged(each, [], "s"), F.col("_k"), replicates, seed)
+        by = r.groupBy("rep", "_r", "s").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("n")).alias("n"))
+        within = Window.partitionBy("rep", "_r").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+        inner = by.withColumn("tp", F.coalesce(F.sum("p").over(within), F.lit(0)))
+        parts = inner.groupBy("rep", "_r").agg(F.sum(F.col("n") * (F.col("tp") + F.col("p") / 2.0)).alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+        above = Window.partitionBy("rep").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        parts = parts.withColumn("tp", F.coalesce(F.sum("p").over(above), F.lit(0)))
+        return parts.groupBy("rep").agg((F.sum(F.col("wins") + F.col("n") * F.col("tp")) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("v"))
 
     v = aucs(score)
     if other:
@@ -149,25 +159,50 @@ def bootstrap_auc(df: DataFrame, key: Column, replicates: int = 100, score: str
     return v.agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
 
 
-def exact_interval(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """The Clopper-Pearson interval of a share k / n, by bisection on the binomial tail."""
-    import math
-
-    def tail(p: float, least: int) -> float:  # P(X >= least)
-        if p <= 0 or p >= 1:
-            return float(p >= 1 or least <= 0)
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(least, n + 1)]
-        return math.fsum(math.exp(x) for x in logs)
-
-    def solve(f) -> float:
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) else (lo, mid)
-        return (lo + hi) / 2
-
-    a = (1 - level) / 2
-    return (0.0 if k == 0 else solve(lambda p: tail(p, k) < a), 1.0 if k == n else solve(lambda p: 1 - tail(p, k + 1) > a))
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction, for arrays; 0 < x < 1."""
+    swap = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    gammas = np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in zip(a, b, strict=True)])
+    front = np.exp(gammas + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / guard(1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 300):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / guard(1 + top * d), guard(1 + top / c)
+            step = d * c
+            h = h * step
+        if (np.abs(step - 1) < 1e-14).all():
+            break
+    return np.where(swap, 1 - front * h, front * h)
+
+
+def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the beta distribution's share p lies, by bisection of all cells at a time."""
+    lo, hi = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        below = incomplete_beta(mid, a, b) < p
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return (lo + hi) / 2
+
+
+def exact_interval(k: Column, n: Column, level: float = 0.95) -> Column:
+    """struct<low, high>: the exact (Clopper-Pearson) interval of a share k / n, in Arrow batches; the whole of 0 to 1 where n is 0."""
+    tail = (1 - level) / 2
+
+    @F.pandas_udf("low double, high double")
+    def interval(ks: pd.Series, ns: pd.Series) -> pd.DataFrame:
+        x, m = ks.to_numpy("float64"), ns.to_numpy("float64")
+        low, high = np.zeros(len(x)), np.ones(len(x))
+        some, not_all = x > 0, x < m
+        low[some] = beta_quantile(tail, x[some], m[some] - x[some] + 1)
+        high[not_all] = beta_quantile(1 - tail, x[not_all] + 1, m[not_all] - x[not_all])
+        return pd.DataFrame({"low": low, "high": high})
+
+    return interval(k.cast("double"), n.cast("double"))
 
 
 def projection(rates: DataFrame, prevalences: list[float], n: int) -> DataFrame:
@@ -188,11 +223,12 @@ def recall_at_threshold_of(fixed_on: DataFrame, df: DataFrame, target_fpr: float
 
 
 def count_tensor(df: DataFrame, axes: list[str], within: list[str]) -> DataFrame:
-    """(axes, n, share): rows for each combination of values, and their share of those with equal values of within."""
+    """(axes, n, share, low, high): rows for each combination of values, their share of those with equal values of within, and its exact interval."""
     cells = df.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
     sums = cells.groupBy(*[F.col(c).alias(f"_{c}") for c in within]).agg(F.sum("n").alias("_all"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
     on = same[0]
     for x in same[1:]:
         on = on & x
-    return cells.join(sums, on).select(*axes, "n", (F.col("n") / F.col("_all")).alias("share"))
+    i = exact_interval(F.col("n"), F.col("_all"))
+    return cells.join(sums, on).withColumn("_i", i).select(*axes, "n", (F.col("n") / F.col("_all")).alias("share"), "_i.low", "_i.high")

@@ -123,9 +123,11 @@ def feed_files(spark, sf):
     dump = _lines(pages, F.concat(F.lit("INSERT INTO t VALUES ("), F.col("page_id").cast("string"), F.lit(",'"), F.replace("url", F.lit("'"), F.lit("")), F.lit("',1);")), "dump")
     a = feeds.line_feed(spark, line).select(F.lit("line").alias("feed"), "url")
     b = feeds.dump_rows(spark, dump, "\\((\\d+),'([^']*)',(\\d)\\)", {"id": 1, "url": 2, "label": 3}).select(F.lit("dump").alias("feed"), "url").distinct()
-    path = _file(spark, "json")
-    pages.agg(F.to_json(F.collect_set(F.struct(F.upper(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)).alias("domain")))).alias("value")).write.text(path)
-    c = feeds.json_domains(spark, path, "domain").select(F.lit("json").alias("feed"), F.col("host").alias("url"))
+    path, host = _file(spark, "json"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    part = F.pmod(F.xxhash64(host), F.lit(1 + pages.count() // 1000))  # an array of about a thousand hosts a file
+    arrays = pages.groupBy(part.alias("part")).agg(F.to_json(F.collect_set(F.struct(F.upper(host).alias("domain")))).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    c = feeds.json_domains(spark, f"{path}/*", "domain").select(F.lit("json").alias("feed"), F.col("host").alias("url"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -395,13 +397,6 @@ def registry_workload(spark, sf):
     return audit.registry_workload(U.parse(_pages(spark, sf)), servers)
 
 
-@query
-def throttled_lookups(spark, sf):
-    """The simulated end of look-ups by registry, one after the other at a rate, and the whole run's."""
-    work = _by_host(spark, sf).groupBy(F.col("group").alias("registry")).agg(F.countDistinct("host").alias("domains")).withColumn("dns_queries", F.col("domains") * 4)
-    return audit.simulate_lookups(work, threads=4, dns_seconds=0.15, rdap_seconds=0.6, rate=2.0).select("registry", F.round("done", 6).alias("done"))
-
-
 @query
 def workload_order(spark, sf):
     """Hosts in the order of reversed labels, with their places."""
@@ -463,9 +458,10 @@ def cascade_scores(spark, sf):
 
 @query
 def count_tensor(spark, sf):
-    """Rows by data set, label and verdict, with each count's share of its data set and label."""
+    """Rows by data set, label and verdict, with each count's share of its data set and label, and the share's exact interval."""
     s = _scored(spark, sf).withColumn("verdict", F.when(F.col("score") >= 0.7, "FRAUD").when(F.col("score") <= 0.3, "LEGITIMATE").otherwise("REVIEW"))
-    return metrics.count_tensor(s, ["dataset", "label", "verdict"], ["dataset", "label"]).select("dataset", "label", "verdict", "n", F.round("share", 6).alias("share"))
+    cells = metrics.count_tensor(s, ["dataset", "label", "verdict"], ["dataset", "label"])
+    return cells.select("dataset", "label", "verdict", "n", *[F.round(c, 6).alias(c) for c in ("share", "low", "high")])
 
 
 @query

@@ -207,7 +207,14 @@ ORACLE_SQL: dict[str, str] = {
     "folded_rates": f"""WITH {S}, f AS (SELECT *, CAST(CAST('0x' || substr(md5('fold|' || grp), 1, 8) AS BIGINT) % 100 % 3 AS INTEGER) AS fold FROM s), k AS (SELECT DISTINCT fold, dataset FROM f), pr AS (SELECT k.fold, avg(label) AS prior FROM (SELECT DISTINCT fold FROM f) k JOIN f ON f.fold <> k.fold GROUP BY k.fold),
   r AS (SELECT k.fold, k.dataset, (coalesce(sum(f.label), 0) + 20 * any_value(prior)) / (count(f.label) + 20) AS rate FROM k JOIN pr ON pr.fold = k.fold LEFT JOIN f ON f.fold <> k.fold AND f.dataset = k.dataset GROUP BY 1, 2) SELECT doc_id, fold, round(rate, 6) AS rate FROM f LEFT JOIN r USING (fold, dataset)""",
     "cascade_scores": f"WITH {S} SELECT doc_id, round(CASE WHEN score BETWEEN 0.4 AND 0.6 THEN 1 - score / 2 ELSE score END, 6) AS score FROM s",
-    "count_tensor": f"WITH {S}, c AS (SELECT dataset, label, CASE WHEN score >= 0.7 THEN 'FRAUD' WHEN score <= 0.3 THEN 'LEGITIMATE' ELSE 'REVIEW' END AS verdict, count(*) AS n FROM s GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY dataset, label), 6) AS share FROM c",
+    "count_tensor": f"""WITH RECURSIVE {S}, c AS (SELECT dataset, label, CASE WHEN score >= 0.7 THEN 'FRAUD' WHEN score <= 0.3 THEN 'LEGITIMATE' ELSE 'REVIEW' END AS verdict, count(*) AS k FROM s GROUP BY ALL),
+  t AS (SELECT *, CAST(sum(k) OVER (PARTITION BY dataset, label) AS BIGINT) AS n FROM c),
+  b AS (SELECT dataset, label, verdict, k, n, 0 AS it, CAST(0 AS DOUBLE) AS l0, CAST(1 AS DOUBLE) AS l1, CAST(0 AS DOUBLE) AS h0, CAST(1 AS DOUBLE) AS h1 FROM t
+    UNION ALL SELECT dataset, label, verdict, k, n, it + 1, CASE WHEN up < 0.025 THEN (l0 + l1) / 2 ELSE l0 END, CASE WHEN up < 0.025 THEN l1 ELSE (l0 + l1) / 2 END, CASE WHEN down > 0.025 THEN (h0 + h1) / 2 ELSE h0 END, CASE WHEN down > 0.025 THEN h1 ELSE (h0 + h1) / 2 END FROM (
+      SELECT dataset, label, verdict, k, n, it, l0, l1, h0, h1, sum(CASE WHEN i >= k THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((l0 + l1) / 2) + (n - i) * ln(1 - (l0 + l1) / 2)) ELSE 0 END) AS up,
+        sum(CASE WHEN i <= k THEN exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((h0 + h1) / 2) + (n - i) * ln(1 - (h0 + h1) / 2)) ELSE 0 END) AS down
+      FROM (SELECT *, unnest(range(n + 1)) AS i FROM b WHERE it < 45) GROUP BY ALL))
+  SELECT dataset, label, verdict, k AS n, round(k / n, 6) AS share, round(CASE WHEN k = 0 THEN 0 ELSE l0 END, 6) AS low, round(CASE WHEN k = n THEN 1 ELSE h1 END, 6) AS high FROM b WHERE it = 45""",
     "crosstab_columns": f"WITH {S}, c AS (SELECT dataset, count(*) FILTER (label = 0) AS n_0, count(*) FILTER (label = 1) AS n_1 FROM s GROUP BY dataset) SELECT *, round(n_0 / sum(n_0) OVER (), 6) AS share_0, round(n_1 / sum(n_1) OVER (), 6) AS share_1 FROM c",
     # Streams.
     "stream_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

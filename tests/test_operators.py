@@ -46,8 +46,9 @@ def test_bootstrap(scored):
     assert r.low < r.estimate < r.high and r.high - r.low < 0.2
     d = metrics.bootstrap_auc(df, F.col("id"), 20, other="score").first()
     assert d.low == d.high == 0  # a score against itself
-    lo, hi = metrics.exact_interval(8, 10)
-    assert (round(lo, 4), round(hi, 4)) == (0.4439, 0.9748) and metrics.exact_interval(0, 5)[0] == 0
+    cells = spark.createDataFrame([(8, 10), (0, 5), (5, 5), (0, 0), (40_000, 1_000_000)], "k long, n long")
+    got = {(r.k, r.n): (round(r.i.low, 4), round(r.i.high, 4)) for r in cells.withColumn("i", metrics.exact_interval(F.col("k"), F.col("n"))).collect()}
+    assert got[8, 10] == (0.4439, 0.9748) and got[0, 5] == (0.0, 0.5218) and got[5, 5] == (0.4782, 1.0) and got[0, 0] == (0.0, 1.0) and got[40_000, 1_000_000] == (0.0396, 0.0404)
 
 
 def test_dedupe_and_caps(spark):

@@ -37,9 +37,18 @@ def test_oracle(spark, name):
     same(QUERIES[name](spark, SF), ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["gbt_train", "emb_lr", "char_ngram_lr", "throttled_lookups"])
-def test_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_trained(spark):
+    """What SQL can't say: an exported model scores as its trainer, and trained scores tell labels apart."""
+    rows = QUERIES["gbt_train"](spark, SF).collect()
+    assert rows and all(r.score == pytest.approx(r.exported, abs=1e-5) for r in rows)
+    labels = {r.vec_id: r.label for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label").collect()}
+    guesses = {r.vec_id: r.prediction for r in QUERIES["emb_lr"](spark, SF).collect()}
+    most = max(list(labels.values()).count(v) for v in set(labels.values()))
+    assert guesses.keys() == labels.keys() and sum(guesses[k] == v for k, v in labels.items()) >= most
+    scored = {r.page_id: r.score for r in QUERIES["char_ngram_lr"](spark, SF).collect()}
+    odd = {r.page_id: len(r.url) % 2 for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    one, zero = ([scored[k] for k, v in odd.items() if v == y] for y in (1, 0))
+    assert all(0 <= v <= 1 for v in scored.values()) and sum(one) / len(one) > sum(zero) / len(zero)
 
 
 def test_entry(spark):
