@@ -57,7 +57,7 @@ def sniff_quoted(spark, sf):
 @query
 def sniff_utf16(spark, sf):
     path = _file(spark, "utf16")
-    _pages(spark, sf).coalesce(1).write.csv(path, header=True, sep="\t", encoding="UTF-16")
+    _pages(spark, sf).write.csv(path, header=True, sep="\t", encoding="UTF-16")
     rows, layout = delimited.read_delimited(spark, path)
     return rows.select(F.col("page_id").cast("long").alias("page_id"), F.col(layout.url_column).alias("url"), F.lit(layout.encoding).alias("encoding"))
 

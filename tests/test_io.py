@@ -97,6 +97,26 @@ def test_json_run(spark, tmp_path):
     assert json.loads(out.read_text())["input"] == {"url": "http://a.test", "note": "x"}
 
 
+@pytest.mark.parametrize("code", ["utf-16-le", "utf-16-be"])
+def test_utf16_in_splits(spark, tmp_path, code):
+    """Large files in many small splits: line ends at odd places are none, quotes run on, lone carriage returns end lines."""
+    bom = "\ufeff".encode(code)
+    odd = "\u0a41\u4e00\u0a00" if code == "utf-16-le" else "\u4e00\u0a41\u3000\u0a0a"  # a line feed's bytes stand between two characters
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "999")  # cuts characters too
+    try:
+        for name, mark, end in (("plain", "ü", "\r\n"), ("odd", odd, "\n"), ("quoted", f'"{odd}\nmore, ""x"""', "\r\n"), ("lone", "ä", "\r"), ("both", odd, "\r")):
+            want = [(str(i), f"http://h{i}.test/", mark * (i % 3 + 1) if '"' not in mark else mark) for i in range(300)]
+            text = end.join(["id,url,note", *[",".join(r) for r in want]]) + end
+            path = write(tmp_path / f"{name}-{code}", bom + text.encode(code))
+            rows, layout = rows_of(spark, path)
+            cells = [(i, u, mark if '"' not in mark else f'{odd}\nmore, "x"') if '"' in mark else (i, u, n) for i, u, n in want]
+            assert layout.encoding == "utf-16" and rows == cells, name
+            assert name in ("lone", "both") or len(layout.splits) > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_refusals(spark, tmp_path):
     source = str(tmp_path / "in.csv")
     write(tmp_path / "in.csv", "url\nhttp://a.test\n")

@@ -40,7 +40,7 @@ def test_ranking_metrics(scored):
     assert metrics.weighted_thresholds(df, shares, 0.2, 0.2).first()[:] == pytest.approx((fraud, legit))
 
 
-def test_bootstrap(scored):
+def test_bootstrap(spark, scored):
     _, df = scored
     r = metrics.bootstrap_rate(df, F.col("label") == 1, F.col("id"), 200).first()
     assert r.low < r.estimate < r.high and r.high - r.low < 0.2
