@@ -250,11 +250,11 @@ def _part(column: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(column, F.lit(0))), F.lit(parts))
 
 
-def deltas(counted: DataFrame, tokens: int, alpha: float = ALPHA, min_count: int = 1, left_out: int = 1, parts: int = 1) -> DataFrame:
+def deltas(counted: DataFrame, tokens: int, alpha: float = ALPHA, min_count: int = 1, left_out: int = 1, parts: int = 1, keep: bool = False) -> DataFrame:
     """(gram, n, delta) of the n-grams that are known: what each adds to a document's score beyond an unknown one.
 
     left_out is taken off every count, the number of words too. Whatever is known, its beginning and its rest
-    are: they occur as often at least. counted, a written table, is deleted.
+    are: they occur as often at least. counted, a written table, is deleted unless it is to be kept.
     """
     spark, floor = counted.sparkSession, math.log10(max(1, tokens - left_out))
     known = counted.where((F.col("n") - left_out) >= F.when(F.col("begin").isNull(), 1).otherwise(min_count))
@@ -268,7 +268,8 @@ def deltas(counted: DataFrame, tokens: int, alpha: float = ALPHA, min_count: int
         return longer if k else longer.unionByName(word)
 
     v = _in_parts(spark, "lm-direct", parts, direct)
-    discard(counted)
+    if not keep:
+        discard(counted)
     out = v.where("rest IS NULL").select("gram", "n", (F.col("v") + floor - math.log10(alpha)).alias("delta"))
 
     def delta(k: int) -> DataFrame:
@@ -573,14 +574,26 @@ def _scores(docs: DataFrame, rule: Rule, parts: int) -> DataFrame:
 
 def _scores_by_joins(docs: DataFrame, order: int, alpha: float, min_count: int, leave_one_out: bool, parts: int) -> DataFrame:
     """As backoff_scores, for any order: the count table, its deltas, and the documents' n-grams joined to them."""
-    spark = docs.sparkSession
+    base = _documents(docs)
+    tokens = base.agg(F.sum(F.col("n_tokens") * F.col("_copies"))).first()[0] or 0
+    counted = _in_parts(docs.sparkSession, "lm-counts", parts, lambda k: counts(docs, order, k, parts).where(F.col("n") > int(leave_one_out)))  # no other n-gram can be known
+    known = deltas(counted, tokens, alpha, min_count, int(leave_one_out), -(-parts // 3))  # far fewer rows than n-grams occur
+    return _joined(docs, base, known, order, max(1, tokens - int(leave_one_out)), alpha, parts)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """doc_id, _h, n_tokens and _copies of each different row, written."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.size(words(F.col("text"))).alias("n_tokens"))
-    base = table(base.groupBy(*KEY, "n_tokens").agg(F.count(F.lit(1)).alias("_copies")), "lm-documents")
+    return table(base.groupBy(*KEY, "n_tokens").agg(F.count(F.lit(1)).alias("_copies")), "lm-documents")
+
+
+def _joined(docs: DataFrame, base: DataFrame, known: DataFrame, order: int, total: int, alpha: float, parts: int) -> DataFrame:
+    """Scores of docs by the deltas of known n-grams, of a corpus of so many words."""
     per = sum((F.greatest(F.col("n_tokens") - k, F.lit(0)) for k in range(order)), F.lit(0))
-    tokens, grams = base.agg(F.sum(F.col("n_tokens") * F.col("_copies")), F.sum(per * F.col("_copies"))).first()
-    counted = _in_parts(spark, "lm-counts", parts, lambda k: counts(docs, order, k, parts).where(F.col("n") > int(leave_one_out)))  # no other n-gram can be known
-    known = deltas(counted, tokens or 0, alpha, min_count, int(leave_one_out), -(-parts // 3))  # far fewer rows than n-grams occur
-    frequent = F.col("n") >= max(MIN_FREQUENT, math.ceil((grams or 0) / MAX_FREQUENT))
+    grams = base.agg(F.sum(per * F.col("_copies"))).first()[0] or 0
+    # An n-gram of which the scored documents have many is one of the corpus's frequent ones, or is seldom there and has few rows here.
+    counted = known.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") >= max(MIN_FREQUENT, math.ceil(max(grams, counted) / MAX_FREQUENT))
     few = known.where(frequent).select("gram", "delta").toArrow()
     seldom = known.where(~frequent).select(F.col("gram").alias("_g"), "delta")
     often, values = few.column("gram").to_numpy().view("u8"), few.column("delta").to_numpy()
@@ -595,14 +608,61 @@ def _scores_by_joins(docs: DataFrame, order: int, alpha: float, min_count: int,
         joined = joined.where(F.coalesce("v", "delta").isNotNull())  # what isn't known adds nothing
         return joined.groupBy(*KEY).agg(F.sum(F.coalesce("v", "delta")).alias("v"))
 
-    added = _in_parts(spark, "lm-sums", parts, sums).groupBy(*KEY).agg(F.sum("v").alias("v"))
+    added = _in_parts(docs.sparkSession, "lm-sums", parts, sums).groupBy(*KEY).agg(F.sum("v").alias("v"))
     out = base.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_t"), "n_tokens", "_copies", per.alias("_n"))
     out = out.join(added, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_h")), "left")
-    floor = F.col("_n") * math.log10(alpha) - F.col("n_tokens") * math.log10(max(1, (tokens or 0) - int(leave_one_out)))
+    floor = F.col("_n") * math.log10(alpha) - F.col("n_tokens") * math.log10(total)
     score = F.coalesce(F.col("v"), F.lit(0.0)) / F.col("_copies") + floor
     return out.select(F.col("_id").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"), score.alias("log10_score"), "_copies")
 
 
+class CountTables(NamedTuple):
+    """Count tables that are kept: a folder of (part, gram, begin, rest, n), the n-grams' order, and the number of words counted."""
+
+    path: str
+    order: int
+    tokens: int
+    parts: int
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/counts")
+
+
+def write_counts(docs: DataFrame, path: str, order: int = ORDER, parts: int = PARTS) -> CountTables:
+    """Counts of all n-grams of docs up to an order, written under path, a folder for each part of their hashes.
+
+    docs needs text; null and empty texts have no words, rows that repeat are counted each, and an empty table has no
+    counts. The number of words is written last: tables without it are not whole.
+    """
+    spark = docs.sparkSession
+    with _cleaned(spark):
+        for k in range(parts):
+            counts(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), order, k, parts).withColumn("part", F.lit(k)).write.mode("append").partitionBy("part").parquet(f"{path}/counts")
+    known = spark.read.schema("gram long, begin long, rest long, n long, part int").parquet(f"{path}/counts")
+    tokens = known.where("begin IS NULL").agg(F.sum("n")).first()[0] or 0
+    spark.createDataFrame([(order, tokens, parts)], "order int, tokens long, parts int").write.parquet(f"{path}/size")
+    return CountTables(path, order, tokens, parts)
+
+
+def read_counts(spark: SparkSession, path: str) -> CountTables:
+    """Tables that write_counts has written."""
+    size = spark.read.parquet(f"{path}/size").first()
+    return CountTables(path, size.order, size.tokens, size.parts)
+
+
+def score(docs: DataFrame, tables: CountTables, alpha: float = ALPHA, min_count: int = 1) -> DataFrame:
+    """As backoff_scores, by the counts of other texts: docs are exploded into n-grams, joined to the tables by hash, and summed per document.
+
+    A word that the tables lack scores alpha / number of words counted. An n-gram of which docs have very many rows without its being frequent in the
+    tables meets them in one task's join; docs are cut into parts of hashes as the tables are.
+    """
+    spark = docs.sparkSession
+    counted = spark.read.schema("gram long, begin long, rest long, n long, part int").parquet(f"{tables.path}/counts").drop("part")
+    known = deltas(counted, tables.tokens, alpha, min_count, 0, -(-tables.parts // 3), keep=True)
+    out = _joined(docs, _documents(docs), known, tables.order, max(1, tables.tokens), alpha, tables.parts)
+    return out.select("doc_id", "n_tokens", "log10_score", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("col")
+
+
 def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = 1, leave_one_out: bool = True, parts: int = PARTS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens and log10_score, the sum of its words' log10 scores.
 

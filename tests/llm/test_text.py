@@ -168,11 +168,12 @@ def test_secret_ledger(spark, tmp_path):
     assert spark.read.parquet(ledger).groupBy("rule").count().where("rule = 'assign@2'").first()[1] == 3 and spark.read.parquet(ledger).count() == 4 * 3
 
 
-def plain_scores(rows, order=3, alpha=0.4, least=1, left_out=1):
+def plain_scores(rows, order=3, alpha=0.4, least=1, left_out=1, corpus=None):
     import math
     from collections import Counter
 
     each = [low(t).encode().split() for _, t in rows]
+    scored, each = each, each if corpus is None else [low(t).encode().split() for _, t in corpus]
     counts = [Counter(tuple(w[i - k : i + 1]) for w in each for i in range(k, len(w))) for k in range(order)]
     total = max(1, sum(counts[0].values()) - left_out)
 
@@ -182,7 +183,31 @@ def plain_scores(rows, order=3, alpha=0.4, least=1, left_out=1):
             return math.log10((c if c > 0 else alpha) / total)
         return math.log10(c / (counts[len(gram) - 2][gram[:-1]] - left_out)) if c >= least else math.log10(alpha) + score(gram[1:])
 
-    return [sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) for w in each]
+    return [sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) for w in scored]
+
+
+@pytest.mark.parametrize("order, least, frequent", [(3, 1, 100), (4, 2, 3), (1, 1, 10_000_000)])
+def test_kept_count_tables(spark, monkeypatch, tmp_path, order, least, frequent):
+    """Documents that the tables have never seen, by counts of other texts that are kept, read again and used twice."""
+    monkeypatch.setattr(lm_score, "MIN_FREQUENT", frequent)
+    rows = docs()
+    corpus, others = rows[::2], rows[1::2] + [(700, "words that nobody has seen"), (701, rows[0][1]), (701, rows[0][1])]
+    path = f"file://{tmp_path}/tables"
+    written = lm_score.write_counts(frame(spark, corpus), path, order, parts=3)
+    tables = lm_score.read_counts(spark, path)
+    assert tables == written and tables.tokens == sum(len(low(t).encode().split()) for _, t in corpus)
+    assert tables.counts(spark).groupBy("gram").count().where("count > 1").isEmpty() and tables.counts(spark).select("part").distinct().count() == 3
+    for scored in (others, rows[:3]):
+        got = lm_score.score(frame(spark, scored), tables, min_count=least).collect()
+        want = plain_scores(scored, order, least=least, left_out=0, corpus=corpus)
+        assert sorted(repr((r.doc_id, r.n_tokens, round(r.log10_score + 0.0, 5))) for r in got) == sorted(repr((i, len(low(t).encode().split()), round(w + 0.0, 5))) for (i, t), w in zip(scored, want))
+    assert lm_score.score(frame(spark, []), tables).count() == 0
+
+
+def test_no_count_tables(spark, tmp_path):
+    tables = lm_score.write_counts(frame(spark, []), f"file://{tmp_path}/none", parts=2)
+    got = lm_score.score(frame(spark, [(1, "a b"), (2, None)]), tables).collect()
+    assert tables.tokens == 0 and {r.doc_id: round(r.log10_score, 5) for r in got} == {1: -1.19382, 2: 0.0}
 
 
 @pytest.mark.parametrize("order, least, left_out, frequent", [(1, 1, 1, 100), (2, 2, 0, 100), (3, 1, 1, 3), (3, 1, 0, 3), (3, 2, 1, 10_000_000)])
