@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from pyspark.sql import SparkSession
 
 names = set(entry.queries())
-assert not [n for n in names if n.startswith("op1") or n == "pipeline"] and set(entry.oracle_sql()) <= names and len(names) > 120, names
+assert not [n for n in names if n[:2] == "op" and n[2:3].isdigit() or n == "pipeline"] and set(entry.oracle_sql()) <= names and len(names) > 120, names
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 print("rows", entry.entry(spark).count())
 """
