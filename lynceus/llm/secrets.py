@@ -27,6 +27,8 @@ class Rule:
     keep: object
     #: How many of a match's first characters (a column of the match) don't belong to the finding.
     trim: object = None
+    #: What every match holds: texts without it are told apart without the pattern.
+    holds: str = ""
 
     @property
     def key(self) -> str:
@@ -46,12 +48,12 @@ TOKEN = "[A-Za-z0-9_-]"
 #: in one pass: Java's matcher calls itself for each repeat of a group, so words in capitals are one class in which two blanks in a row
 #: are looked for first; and a token starts at the first `eyJ` of a run of its characters, so a run is tried once, from where it starts.
 SERVICE_RULES = (
-    Rule("private_key", 1, "-----BEGIN (?! )(?![A-Z ]*  )(?:[A-Z ]* )?PRIVATE KEY-----", lambda m: F.lit(True)),
-    Rule("web_token", 1, f"(?<!{TOKEN})(?={TOKEN}*?eyJ{TOKEN}{{8}}){TOKEN}++\\.eyJ{TOKEN}{{8,}}+\\.{TOKEN}++", lambda m: F.lit(True), lambda m: F.regexp_instr(m, F.lit(f"eyJ{TOKEN}{{8}}")) - 1),
+    Rule("private_key", 1, "-----BEGIN (?! )(?![A-Z ]*  )(?:[A-Z ]* )?PRIVATE KEY-----", lambda m: F.lit(True), holds="PRIVATE KEY-----"),
+    Rule("web_token", 1, f"(?<!{TOKEN})(?={TOKEN}*?eyJ{TOKEN}{{8}}){TOKEN}++\\.eyJ{TOKEN}{{8,}}+\\.{TOKEN}++", lambda m: F.lit(True), lambda m: F.regexp_instr(m, F.lit(f"eyJ{TOKEN}{{8}}")) - 1, holds=".eyJ"),
     Rule("github", 1, "gh[opsur]_[A-Za-z0-9]{36,}", lambda m: F.lit(True)),
-    Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", lambda m: F.lit(True)),
-    Rule("google", 1, "AIza[A-Za-z0-9_-]{35}", lambda m: F.lit(True)),
-    Rule("stripe", 1, "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", lambda m: F.lit(True)),
+    Rule("slack", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", lambda m: F.lit(True), holds="xox"),
+    Rule("google", 1, "AIza[A-Za-z0-9_-]{35}", lambda m: F.lit(True), holds="AIza"),
+    Rule("stripe", 1, "[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", lambda m: F.lit(True), holds="k_"),
 )
 LEDGER = "blob string, rule string, spans array<struct<start:int,end:int>>"
 
@@ -65,7 +67,8 @@ def steps(text: Column, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     trim = rule.trim or (lambda m: F.lit(0))
     each = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, gap: F.struct((gap + trim(m)).alias("gap"), (F.length(m) - trim(m)).alias("n"), rule.keep(m).alias("ok")))
-    return F.when(text.rlike(rule.pattern), each)
+    there = text.rlike(rule.pattern)
+    return F.when(F.contains(text, F.lit(rule.holds)) & there if rule.holds else there, each)
 
 
 def _found(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

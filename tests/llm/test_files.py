@@ -102,11 +102,11 @@ def test_token_files(spark, tmp_path, library):
     ids, mask = f[1]
     assert len(ids) == len(mask) == 64 and mask.all()
     assert not any(x.flags.owndata or x.flags.writeable for x in (ids, mask))  # views of the mapped file
-    last = -(-sum(len(x) for x in f.flat) // 64) - 1
-    assert not f[last][1].all() or f[last][1].all()
     manifest = files.resume(root)
     assert manifest["ids"] == start and sum(s["docs"] for s in manifest["shards"]) == len(rows)
-    assert sum(int(token_files.TokenFile(f"{root}/{s['name']}")[k][1].sum()) for s in manifest["shards"][:1] for k in range(last + 1)) == manifest["shards"][0]["ids"]
+    for s in manifest["shards"]:  # a shard's masks mark its ids and nothing else
+        f = token_files.TokenFile(f"{root}/{s['name']}")
+        assert sum(int(f[k][1].sum()) for k in range(-(-sum(len(x) for x in f.flat) // 64))) == s["ids"]
     assert token_files.encode_to_files(frame(spark, []), tokenizer_path(), 2).count() == 0
 
 
