@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynceus.operators.ranges import neighbour_gaps, quantiles
+from lynceus.operators.ranges import neighbour_gaps, quantiles, running
+from lynceus.sources.folder import delete, kept
+
+#: So many ranks are broadcast.
+FEW = 100_000
 
 
 def verdict_counts(df: DataFrame, verdict: str = "fraud_verdict") -> DataFrame:
@@ -114,16 +120,61 @@ def source_ranges(df: DataFrame, label: str = "label", date: str = "date", sourc
 
 
 def spearman(df: DataFrame, columns: list[str], at_least: float = 0.9) -> DataFrame:
-    """(a, b, rho): rank correlations of all pairs of columns beyond a size."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    rows = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df).select("_v")
-    m = Correlation.corr(rows, "_v", "spearman").first()[0].toArray()
-    pairs = [(a, b, float(m[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j and abs(m[i, j]) > at_least]
+    """(a, b, rho): rank correlations of all pairs of columns beyond a size. Rows with a null or NaN in any column are left out.
+
+    The different values of a column are counted and ranked, not its rows. With the counts come the sums of the ranks that the rows have in earlier columns,
+    so a pair's product is a sum over the values of the later one. The column with most values comes last: its ranks never go back to the rows.
+    """
+    names = [f"_{i}" for i in range(len(columns))]
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(x) for c, x in zip(columns, names)])
+    for x in names:
+        rows = rows.where(F.col(x).isNotNull() & ~F.isnan(x)).withColumn(x, F.when(F.col(x) == 0, 0.0).otherwise(F.col(x)))  # 0.0 for -0.0
+    total, *different = rows.agg(F.count(F.lit(1)), *[F.approx_count_distinct(x) for x in names]).first()
+    order = sorted(range(len(columns)), key=lambda i: different[i])
+    products, paths = {}, []
+    try:
+        for k, i in enumerate(order):
+            sums = [F.sum(f"_rank{j}").alias(f"_sum{j}") for j in order[:k]]
+            values, path = kept(rows.groupBy(names[i]).agg(F.count(F.lit(1)).alias("n"), *sums), "rank-values")
+            paths.append(path)
+            rank = F.col("upto") - (F.col("n") - 1) / 2 - (total + 1) / 2  # the mean place of equal values, from the middle
+            ranks = running(values, [], names[i]).withColumn("_rank", rank)
+            if k + 1 < len(order):
+                ranks, path = kept(ranks, "ranks")
+                paths.append(path)
+                rows, more = _with_ranks(rows, ranks, names[i], f"_rank{i}", total)
+                paths += more
+            pairs = [F.sum(F.col("_rank") * F.col(f"_sum{j}")).alias(f"_p{j}") for j in order[:k]]
+            products[i, i], *found = ranks.agg(F.sum(F.col("n") * F.col("_rank") * F.col("_rank")), *pairs).first()
+            products |= {(min(i, j), max(i, j)): p for j, p in zip(order[:k], found)}
+    finally:
+        delete(df.sparkSession, *paths)
+    pairs = []
+    for i, a in enumerate(columns):
+        for j in range(i + 1, len(columns)):
+            if products[i, i] and products[j, j]:  # neither empty nor all equal
+                rho = products[i, j] / math.sqrt(products[i, i]) / math.sqrt(products[j, j])
+                pairs += [(a, columns[j], rho)] if abs(rho) > at_least else []
     return df.sparkSession.createDataFrame(pairs, "a string, b string, rho double")
 
 
+def _with_ranks(rows: DataFrame, ranks: DataFrame, key: str, out: str, total: int) -> tuple[DataFrame, list[str]]:
+    """rows with the ranks of a column's values, and folders to delete.
+
+    Few values are broadcast. Of more, those with a ten-thousandth of all rows each are 10,000 at most and broadcast, so that no task gets all rows of one; the others' rows are dealt by value.
+    """
+    if ranks.count() <= FEW:
+        return rows.join(F.broadcast(ranks.select(key, F.col("_rank").alias(out))), key), []
+    often = F.col("n") * 10_000 >= total
+    rows = rows.join(F.broadcast(ranks.where(often).select(key, F.col("_rank").alias("_often"))), key, "left")
+    # a row that has its rank goes anywhere: no other value is equal to its own
+    rows = rows.withColumn("_deal", F.when(F.col("_often").isNull(), F.xxhash64(key)).otherwise(F.monotonically_increasing_id()))
+    others = ranks.where(~often).select(F.col(key).alias("_key"), F.xxhash64(key).alias("_dealt"), F.col("_rank").alias("_other"))
+    rows = rows.join(others, (F.col("_deal") == F.col("_dealt")) & (F.col(key) == F.col("_key")), "left")
+    rows, path = kept(rows.withColumn(out, F.coalesce("_often", "_other")).drop("_often", "_other", "_deal", "_dealt", "_key"), "ranked")
+    return rows, [path]
+
+
 def lookup_workload(parsed: DataFrame, row_id: str, chunk: int = 20_000, queries: int = 4) -> DataFrame:
     """(chunk, hosts, domains, dns_queries): look-ups that each chunk adds, as keys are looked up once, where first met."""
     rows = parsed.where("p.host <> '' AND p.ip = 0").select(F.floor(F.col(row_id) / chunk).cast("long").alias("chunk"), "p.host", F.when(~F.col("p.private_suffix"), F.col("p.reg")).alias("reg"))

@@ -30,14 +30,19 @@ def ranged(df: DataFrame, by: list[str], value: str, out: str = "_r", ranges: in
 
 def counted(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, value, n, upto): each different value of a group, how often it occurs, and how many are it or less; nulls are left out."""
-    counts = ranged(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), by, value)
+    return running(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), by, value)
+
+
+def running(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """counts, which has each different value of a group once and how often it occurs (n), with upto: how many are it or less."""
+    names, counts = counts.columns, ranged(counts, by, value)
     sums = counts.groupBy(*by, "_r").agg(F.sum("n").alias("_n"))
     below = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n")  # RANGES rows a group
     within = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     rows = counts.withColumn("_upto", F.sum("n").over(within))
     joined = rows.join(sums.withColumnRenamed("_r", "_s").select(*[F.col(c).alias(f"_t_{c}") for c in by], "_s", "_below"), _same(by) & (F.col("_r") == F.col("_s")))
-    return joined.select(*by, value, "n", (F.col("_upto") + F.col("_below")).alias("upto"))
+    return joined.select(*names, (F.col("_upto") + F.col("_below")).alias("upto"))
 
 
 def _same(by: list[str]) -> Column:

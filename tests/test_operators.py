@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lynceus.operators import datasets, encoders, metrics, training
+from lynceus.operators import audit, datasets, encoders, metrics, training
 from lynceus.functions.suffix import sample_rules
 from lynceus.streaming import urls as streams
 
@@ -135,3 +135,30 @@ def test_ranges(spark):
     for g, v in values.items():
         assert np.allclose(sorted(r.gap for r in gaps if r.g == g), sorted(np.diff(v)))
     assert ranges.quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_spearman(spark, monkeypatch, few):
+    """Ties, rows with gaps, both zeros and a value of most rows, with ranks broadcast or dealt by value; sorting each column's rows is what grew too fast."""
+    monkeypatch.setattr(audit, "FEW", few)
+    draw = random.Random(5)
+    rows = [(draw.choice([0.0, -0.0, 0.0, draw.random()]), draw.random(), float(draw.randint(0, 60)), 1.0) for _ in range(3000)]
+    rows = [(a, b + a, c - 20 * b, d) for a, b, c, d in rows]
+    gaps = [(None, 1.0, 1.0, 1.0), (float("nan"), 9.0, 9.0, 1.0), (1.0, None, 5.0, 1.0)]
+    df = spark.createDataFrame(rows + gaps, "a double, `b.c` double, d double, e double")
+    got = {(r.a, r.b): r.rho for r in audit.spearman(df, df.columns, 0.0).collect()}
+
+    def ranks(values):
+        _, place, n = np.unique(values, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[place]
+
+    columns = dict(zip(df.columns, map(ranks, np.array(rows).T + 0.0)))
+    want = {(x, y): np.corrcoef(columns[x], columns[y])[0, 1] for x, y in (("a", "b.c"), ("a", "d"), ("b.c", "d"))}
+    assert got == pytest.approx(want, abs=1e-12)
+    assert set(audit.spearman(df, df.columns, 0.5).select("a", "b").collect()) == {k for k, v in want.items() if abs(v) > 0.5}
+    assert audit.spearman(df.where("e = 2"), df.columns, 0.0).count() == 0
+    plan = audit.running(df.groupBy("d").agg(F.count(F.lit(1)).alias("n")), [], "d")
+    assert plan.agg(F.max("upto")).first()[0] == 3003
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("pyspark.ml.stat.Correlation.corr", lambda *a: pytest.fail("sorts all rows of all columns"))
+        audit.spearman(df, df.columns)
